@@ -1,0 +1,22 @@
+"""Reading tables so that every core has work."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df``, repartitioned only if its files give fewer tasks than there are cores.
+
+    Segmenting text is bound by the processor, and a file of one row group, or a
+    compressed text file, is one task however long it runs.  A large table has
+    more splits than the cluster has cores and is read without any shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
+def read_spread(spark: SparkSession, path: str, key: str) -> DataFrame:
+    return spread(spark.read.parquet(path), key)
