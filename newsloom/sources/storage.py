@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 
@@ -40,10 +41,17 @@ class Folder:
 
     def folders(self) -> list[str]:
         """Names of the direct sub-folders that are not private (``_x``, ``.x``)."""
+        return self._names(folders=True)
+
+    def files(self) -> list[str]:
+        """Names of the direct files that are not private."""
+        return self._names(folders=False)
+
+    def _names(self, folders: bool) -> list[str]:
         if not self.exists(""):
             return []
         entries = self._fs.listStatus(self._path(""))
-        names = (entry.getPath().getName() for entry in entries if entry.isDirectory())
+        names = (e.getPath().getName() for e in entries if e.isDirectory() == folders)
         return sorted(name for name in names if name[0] not in "_.")
 
     def delete(self, name: str) -> None:
@@ -60,7 +68,8 @@ class Folder:
 
     def replace_text(self, name: str, text: str) -> None:
         """Replace a small file in one step: readers see the old or the new text."""
-        draft = f"{name}.{uuid.uuid4().hex}"
+        parent, _, last = name.rpartition("/")
+        draft = f"{parent}/_{last}.{uuid.uuid4().hex}"
         stream = self._fs.create(self._path(draft), False)
         try:
             stream.write(bytearray(text, "utf-8"))
@@ -74,8 +83,6 @@ class Folder:
         context.rename(self._path(draft), self._path(name), flags)
 
     def _new_array(self, java_class, value):
-        from pyspark import SparkContext
-
         array = SparkContext._gateway.new_array(java_class, 1)
         array[0] = value
         return array
