@@ -56,9 +56,9 @@ def _word_pattern() -> str:
 
 
 WORD = _word_pattern()
-# A token over the limit needs this many characters in a row without a space.
-_HAS_LONG_RUN = rf"(?<!\S)\S{{{MAX_TOKEN_CHARS + 1}}}"
-_PIECE = rf"(?s).{{1,{MAX_TOKEN_CHARS}}}"
+MAX_SUBSTRING_TESTS = 16
+_LONG_RUN = rf"(?<!\S)\S{{{MAX_TOKEN_CHARS + 1}}}"
+_PIECE = rf"[^ ]{{1,{MAX_TOKEN_CHARS}}}"
 
 
 def _extract(text: Column, pattern: str) -> Column:
@@ -66,12 +66,21 @@ def _extract(text: Column, pattern: str) -> Column:
 
 
 def tokenise(text: Column) -> Column:
-    """Tokens of ``text`` in order, with repetition (``array<string>``)."""
-    lowered = F.lower(text)
+    """Tokens of ``text`` in order, with repetition (``array<string>``).
+
+    Built-in functions with generated code only, so that the scan, this step and
+    a filter or projection on it are compiled into one stage.
+    """
+    return tokenise_lowered(F.lower(text))
+
+
+def tokenise_lowered(lowered: Column) -> Column:
+    """``tokenise`` for text that is in lower case already."""
     tokens = _extract(lowered, WORD)
-    cut = F.flatten(F.transform(tokens, lambda token: _extract(token, _PIECE)))
-    has_long_run = (F.length(lowered) > MAX_TOKEN_CHARS) & lowered.rlike(_HAS_LONG_RUN)
-    return F.when(has_long_run, cut).otherwise(tokens)
+    cut = _extract(F.array_join(tokens, " "), _PIECE)
+    # A token over the limit needs that many characters in a row without a space.
+    may_be_long = (F.length(lowered) > MAX_TOKEN_CHARS) & lowered.rlike(_LONG_RUN)
+    return F.when(may_be_long, cut).otherwise(tokens)
 
 
 def query_tokens(spark: SparkSession, query: str) -> list[str]:
@@ -83,15 +92,16 @@ def string_array(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
-def mentions(text: Column, tokens: list[str]) -> Column:
-    """Substring test every row holding one of ``tokens`` must pass.
+def mentions(lowered: Column, tokens: list[str]) -> Column:
+    """Substring test every lower-cased text holding one of ``tokens`` must pass.
 
-    Tokens are substrings of the lower-cased text, so this test is cheap and
-    spares the segmentation of rows that cannot match.
+    Tokens are substrings of that text, so this test is cheap and spares the
+    segmentation of rows that cannot match.  With many tokens it would cost more
+    than it saves, and passes every row.
     """
-    lowered = F.lower(text)
-    test = F.lit(False)
-    for token in sorted(set(tokens)):
+    wanted = sorted(set(tokens))
+    test = F.lit(len(wanted) > MAX_SUBSTRING_TESTS)
+    for token in wanted[:MAX_SUBSTRING_TESTS]:
         test = test | lowered.contains(token)
     return test
 
@@ -100,5 +110,6 @@ def has_any_token(text: Column, tokens: list[str]) -> Column:
     """True where ``text`` contains at least one of ``tokens`` as a whole token."""
     if not tokens:
         return F.lit(False)
+    lowered = F.lower(text)
     wanted = string_array(sorted(set(tokens)))
-    return mentions(text, tokens) & F.arrays_overlap(tokenise(text), wanted)
+    return mentions(lowered, tokens) & F.arrays_overlap(tokenise_lowered(lowered), wanted)
