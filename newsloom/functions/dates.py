@@ -8,7 +8,6 @@ wall-clock ``TIMESTAMP_NTZ``.
 
 from __future__ import annotations
 
-import datetime as dt
 import re
 
 from pyspark.sql import Column
@@ -43,7 +42,7 @@ def parse_date(text: Column) -> Column:
     iso = F.when(hours.isNull(), moment).when(
         (hours <= 18) & (minutes <= 59), moment - shift
     )
-    epoch = F.lit(dt.datetime(1970, 1, 1)).cast("timestamp_ntz")
+    epoch = F.expr("TIMESTAMP_NTZ '1970-01-01'")
     seconds = (text.try_cast("bigint") / F.lit(1000)).cast("decimal(18,6)")
     return (
         F.when(_is(text, DAY), text.try_cast("timestamp_ntz"))
