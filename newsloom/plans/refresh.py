@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.dates import parse_date
-from newsloom.operators.postings import write_term_tables
 from newsloom.operators.sentiment import enrich
 from newsloom.schema import ARTICLE_SCHEMA
 from newsloom.sources.ndjson import first_articles, read_articles
@@ -92,10 +91,11 @@ def refresh(
     rejected = None if options.max_news is not None and options.max_news <= 0 else Observation()
     old, new = warehouse.published(), warehouse.next_table()
     rows = publishable(articles, lexicon, rejected)
+    warehouse.drop_terms(new)
     warehouse.write(rows, new, mode="overwrite", rows_per_file=options.rows_per_file)
     accepted = warehouse.read(new).count()  # from the file footers
     if options.term_tables:
-        write_term_tables(warehouse.read(new), warehouse.term_path(new))
+        warehouse.write_terms(new)
     warehouse.publish(new)
     if old is not None and not options.leave_old:
         warehouse.drop(old)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from newsloom.functions.names import next_version, parse_version, table_name
+from newsloom.operators.postings import write_term_tables
 from newsloom.schema import ARTICLE_SCHEMA
 from newsloom.sources.storage import Folder
 
@@ -12,7 +13,7 @@ from newsloom.sources.storage import Folder
 ALIAS = "articles"
 # -------------------------------------------------------------------------------
 
-_POINTERS, _TERMS = "_published", "_terms"
+_POINTERS, _TERMS, _COMPLETE = "_published", "_terms", "complete"
 
 
 class Warehouse:
@@ -43,6 +44,10 @@ class Warehouse:
     def has_table(self, table: str) -> bool:
         return self._folder.exists(table)
 
+    def has_terms(self, table: str) -> bool:
+        """Whether complete term tables describe the rows the table has now."""
+        return self._folder.exists(f"{_TERMS}/{table}/{_COMPLETE}")
+
     # -- writing ----------------------------------------------------------------
 
     def write(
@@ -74,7 +79,18 @@ class Warehouse:
         """Delete a table and what was derived from it; the published one stays."""
         if table in (self.published(alias) for alias in self.aliases()):
             raise ValueError(f"{table!r} is published")
+        self.drop_terms(table)
         self._folder.delete(table)
+
+    def write_terms(self, table: str) -> None:
+        """Build the term tables of a table; the marker is written last."""
+        self.drop_terms(table)
+        write_term_tables(self.read(table), self.term_path(table))
+        self._folder.replace_text(f"{_TERMS}/{table}/{_COMPLETE}", table)
+
+    def drop_terms(self, table: str) -> None:
+        """Delete the term tables; must precede any change of the rows."""
+        self._folder.delete(f"{_TERMS}/{table}/{_COMPLETE}")
         self._folder.delete(f"{_TERMS}/{table}")
 
     # -- publishing -------------------------------------------------------------
