@@ -8,7 +8,6 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.operators.postings import write_term_tables
 from newsloom.operators.search import search_published
 from newsloom.plans import fixtures
 from newsloom.plans.refresh import RefreshOptions, refresh
@@ -38,11 +37,14 @@ def run(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
-def timed(times: dict[str, float], name: str, work) -> object:
-    started = time.perf_counter()
-    result = work()
-    times[name] = round(time.perf_counter() - started, 3)
-    return result
+def timed(times: dict[str, float], name: str, work) -> None:
+    """The better of two runs; the first one also warms the virtual machine up."""
+    runs = []
+    for _ in range(2):
+        started = time.perf_counter()
+        work()
+        runs.append(time.perf_counter() - started)
+    times[name] = round(min(runs), 3)
 
 
 def main() -> None:
@@ -59,16 +61,18 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     times: dict[str, float] = {}
     lexicon = fixtures.lexicon(spark)
-    lines = fixtures.article_lines(spark, FOLDER)
-    source = fixtures.write_lines(lines, "bench-news")  # the input, not part of a query
-    n_docs = spark.read.text(source).count()
+    # Inputs, not part of a query: long documents, and their lines as short articles.
+    source = fixtures.write_lines(fixtures.article_lines(spark, FOLDER), "bench-news")
+    short = fixtures.write_lines(fixtures.short_article_lines(spark, FOLDER), "bench-short")
+    n_docs, n_short = spark.read.text(source).count(), spark.read.text(short).count()
 
     # The whole ingest: strict scan, first-rows limit, sentiment, write, publish.
     warehouse = Warehouse(spark, scratch_folder(spark, "bench"))
+    timed(times, "ingest_short", lambda: refresh(warehouse, lexicon, RefreshOptions(short)))
     timed(times, "ingest", lambda: refresh(warehouse, lexicon, RefreshOptions(source)))
     table = warehouse.published()
     folder = warehouse.term_path(table)
-    timed(times, "term_tables", lambda: write_term_tables(warehouse.scan(), folder))
+    timed(times, "term_tables", lambda: warehouse.write_terms(table))
     timed(
         times,
         "search_published",
@@ -79,13 +83,15 @@ def main() -> None:
     print(
         json.dumps(
             {
-                "metric": "headline queries, total wall time",
+                "metric": "headline queries, total wall time, better of two runs each",
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
                 "sf": FOLDER.rstrip("/").rpartition("sf")[2],
                 "documents": n_docs,
                 "ingest_docs_per_sec": round(n_docs / times["ingest"]),
+                "short_articles": n_short,
+                "ingest_short_docs_per_sec": round(n_short / times["ingest_short"]),
             }
         )
     )

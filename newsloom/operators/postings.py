@@ -18,7 +18,9 @@ from newsloom.functions.text import tokenise
 from newsloom.schema import TEXT_FIELDS
 
 POSTINGS, TERM_DF, CORPUS = "postings", "term_df", "corpus"
-DEFAULT_BUCKETS = 64
+# Directories per field: few for a small table, and for a large one enough that
+# a query term's directory is a small part of it.
+LEAST_BUCKETS, MOST_BUCKETS, BYTES_PER_BUCKET = 8, 4096, 256 * 1024 * 1024
 
 
 def term_counts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -67,6 +69,11 @@ def corpus_statistics(entries: DataFrame) -> DataFrame:
     )
 
 
+def buckets_for(n_bytes: int) -> int:
+    """Number of buckets for a table of that size."""
+    return min(max(n_bytes // BYTES_PER_BUCKET, LEAST_BUCKETS), MOST_BUCKETS)
+
+
 def bucket_of(term: Column, n_buckets: int | Column) -> Column:
     size = n_buckets if isinstance(n_buckets, Column) else F.lit(n_buckets)
     return F.pmod(F.xxhash64(term), size).cast("int")
@@ -76,7 +83,7 @@ def write_term_tables(
     articles: DataFrame,
     folder: str,
     fields: tuple[str, ...] = TEXT_FIELDS,
-    n_buckets: int = DEFAULT_BUCKETS,
+    n_buckets: int = LEAST_BUCKETS,
 ) -> None:
     """Write the three tables of ``articles`` below ``folder``.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.plans.corpus import documents, raw_columns
+from newsloom.plans.corpus import documents, raw_columns, texts
 from newsloom.schema import LEXICON_SCHEMA, RAW_FIELDS
 from newsloom.sources.storage import scratch_folder
 
@@ -25,6 +25,14 @@ def article_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def short_article_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """One valid JSON line per line of text: many short articles, as in news."""
+    lines = texts(spark, folder).select(
+        "doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("place", "text")
+    )
+    return lines.select("doc_id", F.to_json(F.struct(*raw_columns())).alias("value"))
+
+
 def damaged_lines(spark: SparkSession, folder: str) -> DataFrame:
     """One line per document, most of them odd in one of 20 ways.
 

@@ -90,7 +90,7 @@ def read_articles(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return parse_lines(scan_lines(spark, paths))
 
 
-def _articles_in_place(spark: SparkSession, paths: list[str]) -> DataFrame:
+def _articles_in_place(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """The same rows with the file and block each was read from."""
     return parse_lines(
         scan_lines(spark, paths).select(
@@ -117,18 +117,22 @@ def first_articles(spark: SparkSession, path: str, n: int) -> DataFrame:
     # One row per file: a listing, its content column is never read.
     before = F.sum("length").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1))
     places = sizes.select("path", F.coalesce(before, F.lit(0)).alias("before"))
-    n_files, budget = sizes.count(), max(_LEAST_BYTES, n * _BYTES_PER_ROW)
-    while True:
-        head = [r.path for r in places.where(F.col("before") < budget).collect()]
-        whole = len(head) == n_files
-        if whole and scan_lines(spark, path).count() <= n:
-            return read_articles(spark, path)
-        folder = scratch_folder(spark, "first-rows")
-        _articles_in_place(spark, head).write.parquet(folder)
-        settled = spark.read.parquet(folder)
-        if whole or settled.count() >= n:
-            return _cut(settled, n).drop("file", "block_start")
+    n_bytes, budget = sizes.agg(F.sum("length")).first()[0] or 0, max(_LEAST_BYTES, n * _BYTES_PER_ROW)
+    while budget < n_bytes:
+        head = [row.path for row in places.where(F.col("before") < budget).collect()]
+        settled = _settle(_articles_in_place(spark, head))
+        if settled.count() >= n:
+            return _cut(settled, n)
         budget *= _GROWTH
+    if scan_lines(spark, path).count() <= n:
+        return read_articles(spark, path)
+    return _cut(_settle(_articles_in_place(spark, path)), n)
+
+
+def _settle(articles: DataFrame) -> DataFrame:
+    folder = scratch_folder(articles.sparkSession, "first-rows")
+    articles.write.parquet(folder)
+    return articles.sparkSession.read.parquet(folder)
 
 
 def _cut(articles: DataFrame, n: int) -> DataFrame:
@@ -136,19 +140,12 @@ def _cut(articles: DataFrame, n: int) -> DataFrame:
     blocks = articles.groupBy("file", "block_start").agg(F.count("*").alias("rows"))
     # One row per file block: block metadata, not data.
     upto = F.sum("rows").over(W.orderBy("file", "block_start"))
-    kept = (
-        blocks.select("file", "block_start", "rows", upto.alias("upto"))
-        .where(F.col("upto") - F.col("rows") < n)
-        .orderBy("upto")
-        .collect()
-    )
-    if not kept:
-        return articles.limit(0)
-    last = kept[-1]
-    before_last = last.upto - last.rows
-    earlier = (F.col("file") < last.file) | (
-        (F.col("file") == last.file) & (F.col("block_start") < last.block_start)
-    )
-    in_last = (F.col("file") == last.file) & (F.col("block_start") == last.block_start)
-    tail = articles.where(in_last).orderBy("doc_id").limit(n - before_last)
-    return articles.where(earlier).unionByName(tail)
+    before = blocks.select("file", "block_start", (upto - F.col("rows")).alias("before"))
+    last = before.where(F.col("before") < n).orderBy(F.desc("before")).first()
+    if last is None:  # no rows
+        return articles.drop("file", "block_start")
+    same_file = F.col("file") == last.file
+    earlier = (F.col("file") < last.file) | (same_file & (F.col("block_start") < last.block_start))
+    in_last = same_file & (F.col("block_start") == last.block_start)
+    tail = articles.where(in_last).orderBy("doc_id").limit(n - last.before)
+    return articles.where(earlier).unionByName(tail).drop("file", "block_start")

@@ -47,6 +47,10 @@ class Folder:
         """Names of the direct files that are not private."""
         return self._names(folders=False)
 
+    def size(self, name: str) -> int:
+        """Bytes of all files below ``name``."""
+        return self._fs.getContentSummary(self._path(name)).getLength()
+
     def _names(self, folders: bool) -> list[str]:
         if not self.exists(""):
             return []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from newsloom.functions.names import next_version, parse_version, table_name
-from newsloom.operators.postings import write_term_tables
+from newsloom.operators.postings import buckets_for, write_term_tables
 from newsloom.schema import ARTICLE_SCHEMA
 from newsloom.sources.storage import Folder
 
@@ -85,7 +85,8 @@ class Warehouse:
     def write_terms(self, table: str) -> None:
         """Build the term tables of a table; the marker is written last."""
         self.drop_terms(table)
-        write_term_tables(self.read(table), self.term_path(table))
+        n_buckets = buckets_for(self._folder.size(table))
+        write_term_tables(self.read(table), self.term_path(table), n_buckets=n_buckets)
         self._folder.replace_text(f"{_TERMS}/{table}/{_COMPLETE}", table)
 
     def drop_terms(self, table: str) -> None:

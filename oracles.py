@@ -45,7 +45,7 @@ _ARTICLES = """articles AS (
 _RAW = "category, headline, authors, link, short_description, date"
 _KEPT = "(doc_id % 30 < 5 OR doc_id % 30 > 20)"
 
-_SENTIMENT = f"""{_ARTICLES}, lexicon(word, valence) AS (
+_TOTALS = f"""lexicon(word, valence) AS (
   VALUES ('the', 2), ('of', 1), ('erst', 3), ('in', -2), ('and', -1)),
 tokens AS (SELECT doc_id, unnest({_tokens("short_description")}) AS word FROM articles),
 totals AS (
@@ -57,6 +57,7 @@ enriched AS (
            AS sentiment_polarity,
          CAST(coalesce(positive, 0) AS BIGINT) AS positive, CAST(coalesce(negative, 0) AS BIGINT) AS negative
   FROM articles a LEFT JOIN totals USING (doc_id))"""
+_SENTIMENT = f"{_ARTICLES}, {_TOTALS}"
 
 
 def _words(*words: str) -> str:
@@ -189,7 +190,7 @@ SELECT CAST((SELECT count(*) FROM articles) - (SELECT sum(doc_count) FROM top) A
     ),
     "search_date_field": _constant_hits("date = '2018-02-03'", "CAST(1 AS DOUBLE)"),
     "hit_documents": f"""WITH {_bm25(["the", "erst", "en"], {"headline": 2, "authors": 1, "short_description": 1})},
-{_SENTIMENT.removeprefix(_ARTICLES + ", ").replace("tokens AS (", "sentiment_tokens AS (").replace("FROM tokens", "FROM sentiment_tokens")}
+{_TOTALS}
 SELECT doc_id, {_RAW}, sentiment_score, sentiment_polarity FROM ranked JOIN enriched USING (doc_id)""",
     "significant_words": _significant("short_description", ["erst"], 15),
     "significant_words_several": _significant("short_description", ["erst", "ther"], 40),
