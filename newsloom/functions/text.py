@@ -39,16 +39,15 @@ def _word_pattern() -> str:
     extend = rf"[{_EXTEND}]*+"
     word = rf"{letters}(?:{_MID_LETTER}{extend}{letters})*+"
     number = rf"{digits}(?:{_MID_NUMBER}{extend}{digits})*+"
-    alphanumeric = (
-        rf"(?<!\p{{Pc}})(?:{joiners})?+(?:{word}|{number})(?:{word}|{number}|{joiners})*+"
-    )
+    katakana = rf"[{_KATAKANA}][{_KATAKANA}{_EXTEND}]*+"
+    # Katakana joins with underscores, not directly with other letters.
+    part = rf"(?:(?:{word}|{number})++|{katakana})"
     return "|".join(
         [
             # Shortcut, same tokens: a plain word that certainly ends here.
             r"""[a-z]++(?=[,.;:!?"')]*+(?:\s|\z))""",
-            alphanumeric,
+            rf"(?<!\p{{Pc}})(?:{joiners})?+{part}(?:{joiners}{part})*+(?:{joiners})?+",
             rf"[{_SINGLE}]{extend}",
-            rf"[{_KATAKANA}]++{extend}",
             rf"[{_COMPLEX}]++",
             rf"{_FLAG}|[{_EMOJI}](?:[{_EXTEND}{_SKIN}]|(?<=\x{{200D}})[{_EMOJI}])*+",
         ]

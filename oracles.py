@@ -17,15 +17,15 @@ _LETTER = rf"[^\P{{L}}{_COMPLEX}{_SINGLE}{_KATAKANA}]"
 _LETTERS = rf"{_LETTER}(?:{_LETTER}|[{_EXTEND}])*"
 _DIGITS = rf"\p{{Nd}}[\p{{Nd}}{_EXTEND}]*"
 _JOINERS = rf"\p{{Pc}}[\p{{Pc}}{_EXTEND}]*"
-_CORE = (
-    rf"{_LETTERS}(?:{_MID_LETTER}[{_EXTEND}]*{_LETTERS})*"
-    rf"|{_DIGITS}(?:{_MID_NUMBER}[{_EXTEND}]*{_DIGITS})*"
+_PART = (
+    rf"(?:(?:{_LETTERS}(?:{_MID_LETTER}[{_EXTEND}]*{_LETTERS})*"
+    rf"|{_DIGITS}(?:{_MID_NUMBER}[{_EXTEND}]*{_DIGITS})*)+"
+    rf"|[{_KATAKANA}][{_KATAKANA}{_EXTEND}]*)"
 )
 _WORD = "|".join(
     [
-        rf"(?:{_JOINERS})?(?:{_CORE})(?:{_CORE}|{_JOINERS})*",
+        rf"(?:{_JOINERS})?{_PART}(?:{_JOINERS}{_PART})*(?:{_JOINERS})?",
         rf"[{_SINGLE}][{_EXTEND}]*",
-        rf"[{_KATAKANA}]+[{_EXTEND}]*",
         rf"[{_COMPLEX}]+",
         rf"[\x{{1F1E6}}-\x{{1F1FF}}]{{2}}|[{_EMOJI}](?:\x{{200D}}[{_EMOJI}]|[{_EXTEND}{_SKIN}])*",
     ]

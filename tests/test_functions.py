@@ -1,6 +1,8 @@
 import datetime as dt
+import random
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from newsloom.functions import names
@@ -23,6 +25,7 @@ def tokens(spark, text):
         ("foo_bar _x_ ___ a_'b", ["foo_bar", "_x_", "a_", "b"]),
         ("AT&T; end. (paren) \"quoted\"", ["at", "t", "end", "paren", "quoted"]),
         ("日本 カタカナ ひら", ["日", "本", "カタカナ", "ひ", "ら"]),
+        ("カタ_b_1 aカ カa _カ_", ["カタ_b_1", "a", "カ", "カ", "a", "_カ_"]),
         ("a😀b 👍🏽 👩‍💻", ["a", "😀", "b", "👍🏽", "👩‍💻"]),
         ("ÄÖÜ Straße naïve", ["äöü", "straße", "naïve"]),
         ("", []),
@@ -34,6 +37,23 @@ def test_tokens(spark, text, expected):
     assert tokens(spark, text) == expected
 
 
+@pytest.mark.parametrize("alphabet", ["bbcZßЖ日ひ한12__''..,,;::  -’·@", "bcZß13__.,: カキ-日"])
+def test_tokens_against_another_word_breaker(spark, alphabet):
+    """Word boundaries of the ``regex`` module, which has rules of its own for vowels."""
+    boundary = regex.compile(r"\b", flags=regex.WORD | regex.V1)
+    chance = random.Random(7)
+    texts = ["".join(chance.choices(alphabet, k=chance.randint(1, 14))) for _ in range(4000)]
+
+    def expected(text):
+        cuts = sorted({0, len(text), *(m.start() for m in boundary.finditer(text))})
+        pieces = [text[i:j] for i, j in zip(cuts, cuts[1:])]
+        return [p.lower() for p in pieces if regex.search(r"[\p{L}\p{Nd}]", p)]
+
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    for row in frame.select("text", tokenise(F.col("text")).alias("t")).collect():
+        assert list(row.t) == expected(row.text), row.text
+
+
 def test_long_tokens_are_cut(spark):
     assert [len(t) for t in tokens(spark, "x " + "y" * 600 + " z")] == [1, 255, 255, 90, 1]
     assert [len(t) for t in tokens(spark, "y" * 255)] == [255]
