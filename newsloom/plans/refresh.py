@@ -12,6 +12,7 @@ from newsloom.functions.dates import parse_date
 from newsloom.operators.sentiment import enrich
 from newsloom.schema import ARTICLE_SCHEMA
 from newsloom.sources.ndjson import first_articles, read_articles
+from newsloom.sources.storage import Folder, scratch_folder
 from newsloom.sources.warehouse import Warehouse
 
 # --- fixed value: articles kept unless a run says otherwise --------------------
@@ -21,7 +22,12 @@ MAX_NEWS = 300_000
 
 @dataclass(frozen=True)
 class RefreshOptions:
-    """``max_news=None`` reads everything, in one narrow pass."""
+    """What to read, and how to write it.
+
+    ``max_news=None`` reads everything, in one narrow pass.  ``n_partitions`` and
+    ``rows_per_file`` bound the number of files and their rows; by default both
+    follow from the splits of the source.
+    """
 
     source: str
     max_news: int | None = MAX_NEWS
@@ -78,11 +84,12 @@ def refresh(
     superseded one is deleted after that, unless ``leave_old``.
     """
     started = time.monotonic()
-    spark = warehouse.spark
+    spark, scratch = warehouse.spark, None
     if options.max_news is None:
         articles = read_articles(spark, options.source)
     else:
-        articles = first_articles(spark, options.source, options.max_news)
+        scratch = scratch_folder(spark, "first-rows")
+        articles = first_articles(spark, options.source, options.max_news, scratch)
     if options.n_partitions is not None:
         # Before the count below, so that it runs in the stage that writes: a
         # stage repeated after a lost executor would be counted twice.
@@ -93,6 +100,8 @@ def refresh(
     rows = publishable(articles, lexicon, rejected)
     warehouse.drop_terms(new)
     warehouse.write(rows, new, mode="overwrite", rows_per_file=options.rows_per_file)
+    if scratch is not None:
+        Folder(spark, scratch).delete("")
     accepted = warehouse.read(new).count()  # from the file footers
     if options.term_tables:
         warehouse.write_terms(new)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import json
 
 from newsloom.sources.storage import Folder
@@ -49,7 +50,8 @@ def restore_snapshot(
 ) -> list[str]:
     """Write the tables of a snapshot back; returns their names.
 
-    ``tables`` is a comma-separated list of names; without it all are restored.
+    ``tables`` is a comma-separated list of names, where ``*`` stands for any
+    characters; without it all are restored.
     A table that exists is not overwritten but refused, before anything is
     written.  An alias follows if the table it named is restored.
     """
@@ -60,10 +62,7 @@ def restore_snapshot(
     manifest = json.loads(text)
     wanted = manifest["tables"]
     if tables is not None:
-        wanted = [name.strip() for name in _require_name(tables).split(",")]
-        missing = sorted(set(wanted) - set(manifest["tables"]))
-        if missing:
-            raise ValueError(f"not in the snapshot: {missing}")
+        wanted = _selected(manifest["tables"], tables)
     existing = [name for name in wanted if warehouse.has_table(name)]
     if existing:
         raise ValueError(f"tables exist: {existing}")
@@ -74,3 +73,13 @@ def restore_snapshot(
         if table in wanted:
             warehouse.publish(table, alias)
     return wanted
+
+
+def _selected(present: list[str], tables: str) -> list[str]:
+    wanted = set()
+    for pattern in _require_name(tables).split(","):
+        found = fnmatch.filter(present, pattern.strip())
+        if not found:
+            raise ValueError(f"not in the snapshot: {pattern.strip()!r}")
+        wanted.update(found)
+    return sorted(wanted)

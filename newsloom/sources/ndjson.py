@@ -101,16 +101,18 @@ def _articles_in_place(spark: SparkSession, paths: str | list[str]) -> DataFrame
     )
 
 
-def first_articles(spark: SparkSession, path: str, n: int) -> DataFrame:
+def first_articles(spark: SparkSession, path: str, n: int, folder: str | None = None) -> DataFrame:
     """The first ``n`` valid articles in file order (files by path).
 
     Reads a prefix of the files, grown until it holds ``n`` articles, instead of
     sorting the whole input.  The prefix is written once, so that its block
     boundaries are settled; blocks that fit are kept whole and only the one block
-    the limit falls into is ordered by line.
+    the limit falls into is ordered by line.  It is written below ``folder``, by
+    default a new scratch folder, which the result reads.
     """
     if n <= 0:
         return read_articles(spark, path).limit(0)
+    folder = folder or scratch_folder(spark, "first-rows")
     sizes = spark.read.format("binaryFile").load(path).select(
         "path", "length", F.col("_metadata.file_path").alias("file")
     )
@@ -120,18 +122,17 @@ def first_articles(spark: SparkSession, path: str, n: int) -> DataFrame:
     n_bytes, budget = sizes.agg(F.sum("length")).first()[0] or 0, max(_LEAST_BYTES, n * _BYTES_PER_ROW)
     while budget < n_bytes:
         head = [row.path for row in places.where(F.col("before") < budget).collect()]
-        settled = _settle(_articles_in_place(spark, head))
+        settled = _settle(_articles_in_place(spark, head), folder)
         if settled.count() >= n:
             return _cut(settled, n)
         budget *= _GROWTH
     if scan_lines(spark, path).count() <= n:
         return read_articles(spark, path)
-    return _cut(_settle(_articles_in_place(spark, path)), n)
+    return _cut(_settle(_articles_in_place(spark, path), folder), n)
 
 
-def _settle(articles: DataFrame) -> DataFrame:
-    folder = scratch_folder(articles.sparkSession, "first-rows")
-    articles.write.parquet(folder)
+def _settle(articles: DataFrame, folder: str) -> DataFrame:
+    articles.write.mode("overwrite").parquet(folder)
     return articles.sparkSession.read.parquet(folder)
 
 

@@ -129,6 +129,8 @@ def test_snapshot_roundtrip(spark, warehouse, source, lexicon, tmp_path):
         restore_snapshot(part, repository, "s", "articles_2, articles_7")
     assert restore_snapshot(part, repository, "s", "articles_2") == ["articles_2"]
     assert part.published() == "articles_2"
+    some = Warehouse(spark, str(tmp_path / "some"))
+    assert restore_snapshot(some, repository, "s", "*_2") == ["articles_2"]
     with pytest.raises(ValueError, match="no complete snapshot"):
         restore_snapshot(part, repository, "other")
     with pytest.raises(ValueError, match="blank"):
@@ -192,6 +194,18 @@ def test_scratch_folder_is_shared(spark):
     assert folder.startswith(f"{shared}/") and folder != scratch_folder(spark, "x")
 
 
+def test_refresh_removes_its_scratch_data(spark, warehouse, source, lexicon, monkeypatch):
+    folders = []
+
+    def remembered(session, label):
+        folders.append(scratch_folder(session, label))
+        return folders[-1]
+
+    monkeypatch.setattr("newsloom.plans.refresh.scratch_folder", remembered)
+    assert refresh(warehouse, lexicon, RefreshOptions(source, max_news=3)).total_indexed == 3
+    assert len(folders) == 1 and not Folder(spark, folders[0]).exists("")
+
+
 def test_summary_as_frame(spark, warehouse, source, lexicon):
     row = refresh(warehouse, lexicon, RefreshOptions(source)).as_frame(spark).first()
     assert (row.total_indexed, row.new_index_name) == (40, "articles_1")
