@@ -13,11 +13,11 @@ from newsloom.sources.storage import scratch_folder
 JSON_SPACE = r"[ \t\r\n]*"
 # A value that closes early, so that the wrapping bracket may close early too.
 EARLY_END = rf"[}}\]]{JSON_SPACE}\]"
-# An escaped UTF-16 surrogate without its partner is not a character.
+# An escaped UTF-16 surrogate without its partner is not a character: skip plain
+# text, escapes of anything else and whole pairs; a \u that is left is alone.
 LONE_SURROGATE = (
-    r"(?<!\\)(?:\\\\)*(?:"
-    r"\\u[dD][89abAB][0-9a-fA-F]{2}(?!\\u[dD][c-fC-F])"
-    r"|(?<!\\u[dD][89abAB][0-9a-fA-F]{2})\\u[dD][c-fC-F][0-9a-fA-F]{2})"
+    r"(?s)^(?:[^\\]++|\\[^u]|\\u(?![dD][89a-fA-F])"
+    r"|\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F])*+\\u"
 )
 # -------------------------------------------------------------------------------
 

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 
@@ -50,6 +51,7 @@ DROPPED = {
     "array with number": json.dumps([*list(ROW.values())[:5], 1]),
     "array, early end": json.dumps(list(ROW.values())) + "] x",
     "lone surrogate": LINE.replace('"a"', '"\\ud800"'),
+    "low surrogate after text": LINE.replace('"a"', '"\\\\ud83d\\ude00"'),
     "lone low surrogate": LINE.replace('"a"', '"\\udc00"'),
     "control character": LINE.replace('"a"', '"\t"'),
     "cut": LINE[:-1],
@@ -70,6 +72,59 @@ def test_strict_lines(spark, tmp_path):
     assert len({r.doc_id for r in rows}) == len(rows)
 
 
+def strict(line):
+    """The six values of a line, or None, by Python's parser."""
+
+    def unique(pairs):
+        if len(dict(pairs)) < len(pairs):
+            raise ValueError
+        return dict(pairs)
+
+    def refuse(constant):
+        raise ValueError
+
+    try:
+        value = json.loads(line, object_pairs_hook=unique, parse_constant=refuse)
+        json.dumps(value, ensure_ascii=False).encode()
+    except ValueError:
+        return None
+    if isinstance(value, list) and len(value) == len(RAW_FIELDS):
+        value = dict(zip(RAW_FIELDS, value))
+    if not isinstance(value, dict):
+        return None
+    values = [value.get(name) for name in RAW_FIELDS]
+    return values if all(isinstance(v, str) for v in values) else None
+
+
+def test_random_damage_against_another_parser(spark):
+    chance = random.Random(11)
+    pieces = ["x", "", 'a"b', "é", "\\", "[1]", "}]", "{}", "€😀"]
+    extras = [1, [1, [2]], {"k": [{"z": None}]}, [[]], [{}], 1.5e3]
+    tails = ["]", "}", "],", "{}", " x", ",{}", "]]", "} ]", "] ["]
+
+    def line():
+        row = {name: chance.choice(pieces) for name in RAW_FIELDS}
+        if chance.random() < 0.3:
+            row["x"] = chance.choice(extras)
+        whole = list(row.values())[:6] if chance.random() < 0.2 else row
+        text = json.dumps(whole, ensure_ascii=chance.random() < 0.5)
+        for _ in range(chance.randint(0, 2)):
+            at = chance.randrange(len(text) + 1)
+            new = chance.choice('{}[]",:\\ue\t0 1\r-.')
+            text = chance.choice(
+                [text[:at] + new + text[at:], text[:at] + text[at + 1 :], text[:at] + new + text[at + 1 :],
+                 text + chance.choice(tails), chance.choice(" \t\r[\x0b") + text]
+            )
+        return text
+
+    lines = [line() for _ in range(6000)]
+    frame = spark.createDataFrame(list(enumerate(lines)), "number bigint, value string")
+    kept = {r.number: [r[name] for name in RAW_FIELDS] for r in ndjson.parse_lines(frame).collect()}
+    expected = {i: strict(text) for i, text in enumerate(lines)}
+    assert {i: lines[i] for i in expected if kept.get(i) != expected[i]} == {}
+    assert 1000 < len(kept) < 5000
+
+
 def test_values_are_unescaped(spark, tmp_path):
     row = {**ROW, "headline": 'a "b" \\ é \n 😀', "authors": ""}
     rows = read_articles(spark, write(tmp_path / "a.json", [json.dumps(row)])).collect()
