@@ -27,7 +27,7 @@ from newsloom.plans.snapshot import restore_snapshot, take_snapshot
 from newsloom.schema import ARTICLE_FIELDS, RAW_FIELDS
 from newsloom.sources.ndjson import first_articles, read_articles
 from newsloom.sources.storage import scratch_folder
-from newsloom.sources.warehouse import Warehouse
+from newsloom.sources.warehouse import ALIAS, Warehouse
 from newsloom.streaming.refresh import follow_files, refresh_periodically
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,6 +146,12 @@ def terms_with_other(spark: SparkSession, sf: str) -> DataFrame:
     return terms_remainder(_articles(spark, sf), "category")
 
 
+def terms_of_labels(spark: SparkSession, sf: str) -> DataFrame:
+    labels = _table(spark, sf, "labels")
+    verdict = F.concat_ws("/", F.col("quality").cast("string"), F.col("toxic").cast("string"))
+    return top_terms(labels.select(verdict.alias("verdict")), "verdict")
+
+
 def order_priorities_in_month(spark: SparkSession, sf: str) -> DataFrame:
     fields = {"o_orderdate": "date", "o_orderpriority": "keyword"}
     orders = match(_table(spark, sf, "orders"), "1995-03", "o_orderdate", fields)
@@ -248,6 +254,14 @@ def full_refresh_publish(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def published_table_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """By its stable name, after a second refresh with other rows."""
+    warehouse = _published(spark, sf)
+    odd = fixtures.write_lines(fixtures.damaged_lines(spark, sf), "damaged")
+    refresh(warehouse, fixtures.lexicon(spark), RefreshOptions(odd, max_news=None))
+    return spark.table(ALIAS).select("category", "link")
+
+
 def published_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     def twice(session: SparkSession, folder: str) -> DataFrame:
         lines = fixtures.article_lines(session, folder)
@@ -345,6 +359,7 @@ QUERIES: dict[str, Query] = {
     "terms_with_other": terms_with_other,
     "terms_return_flags": lambda spark, sf: top_terms(_table(spark, sf, "lineitem"), "l_returnflag"),
     "terms_order_priorities_top_3": lambda spark, sf: top_terms(_table(spark, sf, "orders"), "o_orderpriority", 3),
+    "terms_of_labels": terms_of_labels,
     "order_priorities_in_month": order_priorities_in_month,
     "event_types_of_day": event_types_of_day,
     "roles_mentioning": roles_mentioning,
@@ -366,6 +381,7 @@ QUERIES: dict[str, Query] = {
     "search_published_field": search_field_in_published,
     "significant_words_published": significant_in_published,
     "full_refresh_publish": full_refresh_publish,
+    "published_table_scan": published_table_scan,
     "published_duplicates": published_duplicates,
     "run_summary": run_summary,
     "version_numbers": version_numbers,

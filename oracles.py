@@ -174,6 +174,7 @@ SELECT CAST((SELECT count(*) FROM articles) - (SELECT sum(doc_count) FROM top) A
   CAST(0 AS BIGINT) AS doc_count_error_upper_bound""",
     "terms_return_flags": _top("lineitem", "l_returnflag"),
     "terms_order_priorities_top_3": _top("orders", "o_orderpriority", size=3),
+    "terms_of_labels": _top("labels", "quality || '/' || toxic"),
     "order_priorities_in_month": _top(
         "orders", "o_orderpriority", "o_orderdate >= DATE '1995-03-01' AND o_orderdate < DATE '1995-04-01'"
     ),
@@ -212,6 +213,7 @@ SELECT field, doc_id, len(tokens) AS length FROM parts WHERE len(tokens) > 0""",
     "significant_words_published": _significant("short_description", ["erst"], 15),
     "full_refresh_publish": f"""WITH {_SENTIMENT}
 SELECT {_RAW}, CAST(date AS TIMESTAMP) AS moment, sentiment_score, sentiment_polarity FROM enriched""",
+    "published_table_scan": f"WITH {_ARTICLES} SELECT category, link FROM articles WHERE {_KEPT}",
     "published_duplicates": """SELECT 'doc://' || doc_id AS link, CAST(2 AS BIGINT) AS copies,
   CAST(2 AS BIGINT) AS ids FROM documents""",
     "run_summary": _SUMMARY,
