@@ -129,3 +129,21 @@ _SCHEMAS = {
 
 def read_term_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[table]).parquet(f"{folder}/{table}")
+
+
+def entries_of(
+    spark: SparkSession, folder: str, table: str, fields: list[str], terms: list[str]
+) -> DataFrame:
+    """Records of some terms; only their directories and row groups are read."""
+    corpus = read_term_table(spark, folder, CORPUS)
+    n_buckets = corpus.agg(F.max("n_buckets")).first()[0] or LEAST_BUCKETS
+    buckets = [bucket_of(F.lit(term), n_buckets) for term in terms]
+    return read_term_table(spark, folder, table).where(
+        F.col("field").isin(fields) & F.col("bucket").isin(*buckets) & F.col("term").isin(terms)
+    )
+
+
+def matching_ids(spark: SparkSession, folder: str, field: str, terms: list[str]) -> DataFrame:
+    """``doc_id`` of the rows holding any of ``terms``, without reading their text."""
+    found = entries_of(spark, folder, POSTINGS, [field], terms).select("doc_id")
+    return found if len(terms) == 1 else found.distinct()

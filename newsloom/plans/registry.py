@@ -20,7 +20,7 @@ from newsloom.operators.significant import (
     significant_words_from_terms,
 )
 from newsloom.operators.terms import category_stats, sentiment_stats, terms_remainder, top_terms
-from newsloom.plans import fixtures
+from newsloom.plans import ask, fixtures
 from newsloom.plans.corpus import articles_from_documents, documents, texts
 from newsloom.plans.refresh import RefreshOptions, refresh, split_by_date
 from newsloom.plans.snapshot import restore_snapshot, take_snapshot
@@ -240,8 +240,15 @@ def search_field_in_published(spark: SparkSession, sf: str) -> DataFrame:
 def significant_in_published(spark: SparkSession, sf: str) -> DataFrame:
     warehouse = _published(spark, sf, term_tables=True)
     folder = warehouse.term_path(warehouse.published())
-    frequencies = term_tables.read_term_table(spark, folder, term_tables.TERM_DF)
-    return _rounded(significant_words_from_terms(warehouse.scan(), frequencies, WORD))
+    return _rounded(significant_words_from_terms(warehouse.scan(), folder, WORD))
+
+
+def category_stats_in_published(spark: SparkSession, sf: str) -> DataFrame:
+    return ask.category_stats(_published(spark, sf, term_tables=True), "ther")
+
+
+def sentiment_stats_in_published(spark: SparkSession, sf: str) -> DataFrame:
+    return ask.sentiment_stats(_published(spark, sf, term_tables=True), WORDS)
 
 
 def full_refresh_publish(spark: SparkSession, sf: str) -> DataFrame:
@@ -380,6 +387,8 @@ QUERIES: dict[str, Query] = {
     "search_published": search_in_published,
     "search_published_field": search_field_in_published,
     "significant_words_published": significant_in_published,
+    "category_stats_published": category_stats_in_published,
+    "sentiment_stats_published": sentiment_stats_in_published,
     "full_refresh_publish": full_refresh_publish,
     "published_table_scan": published_table_scan,
     "published_duplicates": published_duplicates,

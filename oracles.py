@@ -211,6 +211,9 @@ SELECT field, doc_id, len(tokens) AS length FROM parts WHERE len(tokens) > 0""",
     ),
     "search_published_field": _hits(["erst", "ther"], {"short_description": 1}, "link, score"),
     "significant_words_published": _significant("short_description", ["erst"], 15),
+    "category_stats_published": f"WITH {_ARTICLES} " + _top("articles", "category", _matches("short_description", "ther")),
+    "sentiment_stats_published": f"WITH {_SENTIMENT} "
+    + _top("enriched", "sentiment_polarity", _matches("short_description", "erst", "ther")),
     "full_refresh_publish": f"""WITH {_SENTIMENT}
 SELECT {_RAW}, CAST(date AS TIMESTAMP) AS moment, sentiment_score, sentiment_polarity FROM enriched""",
     "published_table_scan": f"WITH {_ARTICLES} SELECT category, link FROM articles WHERE {_KEPT}",

@@ -32,6 +32,18 @@ def test_questions(warehouse):
     assert [tuple(r) for r in newsloom.sentiment_stats(warehouse).collect()] == [("Positive", 16), ("Negative", 8)]
     assert [tuple(r) for r in newsloom.sentiment_stats(warehouse, "cat").collect()] == [("Negative", 4), ("Positive", 4)]
     assert [tuple(r) for r in newsloom.category_stats(warehouse, "dog").collect()] == [("c0", 4), ("c1", 4)]
+    assert [tuple(r) for r in newsloom.category_stats(warehouse, "dog cat").collect()] == [("c0", 8), ("c1", 4)]
+    assert [tuple(r) for r in newsloom.category_stats(warehouse, "c1", "category").collect()] == [("c1", 12)]
+    assert newsloom.category_stats(warehouse, "!!!").collect() == []
+    assert newsloom.category_stats(warehouse, "x", "no such field").collect() == []
+    assert newsloom.significant_words(warehouse, "!!!").collect() == []
+    with pytest.raises(ValueError, match="blank"):
+        newsloom.sentiment_stats(warehouse, " ")
+
+
+def test_published_stats_do_not_read_the_text(warehouse):
+    plan = newsloom.category_stats(warehouse, "dog")._jdf.queryExecution().executedPlan().toString()
+    assert ("short_description:string" in plan) != warehouse.has_terms(warehouse.published())
 
 
 def test_appended_rows_are_found(warehouse, lexicon, tmp_path):

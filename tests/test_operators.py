@@ -228,8 +228,9 @@ def test_significant_words_by_hand(make_articles, tmp_path, spark):
     assert [tuple(r) for r in found.collect()] == expected
     assert tuple(foreground_background(frame, "cat").first()) == (len(fg), len(rows))
     term_tables.write_term_tables(frame, str(tmp_path), n_buckets=3)
-    frequencies = term_tables.read_term_table(spark, str(tmp_path), term_tables.TERM_DF)
-    assert [tuple(r) for r in significant_words_from_terms(frame, frequencies, "cat").collect()] == expected
+    from_terms = significant_words_from_terms(frame, str(tmp_path), "cat")
+    assert [tuple(r) for r in from_terms.collect()] == expected
+    assert significant_words_from_terms(frame, str(tmp_path), "!!!").collect() == []
     assert significant_words(frame, "!!!").collect() == []
     assert len(significant_words(frame, "cat", max_words=1).collect()) == 1
 
