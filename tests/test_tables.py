@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from newsloom.plans import ask
 from newsloom.plans.refresh import RefreshOptions, refresh
 from newsloom.plans.snapshot import restore_snapshot, take_snapshot
 from newsloom.schema import ARTICLE_SCHEMA, RAW_FIELDS
@@ -59,6 +60,19 @@ def test_refresh_publishes_the_next_version(spark, warehouse, source, lexicon):
     assert warehouse.tables() == ["articles_1", "articles_3"] and warehouse.scan().count() == 0
 
 
+@pytest.mark.parametrize("options", [{}, {"max_news": None}, {"max_news": None, "n_partitions": 3}, {"term_tables": True}])
+@pytest.mark.parametrize("text", ["", "junk"])
+def test_refresh_from_nothing(warehouse, lexicon, tmp_path, options, text):
+    folder = tmp_path / "empty"
+    folder.mkdir()
+    (folder / "a.json").write_text(text)
+    summary = refresh(warehouse, lexicon, RefreshOptions(str(folder), **options))
+    assert (summary.total_indexed, summary.rejected, warehouse.scan().count()) == (0, 0, 0)
+    assert ask.fulltext_search(warehouse, "x").collect() == []
+    assert ask.category_stats(warehouse, "x").collect() == []
+    assert ask.significant_words(warehouse, "x").collect() == []
+
+
 def test_failed_run_leaves_the_published_version(warehouse, source, lexicon, tmp_path):
     refresh(warehouse, lexicon, RefreshOptions(source))
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
