@@ -8,8 +8,8 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.operators.search import search_published
 from newsloom.plans import fixtures
+from newsloom.plans.ask import category_stats, fulltext_search, significant_words
 from newsloom.plans.refresh import RefreshOptions, refresh
 from newsloom.plans.registry import QUERIES
 from newsloom.sources.storage import scratch_folder
@@ -71,13 +71,10 @@ def main() -> None:
     timed(times, "ingest_short", lambda: refresh(warehouse, lexicon, RefreshOptions(short)))
     timed(times, "ingest", lambda: refresh(warehouse, lexicon, RefreshOptions(source)))
     table = warehouse.published()
-    folder = warehouse.term_path(table)
     timed(times, "term_tables", lambda: warehouse.write_terms(table))
-    timed(
-        times,
-        "search_published",
-        lambda: run(search_published(warehouse.scan(), folder, "the erst en")),
-    )
+    timed(times, "search_published", lambda: run(fulltext_search(warehouse, "the erst en")))
+    timed(times, "category_stats_published", lambda: run(category_stats(warehouse, "ther")))
+    timed(times, "significant_words_published", lambda: run(significant_words(warehouse, "erst")))
     for name in DIRECT:
         timed(times, name, lambda: run(QUERIES[name](spark, FOLDER)))
     print(

@@ -86,7 +86,8 @@ def date_conformance(spark: SparkSession, sf: str) -> DataFrame:
     text = fixtures.date_forms(F.col("date"), F.col("doc_id"))
     dated = docs.select("doc_id", text.alias("date"))
     moment = parse_date(F.col("date"))
-    return dated.select("doc_id", "date", moment.isNotNull().alias("accepted"), moment.alias("moment"))
+    shown = F.coalesce(moment.cast("string"), F.lit("refused"))
+    return dated.select("doc_id", "date", moment.isNotNull().alias("accepted"), shown.alias("moment"))
 
 
 def rejected_articles(spark: SparkSession, sf: str) -> DataFrame:
@@ -255,7 +256,7 @@ def full_refresh_publish(spark: SparkSession, sf: str) -> DataFrame:
     warehouse = _published(spark, sf)
     return warehouse.scan().select(
         *RAW_FIELDS,
-        F.col("date_ts").alias("moment"),
+        F.col("date_ts").cast("string").alias("moment"),
         F.col("sentiment_score").cast("double").alias("sentiment_score"),
         "sentiment_polarity",
     )
@@ -293,7 +294,8 @@ def version_numbers(spark: SparkSession, sf: str) -> DataFrame:
     signed = F.when(F.col("doc_id") % 3 == 0, F.lit("_")).when(F.col("doc_id") % 3 == 1, F.lit("_+"))
     name = F.concat("source", F.coalesce(signed, F.lit("_v")), key)
     names = documents(spark, sf).select(name.alias("name"))
-    return names.select("name", version_of(F.col("name")).alias("version"))
+    version = F.coalesce(version_of(F.col("name")), F.lit(-1).cast("bigint"))
+    return names.select("name", version.alias("version"))
 
 
 def snapshot_roundtrip(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -19,11 +20,15 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     if not shared:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="newsloom-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        shared = _folder_of_this_machine()
     return f"{shared.rstrip('/')}/newsloom/{label}-{uuid.uuid4().hex}"
 
 
+@functools.cache
+def _folder_of_this_machine() -> str:
+    return tempfile.mkdtemp(prefix="newsloom-")
+
+
 class Folder:
     """One folder of any file system Hadoop can reach."""
 

@@ -148,7 +148,8 @@ ORACLES: dict[str, str] = {
     "ndjson_scan_strict": f"WITH {_ARTICLES} SELECT {_RAW} FROM articles WHERE {_KEPT}",
     "first_n_rows": f"""WITH {_ARTICLES} SELECT link, headline, date FROM articles WHERE {_KEPT}
 ORDER BY doc_id LIMIT 250""",
-    "date_conformance": f"WITH {_DATES} SELECT doc_id, date, moment IS NOT NULL AS accepted, moment FROM dates",
+    "date_conformance": f"WITH {_DATES} SELECT doc_id, date, moment IS NOT NULL AS accepted, "
+    "coalesce(CAST(moment AS VARCHAR), 'refused') AS moment FROM dates",
     "rejected_articles": """SELECT 'doc://' || doc_id AS link,
   CASE WHEN doc_id % 16 < 10 THEN 'accepted' ELSE 'rejected' END AS outcome FROM documents""",
     "tokenize": f"""WITH t AS (SELECT doc_id, {_tokens("text")} AS tokens FROM documents)
@@ -215,13 +216,13 @@ SELECT field, doc_id, len(tokens) AS length FROM parts WHERE len(tokens) > 0""",
     "sentiment_stats_published": f"WITH {_SENTIMENT} "
     + _top("enriched", "sentiment_polarity", _matches("short_description", "erst", "ther")),
     "full_refresh_publish": f"""WITH {_SENTIMENT}
-SELECT {_RAW}, CAST(date AS TIMESTAMP) AS moment, sentiment_score, sentiment_polarity FROM enriched""",
+SELECT {_RAW}, CAST(CAST(date AS TIMESTAMP) AS VARCHAR) AS moment, sentiment_score, sentiment_polarity FROM enriched""",
     "published_table_scan": f"WITH {_ARTICLES} SELECT category, link FROM articles WHERE {_KEPT}",
     "published_duplicates": """SELECT 'doc://' || doc_id AS link, CAST(2 AS BIGINT) AS copies,
   CAST(2 AS BIGINT) AS ids FROM documents""",
     "run_summary": _SUMMARY,
     "version_numbers": """SELECT source || CASE doc_id % 3 WHEN 0 THEN '_' WHEN 1 THEN '_+' ELSE '_v' END || doc_id AS name,
-  CASE WHEN doc_id % 3 < 2 THEN doc_id END AS version FROM documents""",
+  CASE WHEN doc_id % 3 < 2 THEN doc_id ELSE -1 END AS version FROM documents""",
     "snapshot_roundtrip": f"WITH {_SENTIMENT} SELECT {_RAW}, sentiment_polarity FROM enriched",
     "snapshot_restore_subset": f"WITH {_SENTIMENT} SELECT link, sentiment_polarity FROM enriched WHERE {_KEPT}",
     "stream_follow_files": f"WITH {_SENTIMENT} SELECT {_RAW}, sentiment_polarity FROM enriched WHERE {_KEPT}",

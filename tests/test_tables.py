@@ -1,4 +1,5 @@
 import json
+from types import SimpleNamespace
 
 import pytest
 
@@ -208,6 +209,16 @@ def test_scratch_folder_is_shared(spark):
     assert folder.startswith(f"{shared}/") and folder != scratch_folder(spark, "x")
 
 
+@pytest.mark.parametrize("master", ["local", "local[8]", "yarn", "spark://host:7077", ""])
+def test_scratch_folder_without_a_shared_one(master):
+    session = SimpleNamespace(conf=SimpleNamespace(get={"spark.master": master}.get))
+    if master.startswith("local"):
+        assert scratch_folder(session, "x") != scratch_folder(session, "x")
+    else:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch_folder(session, "x")
+
+
 def test_refresh_removes_its_scratch_data(spark, warehouse, source, lexicon, monkeypatch):
     folders = []
 
