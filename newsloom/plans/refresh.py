@@ -81,7 +81,8 @@ def refresh(
 
     A failed run leaves at most an unpublished folder, which the next run
     replaces.  Readers change over only when the new version is complete, and the
-    superseded one is deleted after that, unless ``leave_old``.
+    superseded one is deleted after that, unless ``leave_old``.  One run at a
+    time may write to a warehouse; a run that was overtaken does not publish.
     """
     started = time.monotonic()
     spark, scratch = warehouse.spark, None
@@ -105,7 +106,7 @@ def refresh(
     accepted = warehouse.read(new).count()  # from the file footers
     if options.term_tables:
         warehouse.write_terms(new)
-    warehouse.publish(new)
+    warehouse.replace_published(old, new)
     if old is not None and not options.leave_old:
         warehouse.drop(old)
     refused = 0 if rejected is None else rejected.get["rejected"]

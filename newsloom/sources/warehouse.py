@@ -128,6 +128,13 @@ class Warehouse:
         self._folder.replace_text(f"{_POINTERS}/{alias}", table)
         self.read(table).createOrReplaceTempView(alias)
 
+    def replace_published(self, old: str | None, new: str, alias: str = ALIAS) -> None:
+        """``publish``, refused if another run has published since ``old`` was read."""
+        current = self.published(alias)
+        if current != old:
+            raise ValueError(f"{alias!r} has moved from {old!r} to {current!r}")
+        self.publish(new, alias)
+
     # -- reading ----------------------------------------------------------------
 
     def read(self, table: str) -> DataFrame:

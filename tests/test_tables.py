@@ -86,6 +86,21 @@ def test_failed_run_leaves_the_published_version(warehouse, source, lexicon, tmp
     assert warehouse.published() == "articles_2" and warehouse.scan().count() == 39
 
 
+def test_overtaken_run_does_not_publish(warehouse, source, lexicon, monkeypatch):
+    refresh(warehouse, lexicon, RefreshOptions(source, leave_old=True))
+    warehouse.write(warehouse.scan(), "articles_7")
+    write_rows = warehouse.write
+
+    def overtaken(*args, **kwargs):
+        write_rows(*args, **kwargs)
+        warehouse.publish("articles_7")
+
+    monkeypatch.setattr(warehouse, "write", overtaken)
+    with pytest.raises(ValueError, match="has moved"):
+        refresh(warehouse, lexicon, RefreshOptions(source))
+    assert warehouse.published() == "articles_7" and warehouse.has_table("articles_1")
+
+
 def test_create_fails_if_the_table_exists(warehouse):
     assert warehouse.create(1) == "articles_1"
     assert warehouse.has_table("articles_1") and warehouse.read("articles_1").count() == 0
