@@ -70,6 +70,13 @@ def test_counts_are_partial_before_the_shuffle(stored):
     assert plan.count("Exchange") == 1 and "partial_count" in plan
 
 
+def test_significant_words_scan_the_table_once(stored):
+    """The words and the total share one shuffle."""
+    words = significant.significant_words(stored, "cat")
+    words.collect()
+    assert "ReusedExchange" in physical(words)
+
+
 def test_search_shuffles_neither_rows_nor_tokens(stored):
     plan = physical(ranked.search(stored, "cat dog").select("doc_id", "score"))
     main, _, subqueries = plan.partition("Subquery")
