@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import quality_classifier, quality_rules
+from newsloom.llm import pieces, quality_classifier, quality_rules
 from newsloom.llm.common import read_table
 
 
@@ -14,6 +14,11 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(docs, forest)
 
 
+def op3_sentencepiece(spark: SparkSession, folder: str, model: str | None = None) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    return pieces.digests(docs, pieces.read_model(model or pieces.public_model()))
+
+
 def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     forest = quality_classifier.fit(docs, read_table(spark, folder, "labels"))
@@ -22,6 +27,7 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_sentencepiece": op3_sentencepiece,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
