@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import quality_rules
+from newsloom.llm import quality_rules, simhash
 from newsloom.llm.common import read_table, stored
 
 
@@ -13,7 +13,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
     return quality_rules.keep(docs, quality_rules.fit(docs, read_table(spark, folder, "labels")))
 
 
-STAGES = [("quality rules", quality_stage)]
+def duplicates_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates."""
+    return simhash.deduplicate(docs)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("near duplicates", duplicates_stage),
+]
 
 #: SQL cannot express the stages that apply trained models and hashes.
 ORACLE_SQL = None

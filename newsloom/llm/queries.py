@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import pieces, quality_classifier, quality_rules
+from newsloom.llm import pieces, quality_classifier, quality_rules, simhash
 from newsloom.llm.common import read_table
 
 
@@ -19,6 +19,10 @@ def op3_sentencepiece(spark: SparkSession, folder: str, model: str | None = None
     return pieces.digests(docs, pieces.read_model(model or pieces.public_model()))
 
 
+def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.components_of(read_table(spark, folder, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     forest = quality_classifier.fit(docs, read_table(spark, folder, "labels"))
@@ -28,6 +32,7 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_sentencepiece": op3_sentencepiece,
+    "op7_simhash": op7_simhash,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
