@@ -346,10 +346,10 @@ def deduplicate(docs: DataFrame, width: int = SHINGLE, distance: int = MAX_DISTA
     stay = _classes(prints, distance).select(
         F.col("first.doc_id").alias("_stay_id"), F.col("first.text_hash").alias("_stay_hash")
     )
-    keyed = docs.withColumn("_stay_hash", F.xxhash64("text"))
-    found = keyed.join(
-        stay.distinct().withColumnRenamed("_stay_hash", "_hash"),
-        F.col("doc_id").eqNullSafe(F.col("_stay_id")) & (F.col("_stay_hash") == F.col("_hash")),
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("hash"))
+    found = rows.join(
+        stay.distinct(),
+        F.col("doc_id").eqNullSafe(F.col("_stay_id")) & (F.col("hash") == F.col("_stay_hash")),
         "left_semi",
     )
-    return found.dropDuplicates(["_stay_hash", "doc_id"]).select(*docs.columns)
+    return found.dropDuplicates(["hash", "doc_id"]).select("row.*")
