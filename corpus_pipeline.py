@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from newsloom.llm import quality_rules, simhash
+from newsloom.llm import decontaminate, pieces, quality_rules, secrets, simhash
 from newsloom.llm.common import read_table, stored
 
 
@@ -18,12 +19,31 @@ def duplicates_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataF
     return simhash.deduplicate(docs)
 
 
+def benchmark_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Rejects documents that hold a window of a benchmark item."""
+    return decontaminate.clean(docs, read_table(spark, folder, "benchmark"))
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Puts a mark in place of every secret; n_chars follows the text."""
+    clean = secrets.redact(docs)
+    return clean.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def pieces_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Encodes what is left, and decodes it again."""
+    return pieces.digests(docs, pieces.read_model(pieces.public_model()))
+
+
 STAGES = [
     ("quality rules", quality_stage),
     ("near duplicates", duplicates_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("secret scans", secrets_stage),
+    ("sentencepiece", pieces_stage),
 ]
 
-#: SQL cannot express the stages that apply trained models and hashes.
+#: SQL cannot express the stages with trained trees, fingerprints and the tokenizer.
 ORACLE_SQL = None
 
 

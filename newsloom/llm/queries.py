@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import decontaminate, pieces, quality_classifier, quality_rules, simhash
+from newsloom.llm import decontaminate, pieces, quality_classifier, quality_rules, secrets, simhash
 from newsloom.llm.common import read_table
 
 
@@ -28,6 +28,10 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.components_of(read_table(spark, folder, "documents"))
 
 
+def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(read_table(spark, folder, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     forest = quality_classifier.fit(docs, read_table(spark, folder, "labels"))
@@ -39,6 +43,7 @@ QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_decontaminate": op4_decontaminate,
     "op7_simhash": op7_simhash,
+    "op9_secrets": op9_secrets,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
