@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import decontaminate, pieces, quality_classifier, quality_rules, secrets, simhash
+from newsloom.llm import decontaminate, pieces, quality_classifier, quality_rules, secrets, simhash, toxicity
 from newsloom.llm.common import read_table
 
 
@@ -14,6 +14,11 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(docs, forest)
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read_table(spark, folder, "labels")))
+
+
 def op3_sentencepiece(spark: SparkSession, folder: str, model: str | None = None) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     return pieces.digests(docs, pieces.read_model(model or pieces.public_model()))
@@ -40,6 +45,7 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_toxicity": op2_toxicity,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_decontaminate": op4_decontaminate,
     "op7_simhash": op7_simhash,
