@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import decontaminate, pieces, quality_classifier, quality_rules, secrets, simhash, toxicity
+from newsloom.llm import decontaminate, language_model, pieces, quality_classifier, quality_rules, secrets, simhash, toxicity
 from newsloom.llm.common import read_table
 
 
@@ -29,6 +29,10 @@ def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.judge(read_table(spark, folder, "documents"), items)
 
 
+def op5_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.learn_and_score(read_table(spark, folder, "documents"))
+
+
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.components_of(read_table(spark, folder, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_decontaminate": op4_decontaminate,
+    "op5_language_model": op5_language_model,
     "op7_simhash": op7_simhash,
     "op9_secrets": op9_secrets,
     "op10_quality_classifier": op10_quality_classifier,
