@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import decontaminate, language_model, pieces, quality_classifier, quality_rules, secrets, simhash, toxicity
+from newsloom.llm import decontaminate, html_text, language_model, pieces, quality_classifier, quality_rules, secrets, simhash, toxicity
 from newsloom.llm.common import read_table
 
 
@@ -33,6 +33,10 @@ def op5_language_model(spark: SparkSession, folder: str) -> DataFrame:
     return language_model.learn_and_score(read_table(spark, folder, "documents"))
 
 
+def op6_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(read_table(spark, folder, "pages"))
+
+
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.components_of(read_table(spark, folder, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_decontaminate": op4_decontaminate,
     "op5_language_model": op5_language_model,
+    "op6_html_text": op6_html_text,
     "op7_simhash": op7_simhash,
     "op9_secrets": op9_secrets,
     "op10_quality_classifier": op10_quality_classifier,
