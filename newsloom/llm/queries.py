@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import decontaminate, html_text, language_model, pieces, quality_classifier, quality_rules, secrets, simhash, toxicity
+from newsloom.llm import (
+    decontaminate,
+    html_text,
+    language_model,
+    pieces,
+    quality_classifier,
+    quality_rules,
+    secrets,
+    simhash,
+    substrings,
+    toxicity,
+)
 from newsloom.llm.common import read_table
 
 
@@ -41,6 +52,10 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.components_of(read_table(spark, folder, "documents"))
 
 
+def op8_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.remove(read_table(spark, folder, "documents"))
+
+
 def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(read_table(spark, folder, "documents"))
 
@@ -59,6 +74,7 @@ QUERIES = {
     "op5_language_model": op5_language_model,
     "op6_html_text": op6_html_text,
     "op7_simhash": op7_simhash,
+    "op8_substrings": op8_substrings,
     "op9_secrets": op9_secrets,
     "op10_quality_classifier": op10_quality_classifier,
 }
