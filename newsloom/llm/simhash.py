@@ -40,6 +40,9 @@ SEED = 42
 BLOCK = 8_192
 #: Costs that the plan weighs: one row sent, one pair compared (seconds).
 ROW_COST, PAIR_COST = 2e-6, 2e-9
+#: Each value a fingerprint is sent to is an expression of the plan: what it costs, in rows,
+#: and how many there may be for a group.  With thresholds of zero there is one.
+FLIP_ROWS, MAX_FLIPS = 1_000, 1_024
 
 
 # Fingerprints.
@@ -197,7 +200,8 @@ def _costs(differ: np.ndarray, n: int, distance: int) -> list[float]:
         ball += ways
         ways = ways * (len(differ) - t) // (t + 1)
         pairs = n * n / 2 * chance[: t + 1].sum() * ball
-        out.append(n * ball * ROW_COST + pairs * PAIR_COST)
+        cost = (n + FLIP_ROWS) * ball * ROW_COST + pairs * PAIR_COST
+        out.append(cost if ball <= MAX_FLIPS else np.inf)
     return out
 
 
