@@ -34,9 +34,10 @@ from newsloom.llm import octets as o
 LENGTH = 400
 #: Offsets of a block of windows, and what crowded buckets are cut into.
 GROUPS = (128, 16, 2, 1)
-CONTEXTS = 2_048
-BLOCK_BYTES = 1 << 20
-SEGMENT = 4 << 20
+CONTEXTS = 1_024
+BLOCK_BYTES = 1 << 18
+SEGMENT = 1 << 20
+STEP_BYTES = 1 << 18
 
 ROW = ["k1", "k2"]
 BUCKET = ["core", "context"]
@@ -68,7 +69,7 @@ def context_rows(docs: DataFrame, length: int) -> DataFrame:
     from byte ``first`` to ``last``."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in common.text_steps(batches, "text"):
+        for batch, data, offsets in common.text_steps(batches, "text", STEP_BYTES):
             k1, k2 = (np.asarray(batch.column(c)) for c in ROW)
             for part, bounds, start in _segments(data, offsets, length):
                 row, first, last, anchor, core, context = anchors.blocks(part, bounds, length, GROUPS[0])
@@ -140,7 +141,7 @@ def _cut(rows: DataFrame, length: int, group: int) -> DataFrame:
     """The contexts again, with at most ``group`` offsets each."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in common.text_steps(_binary_as_text(batches), "part"):
+        for batch, data, offsets in common.text_steps(_binary_as_text(batches), "part", STEP_BYTES):
             first, last, anchor = (np.asarray(batch.column(c)) for c in ("first", "last", "anchor"))
             windows = last - first + 1
             row = np.repeat(np.arange(len(first)), windows)
