@@ -32,7 +32,8 @@ from newsloom.llm import anchors, common, suffixes
 from newsloom.llm import octets as o
 
 LENGTH = 400
-#: Offsets of a block of windows, and what crowded buckets are cut into.
+#: Offsets of a block of windows, and what crowded buckets are cut into; those above a third
+#: of the length are left out.
 GROUPS = (128, 16, 2, 1)
 CONTEXTS = 1_024
 BLOCK_BYTES = 1 << 18
@@ -53,6 +54,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+def groups_for(length: int) -> tuple[int, ...]:
+    if length < 2 * anchors.GRAM:
+        raise ValueError(f"the length must be at least {2 * anchors.GRAM}")
+    return tuple(g for g in GROUPS if g <= length // 3)
+
+
 def _segments(data: np.ndarray, offsets: np.ndarray, length: int):
     """The step whole, or a long text in segments that share all but one byte of a window;
     with the place where each begins in its text."""
@@ -72,7 +79,7 @@ def context_rows(docs: DataFrame, length: int) -> DataFrame:
         for batch, data, offsets in common.text_steps(batches, "text", STEP_BYTES):
             k1, k2 = (np.asarray(batch.column(c)) for c in ROW)
             for part, bounds, start in _segments(data, offsets, length):
-                row, first, last, anchor, core, context = anchors.blocks(part, bounds, length, GROUPS[0])
+                row, first, last, anchor, core, context = anchors.blocks(part, bounds, length, groups_for(length)[0])
                 base = bounds[row] - start
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -95,7 +102,10 @@ def _spans(rows: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(k1, k2, begin, end): bytes of the rows of ``docs`` (keyed) covered by repeats; the
     spans may overlap."""
-    rows = common.stored(context_rows(docs, length), "contexts")
+    every = common.stored(context_rows(docs, length), "contexts")
+    # Most buckets are met once; their contexts go before anything wide is shuffled.
+    again = every.groupBy("core").agg(F.count("*").alias("met")).where("met > 1").select("core")
+    rows = common.stored(every.join(again, "core", "left_semi").select(*every.columns), "met-again")
     one = F.min(F.struct(*ROW, "first", "last", "anchor")).alias("one")
     contexts = common.stored(
         rows.groupBy(*BUCKET).agg(F.count("*").alias("n"), one), "different-contexts"
@@ -113,7 +123,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     )
     # Rows with one key are alike, and bring the same part.
     fetched = common.stored(fetched.dropDuplicates(BUCKET), "fetched")
-    return spans.unionByName(_settled(fetched, length, GROUPS[1:]))
+    return spans.unionByName(_settled(fetched, length, groups_for(length)[1:]))
 
 
 def _settled(rows: DataFrame, length: int, groups: tuple[int, ...]) -> DataFrame:
