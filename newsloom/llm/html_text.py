@@ -27,7 +27,7 @@ from newsloom.llm.html_blocks import HEADINGS, Block, read_blocks
 
 #: Evidence for content, in log-odds.
 IN_ARTICLE, IN_BOILERPLATE, HEADING = 5.0, -9.0, 0.5
-START, PER_LOG_CHAR, PER_SENTENCE, LINK_SHARE = -0.3, 0.4, 0.3, -4.0
+START, PER_LOG_CHAR, PER_SENTENCE, LINK_SHARE = -0.2, 0.4, 0.3, -4.0
 MOST_SENTENCES = 5
 #: Weight of an edge between neighbours and between siblings, and how fast distance in the
 #: tree takes it away.

@@ -151,7 +151,7 @@ class Model:
 
 
 def vocabulary(counts: DataFrame, frequent: int = FREQUENT) -> Vocabulary:
-    """Collects at most ``frequent`` rows: all tokens that occur often enough, by a limit that
+    """Collects at most ``frequent`` rows and the end: all tokens that occur often enough, by a limit that
     so many at most reach.  The limit comes from counts of counts, some hundred rows."""
     level = F.floor(8 * F.log2("n")).cast("int")
     levels = counts.groupBy(level.alias("level")).agg(F.count("*").alias("tokens")).collect()
@@ -162,14 +162,13 @@ def vocabulary(counts: DataFrame, frequent: int = FREQUENT) -> Vocabulary:
             break
         least_level = row.level
     least = int(np.ceil(2 ** (least_level / 8) - 1e-9)) if least_level is not None else 1 << 62
-    if least_level is not None:
-        often = counts.where(level >= least_level)
-        found = often.select("token", "shared", "n").toArrow()
-        token = np.asarray(found.column("token")).view(np.uint64)
-        shared = np.asarray(found.column("shared"), np.int64)
-        n = np.asarray(found.column("n"), np.int64)
-    else:
-        token, shared, n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # The end has a class of its own, however rare it is.
+    is_end = F.col("token") == int(END.view(np.int64))
+    often = F.lit(False) if least_level is None else level >= least_level
+    found = counts.where(often | is_end).select("token", "shared", "n").toArrow()
+    token = np.asarray(found.column("token"), np.int64).view(np.uint64)
+    shared = np.asarray(found.column("shared"), np.int64)
+    n = np.asarray(found.column("n"), np.int64)
     order = np.argsort(token)
     token, shared, n = token[order], shared[order], n[order]
     kind = CLASSES - SHARED + shared

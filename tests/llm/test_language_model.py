@@ -92,8 +92,10 @@ def test_counts_merge_and_bounds_hold(make_docs, rows, monkeypatch):
     counts = common.stored(lm.count_tokens(docs), "counts")
     for bound in (0, 1, 7, 60):
         words = lm.vocabulary(counts, bound)
-        assert len(words.token) <= bound
-        assert sorted(words.count) == sorted(n for n in whole.values() if n >= words.least)
+        assert len(words.token) <= bound + 1 and lm.END in words.token
+        assert {int(t): n for t, n in zip(words.token.view(np.int64), words.count)} == {
+            t: n for t, n in whole.items() if n >= words.least or t == int(lm.END.view(np.int64))
+        }
 
 
 def test_odd_tables(odd_docs, odd_rows, no_docs, make_docs):
