@@ -191,7 +191,8 @@ def judge(
     if hits is None:
         rows = cut.withColumns({"n_hit": F.lit(0), "items": none})
     else:
-        rows = cut.join(_per_text(hits), KEY, "left")
+        # Written, so that the join reads plain shuffles and a text with many copies is split.
+        rows = cut.join(stored(_per_text(hits), "hits"), KEY, "left")
     found = F.coalesce("items", none)
     return rows.select(
         "doc_id",
@@ -211,4 +212,5 @@ def clean(
     if hits is None:
         return docs
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("_hash"), F.hash("text").alias("_check"))
-    return rows.join(hits.select(*KEY).distinct(), KEY, "left_anti").select("row.*")
+    texts = stored(hits.select(*KEY).distinct(), "contaminated")
+    return rows.join(texts, KEY, "left_anti").select("row.*")
