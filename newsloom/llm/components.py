@@ -27,6 +27,8 @@ def _hung(edges: DataFrame, both_ways: bool) -> DataFrame:
     low = links.groupBy(F.col("node").alias("hub")).agg(
         F.least(F.min("other"), F.first("node")).alias("low")
     )
+    # Written, so that the join reads plain shuffles, which are split for such a node.
+    low = stored(low, "minima")
     if both_ways:
         links = up.join(low, F.col("node") == F.col("hub"))
         moved = links.select(F.col("other").alias("a"), F.col("low").alias("b"))

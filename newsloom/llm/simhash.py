@@ -327,7 +327,9 @@ def _classes(prints: DataFrame, distance: int) -> DataFrame:
     named = different.join(roots, different["fp"] == roots["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
-    first = named.groupBy("root").agg(F.min("first").alias("first"))
+    # Written, so that the join reads plain shuffles and a large component is split.
+    named = common.stored(named, "named")
+    first = common.stored(named.groupBy("root").agg(F.min("first").alias("first")), "firsts")
     return named.select("fp", "root").join(first, "root").select("fp", "first")
 
 
