@@ -104,7 +104,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spans may overlap."""
     every = common.stored(context_rows(docs, length), "contexts")
     # Most buckets are met once; their contexts go before anything wide is shuffled.
+    # Written, so that the join after it reads plain shuffles, which are split if a bucket
+    # holds very many rows.
     again = every.groupBy("core").agg(F.count("*").alias("met")).where("met > 1").select("core")
+    again = common.stored(again, "buckets")
     rows = common.stored(every.join(again, "core", "left_semi").select(*every.columns), "met-again")
     one = F.min(F.struct(*ROW, "first", "last", "anchor")).alias("one")
     contexts = common.stored(
@@ -114,6 +117,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spans = _spans(whole, length)
 
     several = contexts.groupBy("core").agg(F.count("*").alias("contexts")).where("contexts > 1")
+    several = common.stored(several, "several")
     open_rows = contexts.join(several, "core").select(*BUCKET, "n", "contexts", "one.*")
     size = F.col("last") - F.col("first") + length
     texts = docs.select(*ROW, F.col("text").cast("binary").alias("bytes"))
