@@ -1,6 +1,13 @@
 """Analytics for collections of short texts, on Spark."""
 
-from newsloom.plans.ask import category_stats, fulltext_search, sentiment_stats, significant_words
+from newsloom.plans.ask import (
+    category_remainder,
+    category_stats,
+    fulltext_search,
+    sentiment_stats,
+    significant_sizes,
+    significant_words,
+)
 from newsloom.plans.refresh import RefreshOptions, RefreshSummary, refresh
 from newsloom.plans.snapshot import restore_snapshot, take_snapshot
 from newsloom.session import configured
@@ -11,6 +18,7 @@ __all__ = [
     "RefreshOptions",
     "RefreshSummary",
     "Warehouse",
+    "category_remainder",
     "category_stats",
     "configured",
     "follow_files",
@@ -19,6 +27,7 @@ __all__ = [
     "refresh_periodically",
     "restore_snapshot",
     "sentiment_stats",
+    "significant_sizes",
     "significant_words",
     "take_snapshot",
 ]

@@ -2,8 +2,8 @@
 
 Accepted: ``yyyy[-MM[-dd[THH[:mm[:ss[.fraction]]][zone]]]]`` with zone ``Z``,
 ``+hh``, ``+hhmm`` or ``+hh:mm``, and epoch milliseconds (a run of digits that
-is not four digits long).  Instants are kept to the millisecond as UTC
-wall-clock ``TIMESTAMP_NTZ``.
+is not four digits long, up to the largest moment a timestamp holds).  Instants are
+kept to the millisecond as UTC wall-clock ``TIMESTAMP_NTZ``.
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ _TIME = r"\d{2}(?::\d{2}(?::\d{2}(?:[.,]\d{1,9})?)?)?"
 _ZONE = r"Z|[+-]\d{2}(?::?\d{2})?"
 ISO = rf"\d{{4}}(?:-\d{{2}}(?:-\d{{2}}(?:T{_TIME}(?:{_ZONE})?)?)?)?"
 DAY = r"\d{4}-\d{2}-\d{2}"
-EPOCH_MILLIS = r"\d{1,3}|\d{5,15}"
+EPOCH_MILLIS = r"\d{1,3}|\d{5,19}"
+# The last millisecond of a timestamp of 64-bit microseconds.
+MAX_MILLIS = 9_223_372_036_854_775
 # -------------------------------------------------------------------------------
 
 
@@ -43,11 +45,16 @@ def parse_date(text: Column) -> Column:
         (hours <= 18) & (minutes <= 59), moment - shift
     )
     epoch = F.expr("TIMESTAMP_NTZ '1970-01-01'")
-    seconds = (text.try_cast("bigint") / F.lit(1000)).cast("decimal(18,6)")
+    # Microseconds beyond 64 bits are no moment a timestamp holds.
+    millis = text.try_cast("bigint")
+    millis = F.when(millis <= MAX_MILLIS, millis)
+    days = F.call_function("div", millis, F.lit(86_400_000)).cast("int")
+    seconds = ((millis % F.lit(86_400_000)) / F.lit(1000)).cast("decimal(18,6)")
+    moment_of_epoch = epoch + F.make_dt_interval(days=days, secs=seconds)
     return (
         F.when(_is(text, DAY), text.try_cast("timestamp_ntz"))
         .when(_is(text, ISO), iso)
-        .when(_is(text, EPOCH_MILLIS), epoch + F.make_dt_interval(secs=seconds))
+        .when(_is(text, EPOCH_MILLIS), moment_of_epoch)
     )
 
 

@@ -57,7 +57,6 @@ def _word_pattern() -> str:
 # Swallowing what follows a word spares the search the places where none begins;
 # no word begins with one of these characters.
 WORD = rf"""({_word_pattern()})[ \t\r\n,.;:!?"'()-]*+"""
-MAX_SUBSTRING_TESTS = 16
 _LONG_RUN = rf"(?<!\S)\S{{{MAX_TOKEN_CHARS + 1}}}"
 _PIECE = rf"[^ ]{{1,{MAX_TOKEN_CHARS}}}"
 
@@ -85,7 +84,7 @@ def tokenise_lowered(lowered: Column) -> Column:
 
 
 def query_tokens(spark: SparkSession, query: str) -> list[str]:
-    """Tokens of a query string; bounded by the query, evaluated without a job."""
+    """Tokens of a query string; bounded by the query, evaluated by a job over one row."""
     return list(spark.range(1).select(tokenise(F.lit(query)).alias("tokens")).first().tokens)
 
 
@@ -97,14 +96,12 @@ def mentions(lowered: Column, tokens: list[str]) -> Column:
     """Substring test every lower-cased text holding one of ``tokens`` must pass.
 
     Tokens are substrings of that text, so this test is cheap and spares the
-    segmentation of rows that cannot match.  With many tokens it would cost more
-    than it saves, and passes every row.
+    segmentation of rows that cannot match; one pattern tests for all of them.
     """
     wanted = sorted(set(tokens))
-    test = F.lit(len(wanted) > MAX_SUBSTRING_TESTS)
-    for token in wanted[:MAX_SUBSTRING_TESTS]:
-        test = test | lowered.contains(token)
-    return test
+    if len(wanted) == 1:
+        return lowered.contains(wanted[0])
+    return lowered.rlike("|".join(rf"\Q{token}\E" for token in wanted)) if wanted else F.lit(False)
 
 
 def has_any_token(text: Column, tokens: list[str]) -> Column:

@@ -3,10 +3,13 @@
 ``postings``  field, bucket, term, doc_id, tf, length, is_first
 ``term_df``   field, bucket, term, df
 ``corpus``    field, n_docs, n_tokens, n_buckets
+``row_terms`` field, doc_id, terms
 
 ``bucket`` is a hash of the term and a directory level, so that a query reads
 only the directories of its own terms; within a file, terms are sorted, so that
-row groups without them are skipped.
+row groups without them are skipped.  ``row_terms`` has the distinct terms of
+each row, in the order of the rows.  Above these levels is ``part``: the table as
+it was written, or one folder appended to it; counts add up over the parts.
 """
 
 from __future__ import annotations
@@ -17,7 +20,8 @@ from pyspark.sql import functions as F
 from newsloom.functions.text import tokenise
 from newsloom.schema import TEXT_FIELDS
 
-POSTINGS, TERM_DF, CORPUS = "postings", "term_df", "corpus"
+POSTINGS, TERM_DF, CORPUS, ROW_TERMS = "postings", "term_df", "corpus", "row_terms"
+BASE_PART = "base"
 # Directories per field: few for a small table, and for a large one enough that
 # a query term's directory is a small part of it.
 LEAST_BUCKETS, MOST_BUCKETS, BYTES_PER_BUCKET = 8, 4096, 256 * 1024 * 1024
@@ -84,37 +88,51 @@ def write_term_tables(
     folder: str,
     fields: tuple[str, ...] = TEXT_FIELDS,
     n_buckets: int = LEAST_BUCKETS,
+    part: str = BASE_PART,
 ) -> None:
-    """Write the three tables of ``articles`` below ``folder``.
+    """Write the tables of ``articles`` below ``folder``, as one part of them.
 
     Text is segmented once.  The rebalance groups equal buckets and lets adaptive
-    execution split those a frequent term makes large; the two smaller tables are
+    execution split those a frequent term makes large; the other tables are
     derived from the written postings.
     """
     spark = articles.sparkSession
+
+    def place(table: str) -> str:
+        return f"{folder}/{table}/part={part}"
+
     bucketed = postings(articles, fields).withColumn("bucket", bucket_of(F.col("term"), n_buckets))
     (
         bucketed.hint("rebalance", "field", "bucket")
         .sortWithinPartitions("field", "bucket", "term", "doc_id")
         .write.mode("overwrite")
         .partitionBy("field", "bucket")
-        .parquet(f"{folder}/{POSTINGS}")
+        .parquet(place(POSTINGS))
     )
-    written = read_term_table(spark, folder, POSTINGS)
+    written = spark.read.schema(_SCHEMAS[POSTINGS]).parquet(place(POSTINGS))
     (
         document_frequencies(written, "field", "bucket")
         .hint("rebalance", "field", "bucket")
         .sortWithinPartitions("field", "bucket", "term")
         .write.mode("overwrite")
         .partitionBy("field", "bucket")
-        .parquet(f"{folder}/{TERM_DF}")
+        .parquet(place(TERM_DF))
     )
     (
         corpus_statistics(written)
         .withColumn("n_buckets", F.lit(n_buckets))
         .coalesce(1)  # one row per field
         .write.mode("overwrite")
-        .parquet(f"{folder}/{CORPUS}")
+        .parquet(place(CORPUS))
+    )
+    # The terms of a row are at most as many as its tokens.
+    (
+        written.groupBy("field", "doc_id")
+        .agg(F.collect_list("term").alias("terms"))
+        .sortWithinPartitions("field", "doc_id")
+        .write.mode("overwrite")
+        .partitionBy("field")
+        .parquet(place(ROW_TERMS))
     )
 
 
@@ -123,20 +141,36 @@ _SCHEMAS = {
     POSTINGS: "term string, doc_id bigint, tf int, length int, is_first boolean, field string, bucket int",
     TERM_DF: "term string, df bigint, field string, bucket int",
     CORPUS: "field string, n_docs bigint, n_tokens bigint, n_buckets int",
+    ROW_TERMS: "doc_id bigint, terms array<string>, field string",
 }
 # ---------------------------------------------------------------------------------
 
 
 def read_term_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.schema(_SCHEMAS[table]).parquet(f"{folder}/{table}")
+    """The records of all parts; those of ``term_df`` and ``corpus`` are to be added up."""
+    schema = f"{_SCHEMAS[table]}, part string"
+    return spark.read.schema(schema).parquet(f"{folder}/{table}").drop("part")
+
+
+def corpus_of(spark: SparkSession, folder: str) -> DataFrame:
+    """One record per field, over all parts."""
+    return read_term_table(spark, folder, CORPUS).groupBy("field").agg(
+        F.sum("n_docs").alias("n_docs"),
+        F.sum("n_tokens").alias("n_tokens"),
+        F.max("n_buckets").alias("n_buckets"),
+    )
+
+
+def buckets_of(spark: SparkSession, folder: str) -> int:
+    corpus = read_term_table(spark, folder, CORPUS)
+    return corpus.agg(F.max("n_buckets")).first()[0] or LEAST_BUCKETS
 
 
 def entries_of(
     spark: SparkSession, folder: str, table: str, fields: list[str], terms: list[str]
 ) -> DataFrame:
     """Records of some terms; only their directories and row groups are read."""
-    corpus = read_term_table(spark, folder, CORPUS)
-    n_buckets = corpus.agg(F.max("n_buckets")).first()[0] or LEAST_BUCKETS
+    n_buckets = buckets_of(spark, folder)
     buckets = [bucket_of(F.lit(term), n_buckets) for term in terms]
     return read_term_table(spark, folder, table).where(
         F.col("field").isin(fields) & F.col("bucket").isin(*buckets) & F.col("term").isin(terms)

@@ -10,25 +10,40 @@ from pyspark.sql import functions as F
 from newsloom.functions.text import tokenise
 from newsloom.operators.postings import term_counts
 from newsloom.schema import NEGATIVE, POSITIVE, RAW_FIELDS
+from newsloom.sources.storage import settled
 
 # A lexicon up to these sizes becomes part of the expression; beyond either, the
-# tokens are joined with the lexicon table.
-MAX_LITERAL_WORDS, MAX_LITERAL_VALENCES = 20_000, 64
-WORD_SALTS = 32
+# tokens are joined with the lexicon table, which is broadcast up to the last size.
+MAX_LITERAL_WORDS, MAX_LITERAL_VALENCES, MAX_BROADCAST_WORDS = 20_000, 64, 500_000
+
+
+def require_lexicon(lexicon: DataFrame) -> int:
+    """Number of words; an error unless each word is there once, with a valence."""
+    known = F.col("word").isNotNull() & F.col("valence").isNotNull()
+    row = lexicon.agg(
+        F.count("*").alias("n"), F.count_if(known).alias("known"), F.count_distinct("word").alias("words")
+    ).first()
+    if row.known != row.n:
+        raise ValueError("the lexicon has rows without word or valence")
+    if row.words != row.n:
+        raise ValueError("the lexicon has words more than once")
+    return row.n
 
 
 def sentiment_totals(df: DataFrame, lexicon: DataFrame, text: str, key: str = "doc_id") -> DataFrame:
     """``df`` with ``positive`` and ``negative``: sums of valences per row.
 
-    Repeated words count each time.  Rows without any lexicon word get (0, 0).
+    Repeated words count each time.  Rows without any lexicon word get (0, 0).  The
+    result does not depend on how large the lexicon is.
     """
+    n_words = require_lexicon(lexicon)
     weighted = lexicon.where(F.col("valence") != 0)
-    words = weighted.limit(MAX_LITERAL_WORDS + 1).collect()
+    words = weighted.collect() if n_words <= MAX_LITERAL_WORDS else []
     by_valence: dict[int, list[str]] = {}
     for row in words:
         by_valence.setdefault(row.valence, []).append(row.word)
-    if len(words) > MAX_LITERAL_WORDS or len(by_valence) > MAX_LITERAL_VALENCES:
-        return totals_by_join(df, weighted, text, key)
+    if n_words > MAX_LITERAL_WORDS or len(by_valence) > MAX_LITERAL_VALENCES:
+        return totals_by_join(df, weighted, text, key, n_words <= MAX_BROADCAST_WORDS)
     return _totals_in_row(df, by_valence, text)
 
 
@@ -58,24 +73,27 @@ def _totals_in_row(df: DataFrame, by_valence: dict[int, list[str]], text: str) -
     )
 
 
-def totals_by_join(df: DataFrame, lexicon: DataFrame, text: str, key: str = "doc_id") -> DataFrame:
+def totals_by_join(
+    df: DataFrame, lexicon: DataFrame, text: str, key: str = "doc_id", small: bool = True
+) -> DataFrame:
     """For a lexicon too large for an expression; ``key`` must identify a row.
 
-    Tokens are counted inside each row before the join.  A word found in a third
-    of all rows is spread over ``WORD_SALTS`` partitions, with the lexicon, the
-    far smaller side, repeated for each.
+    The rows are settled in the scratch folder first: they are made once, and a running
+    id is the same in both uses.  Tokens are counted inside each row; what meets the
+    lexicon, and what is shuffled, holds no text.  A ``small`` lexicon is broadcast; else
+    adaptive execution splits the partition of a frequent word.
     """
-    salt = F.pmod(F.xxhash64(key), F.lit(WORD_SALTS))
-    counts = term_counts(df, [key], text).select(key, F.col("term").alias("word"), "tf", salt.alias("salt"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(WORD_SALTS - 1)).cast("array<bigint>"))
-    valued = counts.join(lexicon.select("word", "valence", salts.alias("salt")), ["word", "salt"])
+    rows = settled(df, "articles")
+    counts = term_counts(rows, [key], text).select(key, F.col("term").alias("word"), "tf")
+    words = lexicon.select("word", "valence")
+    valued = counts.join(F.broadcast(words) if small else words, "word")
     gain = F.col("tf") * F.col("valence").cast("bigint")
     totals = valued.groupBy(key).agg(
         F.sum(F.greatest(gain, F.lit(0))).alias("positive"),
         F.sum(F.greatest(-gain, F.lit(0))).alias("negative"),
     )
-    return df.join(totals, key, "left").select(
-        *[df[name] for name in df.columns],
+    return rows.join(totals, key, "left").select(
+        *[rows[name] for name in df.columns],
         F.coalesce("positive", F.lit(0)).alias("positive"),
         F.coalesce("negative", F.lit(0)).alias("negative"),
     )

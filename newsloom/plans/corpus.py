@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.dates import parse_date
-from newsloom.sources.tables import spread
 
 # --- fixed values: first day of the derived dates, and their number ------------
 FIRST_DAY, N_DAYS = "2018-01-01", 365
@@ -30,11 +29,6 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
-def texts(spark: SparkSession, folder: str) -> DataFrame:
-    """``documents``, for work on its text."""
-    return spread(documents(spark, folder), "doc_id")
-
-
 def articles_from_documents(docs: DataFrame) -> DataFrame:
     """``doc_id``, the six raw fields and ``date_ts``; a projection only."""
     return docs.select("doc_id", *raw_columns()).withColumn("date_ts", parse_date(F.col("date")))

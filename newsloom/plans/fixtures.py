@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.plans.corpus import documents, raw_columns, texts
+from newsloom.functions.text import tokenise
+from newsloom.plans.corpus import documents, raw_columns
 from newsloom.schema import LEXICON_SCHEMA, RAW_FIELDS
 from newsloom.sources.storage import scratch_folder
 
@@ -27,17 +28,17 @@ def article_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def short_article_lines(spark: SparkSession, folder: str) -> DataFrame:
     """One valid JSON line per line of text: many short articles, as in news."""
-    lines = texts(spark, folder).select(
+    lines = documents(spark, folder).select(
         "doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("place", "text")
     )
     return lines.select("doc_id", F.to_json(F.struct(*raw_columns())).alias("value"))
 
 
 def damaged_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """One line per document, most of them odd in one of 20 ways.
+    """One line per document, most of them odd in one of 24 ways.
 
-    The way follows from ``doc_id % 30``; 0 and 21 to 29 are plain, 1 to 4 odd
-    but valid, 5 to 20 invalid.
+    The way follows from ``doc_id % 30``; 0 and 25 to 29 are plain, 1 to 4 and 21 to
+    24 odd but valid, 5 to 20 invalid.
     """
     rows = documents(spark, folder).select("doc_id", *raw_columns())
     line = F.to_json(F.struct(*RAW_FIELDS))
@@ -68,6 +69,10 @@ def damaged_lines(spark: SparkSession, folder: str) -> DataFrame:
         18: end(line, "]"),
         19: end(undated, ',"date":"\\ud800"}'),
         20: F.to_json(F.array(*RAW_FIELDS[:-1])),
+        21: end(open_line, ',"extra":{"k":1,"k":[2]}}'),
+        22: end(open_line, ',"extra":"\\ud800"}'),
+        23: end(open_line, ',"extra":1,"extra":{"date":null}}'),
+        24: end(open_line, ',"\\udc00":"}]","extra":"\\\\ud800"}'),
     }
     way = (F.col("doc_id") % 30).cast("int")
     value = line
@@ -115,6 +120,13 @@ def date_forms(day: Column, doc_id: Column) -> Column:
     return value
 
 
+def large_lexicon(spark: SparkSession, folder: str) -> DataFrame:
+    """Every word of the documents, with a valence that follows from its length."""
+    tokens = documents(spark, folder).select(F.explode(tokenise(F.col("text"))).alias("word"))
+    valence = (F.length("word") % 5 - 2).cast("int")
+    return tokens.distinct().select("word", valence.alias("valence"))
+
+
 def write_lines(lines: DataFrame, label: str) -> str:
     """Write ``value`` as text files to a new scratch folder; returns its path."""
     folder = scratch_folder(lines.sparkSession, label)

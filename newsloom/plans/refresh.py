@@ -11,26 +11,22 @@ from pyspark.sql import functions as F
 from newsloom.functions.dates import parse_date
 from newsloom.operators.sentiment import enrich
 from newsloom.schema import ARTICLE_SCHEMA
-from newsloom.sources.ndjson import first_articles, read_articles
+from newsloom.sources.ndjson import first_articles_cut, parse_lines, scan_lines
 from newsloom.sources.storage import Folder, scratch_folder
 from newsloom.sources.warehouse import Warehouse
 
-# --- fixed value: articles kept unless a run says otherwise --------------------
-MAX_NEWS = 300_000
-# -------------------------------------------------------------------------------
-
-
 @dataclass(frozen=True)
 class RefreshOptions:
     """What to read, and how to write it.
 
-    ``max_news=None`` reads everything, in one narrow pass.  ``n_partitions`` and
-    ``rows_per_file`` bound the number of files and their rows; by default both
-    follow from the splits of the source.
+    ``max_news=None`` reads everything, in one narrow pass; a number reads that many
+    articles from the beginning.  ``n_partitions`` and ``rows_per_file`` bound the
+    number of files and their rows; by default both follow from the splits of the
+    source.
     """
 
     source: str
-    max_news: int | None = MAX_NEWS
+    max_news: int | None = None
     n_partitions: int | None = None
     rows_per_file: int | None = None
     leave_old: bool = False
@@ -39,18 +35,26 @@ class RefreshOptions:
 
 @dataclass(frozen=True)
 class RefreshSummary:
-    """``total_indexed`` counts the articles sent; some of them may be rejected."""
+    """``total_indexed`` counts the articles sent; some of them may be rejected.
+
+    ``dropped`` counts the lines that are no articles (not known if ``max_news`` was
+    given: the lines are not all read), ``limit_cut`` says that ``max_news`` left
+    articles out.
+    """
 
     total_indexed: int
     accepted: int
     rejected: int
     new_index_name: str
     elapsed_ms: int
+    dropped: int | None
+    limit_cut: bool
 
     def as_frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(
             [astuple(self)],
-            "total_indexed bigint, accepted bigint, rejected bigint, new_index_name string, elapsed_ms bigint",
+            "total_indexed bigint, accepted bigint, rejected bigint, new_index_name string, "
+            "elapsed_ms bigint, dropped bigint, limit_cut boolean",
         )
 
 
@@ -59,10 +63,9 @@ def with_moment(articles: DataFrame) -> DataFrame:
     return articles.withColumn("date_ts", parse_date(F.col("date")))
 
 
-def split_by_date(articles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Accepted and rejected articles."""
-    dated = with_moment(articles)
-    return dated.where(F.col("date_ts").isNotNull()), dated.where(F.col("date_ts").isNull())
+def split_by_date(articles: DataFrame) -> DataFrame:
+    """Articles with ``date_ts`` and ``accepted``; one pass, whatever is done with either side."""
+    return with_moment(articles).withColumn("accepted", F.col("date_ts").isNotNull())
 
 
 def publishable(articles: DataFrame, lexicon: DataFrame, rejected: Observation | None = None) -> DataFrame:
@@ -79,28 +82,28 @@ def refresh(
 ) -> RefreshSummary:
     """Build the next version from ``options.source`` and publish it.
 
-    A failed run leaves at most an unpublished folder, which the next run
-    replaces.  Readers change over only when the new version is complete, and the
-    superseded one is deleted after that, unless ``leave_old``.  One run at a
-    time may write to a warehouse; a run that was overtaken does not publish.
+    A failed run leaves nothing under the name of a version, and a version that is
+    kept is never written again: the new one has the first name above them all.
+    Readers change over only when the new version is complete, and the superseded
+    one is deleted after that, unless ``leave_old``.  One run at a time may write to
+    a warehouse; a run that was overtaken does not publish.
     """
     started = time.monotonic()
-    spark, scratch = warehouse.spark, None
+    spark, scratch, limit_cut = warehouse.spark, None, False
+    # A plan known to be empty is never executed and observes nothing.
+    observed = None if options.max_news is not None and options.max_news <= 0 else Observation()
+    lines = None
     if options.max_news is None:
-        articles = read_articles(spark, options.source)
+        lines = Observation()
+        source = scan_lines(spark, options.source).observe(lines, F.count("*").alias("lines"))
+        articles = parse_lines(source)
     else:
         scratch = scratch_folder(spark, "first-rows")
-        articles = first_articles(spark, options.source, options.max_news, scratch)
-    if options.n_partitions is not None:
-        # Before the count below, so that it runs in the stage that writes: a
-        # stage repeated after a lost executor would be counted twice.
-        articles = articles.repartition(options.n_partitions, "doc_id")
-    # A plan known to be empty is never executed and observes nothing.
-    rejected = None if options.max_news is not None and options.max_news <= 0 else Observation()
+        articles, limit_cut = first_articles_cut(spark, options.source, options.max_news, scratch)
     old, new = warehouse.published(), warehouse.next_table()
-    rows = publishable(articles, lexicon, rejected)
+    rows = publishable(articles, lexicon, observed)
     warehouse.drop_terms(new)
-    warehouse.write(rows, new, mode="overwrite", rows_per_file=options.rows_per_file)
+    warehouse.write(rows, new, options.n_partitions, options.rows_per_file)
     if scratch is not None:
         Folder(spark, scratch).delete("")
     accepted = warehouse.read(new).count()  # from the file footers
@@ -109,6 +112,7 @@ def refresh(
     warehouse.replace_published(old, new)
     if old is not None and not options.leave_old:
         warehouse.drop(old)
-    refused = 0 if rejected is None else rejected.get["rejected"]
+    refused = 0 if observed is None else observed.get["rejected"]
+    dropped = None if lines is None else lines.get["lines"] - accepted - refused
     elapsed = int((time.monotonic() - started) * 1000)
-    return RefreshSummary(accepted + refused, accepted, refused, new, elapsed)
+    return RefreshSummary(accepted + refused, accepted, refused, new, elapsed, dropped, limit_cut)

@@ -21,10 +21,10 @@ from newsloom.operators.significant import (
 )
 from newsloom.operators.terms import category_stats, sentiment_stats, terms_remainder, top_terms
 from newsloom.plans import ask, fixtures
-from newsloom.plans.corpus import articles_from_documents, documents, texts
+from newsloom.plans.corpus import articles_from_documents, documents
 from newsloom.plans.refresh import RefreshOptions, refresh, split_by_date
 from newsloom.plans.snapshot import restore_snapshot, take_snapshot
-from newsloom.schema import ARTICLE_FIELDS, RAW_FIELDS
+from newsloom.schema import RAW_FIELDS
 from newsloom.sources.ndjson import first_articles, read_articles
 from newsloom.sources.storage import scratch_folder
 from newsloom.sources.warehouse import ALIAS, Warehouse
@@ -34,21 +34,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # Words the documents use, and how many rows the first-rows query takes.
 WORD, WORDS, THREE_WORDS, FIRST_ROWS = "erst", "erst ther", "the erst en", 250
-SUMMARY = ["total_indexed", "accepted", "rejected", "new_index_name"]
+SUMMARY = ["total_indexed", "accepted", "rejected", "new_index_name", "dropped", "limit_cut"]
 
 
 def _articles(spark: SparkSession, sf: str) -> DataFrame:
-    """For queries that compare values: filters reach the scan."""
     return articles_from_documents(documents(spark, sf))
 
 
-def _texts(spark: SparkSession, sf: str) -> DataFrame:
-    """For queries that segment text."""
-    return articles_from_documents(texts(spark, sf))
-
-
 def _enriched(spark: SparkSession, sf: str) -> DataFrame:
-    return enrich(_texts(spark, sf), fixtures.lexicon(spark))
+    return enrich(_articles(spark, sf), fixtures.lexicon(spark))
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -81,6 +75,12 @@ def first_n_rows(spark: SparkSession, sf: str) -> DataFrame:
     return first_articles(spark, source, FIRST_ROWS).select("link", "headline", "date")
 
 
+def first_n_rows_one_file(spark: SparkSession, sf: str) -> DataFrame:
+    lines = fixtures.damaged_lines(spark, sf).orderBy("doc_id").coalesce(1)
+    source = fixtures.write_lines(lines, "one-file")
+    return first_articles(spark, source, FIRST_ROWS).select("link", "headline", "date")
+
+
 def date_conformance(spark: SparkSession, sf: str) -> DataFrame:
     docs = _articles(spark, sf)
     text = fixtures.date_forms(F.col("date"), F.col("doc_id"))
@@ -92,17 +92,15 @@ def date_conformance(spark: SparkSession, sf: str) -> DataFrame:
 
 def rejected_articles(spark: SparkSession, sf: str) -> DataFrame:
     source = fixtures.write_lines(fixtures.dated_lines(spark, sf), "dated")
-    accepted, rejected = split_by_date(read_articles(spark, source))
-    return accepted.select("link", F.lit("accepted").alias("outcome")).unionByName(
-        rejected.select("link", F.lit("rejected").alias("outcome"))
-    )
+    outcome = F.when(F.col("accepted"), "accepted").otherwise("rejected")
+    return split_by_date(read_articles(spark, source)).select("link", outcome.alias("outcome"))
 
 
 # -- text, sentiment ----------------------------------------------------------------
 
 
 def tokenize(spark: SparkSession, sf: str) -> DataFrame:
-    tokens = texts(spark, sf).select("doc_id", tokenise(F.col("text")).alias("tokens"))
+    tokens = documents(spark, sf).select("doc_id", tokenise(F.col("text")).alias("tokens"))
     return tokens.select(
         "doc_id",
         F.size("tokens").cast("bigint").alias("n_tokens"),
@@ -121,21 +119,43 @@ def sentiment_enrich(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sentiment_totals_large_lexicon(spark: SparkSession, sf: str) -> DataFrame:
-    totals = totals_by_join(_texts(spark, sf), fixtures.lexicon(spark), "short_description")
+    totals = totals_by_join(_articles(spark, sf), fixtures.lexicon(spark), "short_description")
     return totals.select("doc_id", "positive", "negative")
 
 
+def sentiment_large_lexicon(spark: SparkSession, sf: str) -> DataFrame:
+    """With every word of the documents in the lexicon: tens of thousands."""
+    enriched = enrich(_articles(spark, sf), fixtures.large_lexicon(spark, sf))
+    return enriched.select(
+        "doc_id", F.col("sentiment_score").cast("double").alias("sentiment_score"), "sentiment_polarity"
+    )
+
+
 # -- filters ------------------------------------------------------------------------
 
 
 def match_any_token(spark: SparkSession, sf: str) -> DataFrame:
-    return match(_texts(spark, sf), WORDS).select("doc_id")
+    return match(_articles(spark, sf), WORDS).select("doc_id")
 
 
 def _matching(query: str | None, field: str) -> Query:
     return lambda spark, sf: match(_articles(spark, sf), query, field).select("doc_id")
 
 
+def _at_times(spark: SparkSession, sf: str) -> DataFrame:
+    """Articles at the hours and minutes that follow from their ids."""
+    hours = F.make_dt_interval(hours=F.pmod(F.col("doc_id"), F.lit(7)).cast("int"), mins=F.pmod(F.col("doc_id"), F.lit(50)).cast("int"))
+    return _articles(spark, sf).withColumn("date_ts", F.col("date_ts") + hours)
+
+
+def match_date_hour(spark: SparkSession, sf: str) -> DataFrame:
+    return match(_at_times(spark, sf), "2018-05-26T05", "date").select("doc_id")
+
+
+def match_date_minute(spark: SparkSession, sf: str) -> DataFrame:
+    return match(_at_times(spark, sf), "2018-02-03T05:33Z", "date").select("doc_id")
+
+
 def match_polarity(spark: SparkSession, sf: str) -> DataFrame:
     return match(_enriched(spark, sf), "Negative", "sentiment_polarity").select("doc_id")
 
@@ -172,14 +192,31 @@ def roles_mentioning(spark: SparkSession, sf: str) -> DataFrame:
 # -- ranked search, significant words -------------------------------------------------
 
 
+def _shown(hits: DataFrame, digits: int = 6) -> DataFrame:
+    return hits.withColumn("score", F.round("score", digits))
+
+
 def _hits(field: str | None, query: str) -> Query:
-    """Hits of a search; a keyword or date field needs no segmenting."""
-    rows = _texts if field is None or ARTICLE_FIELDS[field] == "text" else _articles
-    return lambda spark, sf: search(rows(spark, sf), query, field).select(
+    return lambda spark, sf: _shown(search(_articles(spark, sf), query, field)).select(
         "doc_id", "category", "link", "score"
     )
 
 
+def _everywhere(spark: SparkSession, sf: str) -> DataFrame:
+    """Articles of one category, with one word in every text."""
+    articles = _articles(spark, sf).withColumn("category", F.lit("news"))
+    return articles.withColumn("short_description", F.concat(F.lit("reuters "), "short_description"))
+
+
+def search_word_everywhere(spark: SparkSession, sf: str) -> DataFrame:
+    hits = search(_everywhere(spark, sf), "reuters", "short_description")
+    return _shown(hits, 12).select("doc_id", "score")
+
+
+def search_keyword_everywhere(spark: SparkSession, sf: str) -> DataFrame:
+    return _shown(search(_everywhere(spark, sf), "news", "category"), 12).select("doc_id", "score")
+
+
 def hit_documents(spark: SparkSession, sf: str) -> DataFrame:
     return search(_enriched(spark, sf), THREE_WORDS).select(
         "doc_id", *RAW_FIELDS, F.col("sentiment_score").cast("double").alias("sentiment_score"), "sentiment_polarity"
@@ -191,32 +228,32 @@ def _rounded(words: DataFrame) -> DataFrame:
 
 
 def significant(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(significant_words(_texts(spark, sf), WORD))
+    return _rounded(significant_words(_articles(spark, sf), WORD))
 
 
 def significant_several(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(significant_words(_texts(spark, sf), WORDS, max_words=40))
+    return _rounded(significant_words(_articles(spark, sf), WORDS, max_words=40))
 
 
 def significant_headline(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(significant_words(_texts(spark, sf), "the", "headline", 25))
+    return _rounded(significant_words(_articles(spark, sf), "the", "headline", 25))
 
 
 def foreground_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    return foreground_background(_texts(spark, sf), WORD)
+    return foreground_background(_articles(spark, sf), WORD)
 
 
 def term_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    entries = term_tables.postings(_texts(spark, sf))
+    entries = term_tables.postings(_articles(spark, sf))
     return term_tables.document_frequencies(entries, "field")
 
 
 def corpus_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    return term_tables.corpus_statistics(term_tables.postings(_texts(spark, sf)))
+    return term_tables.corpus_statistics(term_tables.postings(_articles(spark, sf)))
 
 
 def row_lengths(spark: SparkSession, sf: str) -> DataFrame:
-    entries = term_tables.postings(_texts(spark, sf))
+    entries = term_tables.postings(_articles(spark, sf))
     return entries.where("is_first").select(
         "field", "doc_id", F.col("length").cast("bigint").alias("length")
     )
@@ -228,14 +265,36 @@ def row_lengths(spark: SparkSession, sf: str) -> DataFrame:
 def search_in_published(spark: SparkSession, sf: str) -> DataFrame:
     warehouse = _published(spark, sf, term_tables=True)
     hits = search_published(warehouse.scan(), warehouse.term_path(warehouse.published()), THREE_WORDS)
-    return hits.select("link", "score")
+    return _shown(hits).select("link", "score")
 
 
 def search_field_in_published(spark: SparkSession, sf: str) -> DataFrame:
     warehouse = _published(spark, sf, term_tables=True)
     folder = warehouse.term_path(warehouse.published())
     hits = search_published(warehouse.scan(), folder, WORDS, "short_description")
-    return hits.select("link", "score")
+    return _shown(hits).select("link", "score")
+
+
+def search_everywhere_in_published(spark: SparkSession, sf: str) -> DataFrame:
+    def lines(session: SparkSession, folder: str) -> DataFrame:
+        rows = _everywhere(session, folder)
+        return rows.select("doc_id", F.to_json(F.struct(*RAW_FIELDS)).alias("value"))
+
+    hits = ask.fulltext_search(_published(spark, sf, lines, term_tables=True), "reuters", "short_description")
+    return _shown(hits, 12).select("link", "score")
+
+
+def significant_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return ask.significant_sizes(_published(spark, sf, term_tables=True), WORD)
+
+
+def category_stats_sized(spark: SparkSession, sf: str) -> DataFrame:
+    """The three largest categories, and how many rows are in others."""
+    warehouse = _published(spark, sf, term_tables=True)
+    top = ask.category_stats(warehouse, "ther", size=3)
+    rest = ask.category_remainder(warehouse, "ther", size=3)
+    others = rest.select(F.lit("(others)").alias("key"), F.col("sum_other_doc_count").alias("doc_count"))
+    return top.unionByName(others)
 
 
 def significant_in_published(spark: SparkSession, sf: str) -> DataFrame:
@@ -283,12 +342,36 @@ def published_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 
 def run_summary(spark: SparkSession, sf: str) -> DataFrame:
     warehouse = _warehouse(spark)
-    source = fixtures.write_lines(fixtures.dated_lines(spark, sf), "dated")
-    options = RefreshOptions(source, max_news=None)
+    junk = documents(spark, sf).where("doc_id % 5 = 0").select("doc_id", F.lit("{}").alias("value"))
+    lines = fixtures.dated_lines(spark, sf).unionByName(junk)
+    options = RefreshOptions(fixtures.write_lines(lines, "dated"))
     refresh(warehouse, fixtures.lexicon(spark), options)
     return refresh(warehouse, fixtures.lexicon(spark), options).as_frame(spark).select(*SUMMARY)
 
 
+def refresh_after_rollback(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of every kept version after two refreshes, a move back and a third one."""
+    warehouse = _warehouse(spark)
+    whole = fixtures.write_lines(fixtures.article_lines(spark, sf), "news")
+    odd = fixtures.write_lines(fixtures.damaged_lines(spark, sf), "damaged")
+
+    def run(source: str) -> None:
+        refresh(warehouse, fixtures.lexicon(spark), RefreshOptions(source, leave_old=True))
+
+    run(whole)
+    run(odd)
+    warehouse.publish("articles_1")
+    run(odd)
+    counts = None
+    for table in warehouse.tables():
+        named = warehouse.read(table).groupBy(
+            F.lit(table).alias("name"), F.lit(table == warehouse.published()).alias("published")
+        )
+        rows = named.agg(F.count("*").alias("n"))
+        counts = rows if counts is None else counts.unionByName(rows)
+    return counts
+
+
 def version_numbers(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("doc_id").cast("string")
     signed = F.when(F.col("doc_id") % 3 == 0, F.lit("_")).when(F.col("doc_id") % 3 == 1, F.lit("_+"))
@@ -330,6 +413,33 @@ def stream_follow_files(spark: SparkSession, sf: str) -> DataFrame:
     return warehouse.scan().select(*RAW_FIELDS, "sentiment_polarity")
 
 
+def _follow(warehouse: Warehouse, spark: SparkSession, lines: DataFrame) -> None:
+    source, checkpoint = fixtures.write_lines(lines, "followed"), scratch_folder(spark, "follow")
+    follow_files(warehouse, fixtures.lexicon(spark), source, checkpoint).awaitTermination()
+
+
+def stream_two_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Two folders followed into one table; how many ids and rows each link has."""
+    warehouse = _warehouse(spark)
+    _follow(warehouse, spark, fixtures.damaged_lines(spark, sf))
+    _follow(warehouse, spark, fixtures.article_lines(spark, sf))
+    return warehouse.scan().groupBy("link").agg(
+        F.count("*").alias("copies"), F.count_distinct("doc_id").alias("ids")
+    )
+
+
+def stream_search_appended(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of the articles by refresh, with term tables; the others followed; then asked."""
+    half = fixtures.article_lines(spark, sf).where("doc_id % 2 = 0")
+    others = fixtures.article_lines(spark, sf).where("doc_id % 2 = 1")
+    warehouse = _published(spark, sf, lambda *_: half, term_tables=True)
+    _follow(warehouse, spark, others)
+    if not warehouse.has_terms(warehouse.published()):
+        raise ValueError("the term tables do not follow the appends")
+    hits = _shown(ask.fulltext_search(warehouse, THREE_WORDS))
+    return hits.select(F.round("score", 5).alias("score"))
+
+
 def stream_periodic_refresh(spark: SparkSession, sf: str) -> DataFrame:
     warehouse = _warehouse(spark)
     source = fixtures.write_lines(fixtures.article_lines(spark, sf), "news")
@@ -347,24 +457,27 @@ def stream_periodic_refresh(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "ndjson_scan_strict": ndjson_scan_strict,
     "first_n_rows": first_n_rows,
+    "first_n_rows_one_file": first_n_rows_one_file,
     "date_conformance": date_conformance,
     "rejected_articles": rejected_articles,
     "tokenize": tokenize,
     "sentiment_enrich": sentiment_enrich,
     "sentiment_totals_large_lexicon": sentiment_totals_large_lexicon,
+    "sentiment_large_lexicon": sentiment_large_lexicon,
     "match_any_token": match_any_token,
     "match_keyword": _matching("src3", "category"),
     "match_link": _matching("doc://17", "link"),
     "match_date": _matching("2018-05", "date"),
-    "match_date_hour": _matching("2018-05-26T00", "date"),
+    "match_date_hour": match_date_hour,
+    "match_date_minute": match_date_minute,
     "match_all": _matching(None, "short_description"),
     "match_polarity": match_polarity,
     "sentiment_stats": lambda spark, sf: sentiment_stats(_enriched(spark, sf), WORD),
     "sentiment_stats_all": lambda spark, sf: sentiment_stats(_enriched(spark, sf)),
-    "category_stats": lambda spark, sf: category_stats(_texts(spark, sf), "ther"),
+    "category_stats": lambda spark, sf: category_stats(_articles(spark, sf), "ther"),
     "category_stats_all": lambda spark, sf: category_stats(_articles(spark, sf)),
-    "category_stats_headline": lambda spark, sf: category_stats(_texts(spark, sf), "the", "headline"),
-    "category_stats_date": lambda spark, sf: category_stats(_articles(spark, sf), "2018", "date"),
+    "category_stats_headline": lambda spark, sf: category_stats(_articles(spark, sf), "the", "headline"),
+    "category_stats_date": lambda spark, sf: category_stats(_articles(spark, sf), "2018-03", "date"),
     "terms_with_other": terms_with_other,
     "terms_return_flags": lambda spark, sf: top_terms(_table(spark, sf, "lineitem"), "l_returnflag"),
     "terms_order_priorities_top_3": lambda spark, sf: top_terms(_table(spark, sf, "orders"), "o_orderpriority", 3),
@@ -378,6 +491,8 @@ QUERIES: dict[str, Query] = {
     "search_multi_field": _hits(None, THREE_WORDS),
     "search_keyword_field": _hits("category", "src7"),
     "search_date_field": _hits("date", "2018-02-03"),
+    "search_word_everywhere": search_word_everywhere,
+    "search_keyword_everywhere": search_keyword_everywhere,
     "hit_documents": hit_documents,
     "significant_words": significant,
     "significant_words_several": significant_several,
@@ -388,6 +503,9 @@ QUERIES: dict[str, Query] = {
     "row_lengths": row_lengths,
     "search_published": search_in_published,
     "search_published_field": search_field_in_published,
+    "search_everywhere_published": search_everywhere_in_published,
+    "significant_sizes": significant_sizes,
+    "category_stats_sized": category_stats_sized,
     "significant_words_published": significant_in_published,
     "category_stats_published": category_stats_in_published,
     "sentiment_stats_published": sentiment_stats_in_published,
@@ -395,9 +513,12 @@ QUERIES: dict[str, Query] = {
     "published_table_scan": published_table_scan,
     "published_duplicates": published_duplicates,
     "run_summary": run_summary,
+    "refresh_after_rollback": refresh_after_rollback,
     "version_numbers": version_numbers,
     "snapshot_roundtrip": snapshot_roundtrip,
     "snapshot_restore_subset": snapshot_restore_subset,
     "stream_follow_files": stream_follow_files,
+    "stream_two_sources": stream_two_sources,
+    "stream_search_appended": stream_search_appended,
     "stream_periodic_refresh": stream_periodic_refresh,
 }

@@ -12,7 +12,7 @@ from newsloom.sources.warehouse import Warehouse
 DEFAULT_REPOSITORY, DEFAULT_SNAPSHOT = "/mnt/snapshots", "snapshot"
 # -------------------------------------------------------------------------------
 
-_MANIFEST = "_manifest.json"
+_MANIFEST, _RESTORING = "_manifest.json", "_restoring"
 
 
 def _require_name(name: str) -> str:
@@ -53,7 +53,9 @@ def restore_snapshot(
     ``tables`` is a comma-separated list of names, where ``*`` stands for any
     characters; without it all are restored.
     A table that exists is not overwritten but refused, before anything is
-    written.  An alias follows if the table it named is restored.
+    written; a table that a broken-off restore of the same snapshot has completed is
+    kept.  Tables are written aside and renamed.  An alias follows if the table it
+    named is restored.
     """
     source = Folder(warehouse.spark, f"{repository.rstrip('/')}/{_require_name(snapshot)}")
     text = source.read_text(_MANIFEST)
@@ -63,15 +65,21 @@ def restore_snapshot(
     wanted = manifest["tables"]
     if tables is not None:
         wanted = _selected(manifest["tables"], tables)
-    existing = [name for name in wanted if warehouse.has_table(name)]
+    begun = Folder(warehouse.spark, f"{warehouse.root}/{_RESTORING}")
+    mine = [name for name in wanted if begun.read_text(name) == source.root]
+    existing = [name for name in wanted if warehouse.has_table(name) and name not in mine]
     if existing:
         raise ValueError(f"tables exist: {existing}")
     copies = Warehouse(warehouse.spark, source.root)
     for table in wanted:
-        warehouse.write(copies.read(table), table)
+        if not warehouse.has_table(table):
+            begun.replace_text(table, source.root)
+            warehouse.write(copies.read(table), table)
     for alias, table in manifest["published"].items():
         if table in wanted:
             warehouse.publish(table, alias)
+    for table in wanted:
+        begun.delete(table)
     return wanted
 
 

@@ -6,22 +6,34 @@ import functools
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark import SparkContext
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_folder(spark: SparkSession, label: str) -> str:
     """A new folder under the cluster's shared ``spark.checkpoint.dir``.
 
-    Only a local session without that setting, as in tests, gets a folder of
-    this machine; on a cluster it would be unreachable for the executors.
+    Only a session whose driver does all work, as in tests, gets a folder of this
+    machine without that setting; executors of their own could not reach it.  The
+    folder is deleted when the application ends, if not before.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         shared = _folder_of_this_machine()
-    return f"{shared.rstrip('/')}/newsloom/{label}-{uuid.uuid4().hex}"
+    root = f"{shared.rstrip('/')}/newsloom/{label}-{uuid.uuid4().hex}"
+    Folder(spark, root).delete_on_exit()
+    return f"{root}/data"
+
+
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to a scratch folder and read back: made once, whatever follows."""
+    path = scratch_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @functools.cache
@@ -33,6 +45,7 @@ class Folder:
     """One folder of any file system Hadoop can reach."""
 
     def __init__(self, spark: SparkSession, root: str):
+        self._spark = spark
         self._jvm = spark.sparkContext._jvm
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
         self.root = root.rstrip("/")
@@ -41,6 +54,9 @@ class Folder:
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
+    def within(self, name: str) -> Folder:
+        return Folder(self._spark, f"{self.root}/{name}")
+
     def exists(self, name: str) -> bool:
         return self._fs.exists(self._path(name))
 
@@ -66,6 +82,34 @@ class Folder:
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)
 
+    def delete_on_exit(self) -> None:
+        """Create the folder, and delete it when the application ends."""
+        self._fs.mkdirs(self._path(""))
+        self._fs.deleteOnExit(self._path(""))
+
+    def rename(self, old: str, new: str) -> None:
+        """Move a folder to a name that is free; readers see all of it or nothing."""
+        if self.exists(new):
+            raise ValueError(f"{new!r} exists")
+        target = self._path(new)
+        self._fs.mkdirs(target.getParent())
+        if not self._fs.rename(self._path(old), target):
+            raise OSError(f"{old!r} cannot be renamed to {new!r}")
+
+    def create_text(self, name: str, text: str) -> bool:
+        """Write a small file; False if it exists."""
+        try:
+            stream = self._fs.create(self._path(name), False)
+        except Py4JJavaError as error:
+            if self.exists(name):
+                return False
+            raise error
+        try:
+            stream.write(bytearray(text, "utf-8"))
+        finally:
+            stream.close()
+        return True
+
     def read_text(self, name: str) -> str | None:
         if not self.exists(name):
             return None

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from newsloom.functions.names import next_version, parse_version, table_name
-from newsloom.operators.postings import buckets_for, write_term_tables
+from newsloom.operators.postings import (
+    BASE_PART,
+    POSTINGS,
+    buckets_for,
+    buckets_of,
+    write_term_tables,
+)
 from newsloom.schema import ARTICLE_SCHEMA
 from newsloom.sources.storage import Folder
 
@@ -14,6 +22,7 @@ ALIAS = "articles"
 # -------------------------------------------------------------------------------
 
 _POINTERS, _TERMS, _COMPLETE = "_published", "_terms", "complete"
+_STAGING, STREAM_LOG = "_staging", "_stream_log"
 
 
 class Warehouse:
@@ -22,9 +31,11 @@ class Warehouse:
     ``{root}/articles_3``           one version of the table
     ``{root}/_published/articles``  the name of the version readers see
     ``{root}/_terms/articles_3``    term tables of that version, if built
+    ``{root}/_staging/...``         tables that are not complete yet
 
-    A version is written completely before the pointer moves to it, and the
-    pointer moves in one step, so readers always see one whole version.
+    A version is written completely before it gets its name, and is never written
+    again; streams add folders to it.  The pointer moves in one step, so readers
+    always see one whole version.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -44,9 +55,14 @@ class Warehouse:
     def has_table(self, table: str) -> bool:
         return self._folder.exists(table)
 
+    def parts(self, table: str) -> list[str]:
+        """Folders that streams have appended to a table."""
+        return Folder(self.spark, self.table_path(table)).folders()
+
     def has_terms(self, table: str) -> bool:
         """Whether complete term tables describe the rows the table has now."""
-        return self._folder.exists(f"{_TERMS}/{table}/{_COMPLETE}")
+        done = Folder(self.spark, f"{self.term_path(table)}/{_COMPLETE}")
+        return {BASE_PART, *self.parts(table)} <= set(done.files())
 
     # -- writing ----------------------------------------------------------------
 
@@ -54,20 +70,37 @@ class Warehouse:
         self,
         df: DataFrame,
         table: str,
-        mode: str = "errorifexists",
         n_partitions: int | None = None,
         rows_per_file: int | None = None,
     ) -> None:
-        """Write ``df`` as a table; rows are kept as they are, duplicates too.
+        """Write ``df`` as a new table; rows are kept as they are, duplicates too.
 
-        ``n_partitions`` shuffles the rows into that many partitions; without it
-        the partitioning of the scan is kept.
+        It is written aside and renamed when complete; a table that exists is
+        never overwritten.  ``n_partitions`` shuffles the rows into that many
+        ranges of ids, so that a fetch by id skips files; without it the
+        partitioning of the scan is kept.
         """
-        rows = df if n_partitions is None else df.repartition(n_partitions, "doc_id")
-        writer = rows.write.mode(mode)
-        if rows_per_file is not None:
-            writer = writer.option("maxRecordsPerFile", rows_per_file)
-        writer.parquet(self.table_path(table))
+        self.require_free(table)
+        draft = f"{_STAGING}/{table}-{uuid.uuid4().hex}"
+        scan, ready = f"{draft}/scan", f"{draft}/ready"
+        try:
+            rows = df
+            if n_partitions is not None:
+                # Ranges need a look at the ids first: at written rows, not at the source.
+                rows.write.parquet(f"{self.root}/{scan}")
+                rows = self.spark.read.schema(df.schema).parquet(f"{self.root}/{scan}")
+                rows = rows.repartitionByRange(n_partitions, "doc_id").sortWithinPartitions("doc_id")
+            writer = rows.write
+            if rows_per_file is not None:
+                writer = writer.option("maxRecordsPerFile", rows_per_file)
+            writer.parquet(f"{self.root}/{ready}")
+            self._folder.rename(ready, table)
+        finally:
+            self._folder.delete(draft)
+
+    def require_free(self, table: str) -> None:
+        if self.has_table(table):
+            raise ValueError(f"table {table!r} exists")
 
     def create(self, version: int, alias: str = ALIAS) -> str:
         """Create an empty version; an error if it exists."""
@@ -81,13 +114,36 @@ class Warehouse:
             raise ValueError(f"{table!r} is published")
         self.drop_terms(table)
         self._folder.delete(table)
+        self._folder.delete(f"{STREAM_LOG}/{table}")
 
     def write_terms(self, table: str) -> None:
-        """Build the term tables of a table; the marker is written last."""
+        """Build the term tables of a table; the markers are written last."""
         self.drop_terms(table)
+        parts = self.parts(table)
         n_buckets = buckets_for(self._folder.size(table))
         write_term_tables(self.read(table), self.term_path(table), n_buckets=n_buckets)
-        self._folder.replace_text(f"{_TERMS}/{table}/{_COMPLETE}", table)
+        for part in [BASE_PART, *parts]:
+            self._mark_terms(table, part)
+
+    def follows_terms(self, table: str) -> bool:
+        """Whether term tables have been built, and appends are to be added to them."""
+        return self._folder.exists(f"{_TERMS}/{table}/{_COMPLETE}/{BASE_PART}")
+
+    def append_terms(self, table: str, part: str) -> None:
+        """Add the rows of one appended folder to the term tables.
+
+        The base knows the folders that were there when it was built.
+        """
+        folder = self.term_path(table)
+        marked = self._folder.exists(f"{_TERMS}/{table}/{_COMPLETE}/{part}")
+        if marked and not Folder(self.spark, f"{folder}/{POSTINGS}/part={part}").exists(""):
+            return
+        rows = self.read(f"{table}/{part}")
+        write_term_tables(rows, folder, n_buckets=buckets_of(self.spark, folder), part=part)
+        self._mark_terms(table, part)
+
+    def _mark_terms(self, table: str, part: str) -> None:
+        self._folder.replace_text(f"{_TERMS}/{table}/{_COMPLETE}/{part}", table)
 
     def drop_terms(self, table: str) -> None:
         """Delete the term tables; must precede any change of the rows."""
@@ -119,7 +175,10 @@ class Warehouse:
         return version
 
     def next_table(self, alias: str = ALIAS) -> str:
-        return table_name(alias, next_version(self.version(alias)))
+        """The first name above the published version and all that are kept."""
+        kept = [parse_version(name) for name in self.tables() if name.startswith(f"{alias}_")]
+        known = [v for v in [self.version(alias), *kept] if v is not None]
+        return table_name(alias, next_version(max(known, default=None)))
 
     def publish(self, table: str, alias: str = ALIAS) -> None:
         """Let ``alias`` name ``table`` from now on."""

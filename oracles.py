@@ -95,8 +95,9 @@ fields AS (SELECT doc_id, s.field, any_value(boost) * sum(
              2.2 * repeats * idf * tf / (tf + 1.2 * (0.25 + 0.75 * length / mean_length))) AS score
            FROM stored s JOIN words USING (term) JOIN rarity r ON r.field = s.field AND r.term = s.term
            JOIN corpus p ON p.field = s.field GROUP BY doc_id, s.field),
-ranked AS (SELECT doc_id, round(max(score), 6) AS score FROM fields GROUP BY doc_id
-           ORDER BY score DESC, doc_id LIMIT 10)"""
+best AS (SELECT doc_id, max(score) AS exact FROM fields GROUP BY doc_id),
+ranked AS (SELECT doc_id, round(exact, 6) AS score FROM best
+           ORDER BY CAST(exact AS FLOAT) DESC, doc_id LIMIT 10)"""
 
 
 def _hits(query: list[str], boosts: dict[str, float], columns: str = "doc_id, category, link, score") -> str:
@@ -142,11 +143,26 @@ dates AS (SELECT doc_id, CASE doc_id % 16
   FROM days)"""
 
 _SUMMARY = """SELECT count(*) AS total_indexed, count(*) FILTER (doc_id % 16 < 10) AS accepted,
-  count(*) FILTER (doc_id % 16 >= 10) AS rejected, 'articles_2' AS new_index_name FROM documents"""
+  count(*) FILTER (doc_id % 16 >= 10) AS rejected, 'articles_2' AS new_index_name,
+  count(*) FILTER (doc_id % 5 = 0) AS dropped, FALSE AS limit_cut FROM documents"""
+
+# A word in every text weighs little; texts differ in their lengths only.
+_EVERYWHERE = f"""{_ARTICLES}, parts AS (
+  SELECT doc_id, link, list_prepend('reuters', {_tokens("short_description")}) AS tokens FROM articles),
+sized AS (SELECT doc_id, link, len(tokens) AS dl, len(list_filter(tokens, lambda t: t = 'reuters')) AS tf FROM parts),
+corpus AS (SELECT count(*) AS n, sum(dl) / count(*) AS mean_length FROM sized),
+stored AS (SELECT *, CASE WHEN dl < 40 THEN dl ELSE 24 + (((dl - 24) >> CAST(length(bin(dl - 24)) - 4 AS BIGINT))
+           << CAST(length(bin(dl - 24)) - 4 AS BIGINT)) END AS length FROM sized),
+scored AS (SELECT doc_id, link, 2.2 * ln(1 + 0.5 / (n + 0.5)) * tf
+           / (tf + 1.2 * (0.25 + 0.75 * length / mean_length)) AS exact FROM stored, corpus),
+ranked AS (SELECT doc_id, link, round(exact, 12) AS score FROM scored
+           ORDER BY CAST(exact AS FLOAT) DESC, doc_id LIMIT 10)"""
 
 ORACLES: dict[str, str] = {
     "ndjson_scan_strict": f"WITH {_ARTICLES} SELECT {_RAW} FROM articles WHERE {_KEPT}",
     "first_n_rows": f"""WITH {_ARTICLES} SELECT link, headline, date FROM articles WHERE {_KEPT}
+ORDER BY doc_id LIMIT 250""",
+    "first_n_rows_one_file": f"""WITH {_ARTICLES} SELECT link, headline, date FROM articles WHERE {_KEPT}
 ORDER BY doc_id LIMIT 250""",
     "date_conformance": f"WITH {_DATES} SELECT doc_id, date, moment IS NOT NULL AS accepted, "
     "coalesce(CAST(moment AS VARCHAR), 'refused') AS moment FROM dates",
@@ -157,11 +173,21 @@ SELECT doc_id, len(tokens) AS n_tokens, len(list_distinct(tokens)) AS n_distinct
   md5(array_to_string(tokens, ' ')) AS tokens_md5 FROM t""",
     "sentiment_enrich": f"WITH {_SENTIMENT} SELECT doc_id, {_RAW}, sentiment_score, sentiment_polarity FROM enriched",
     "sentiment_totals_large_lexicon": f"WITH {_SENTIMENT} SELECT doc_id, positive, negative FROM enriched",
+    "sentiment_large_lexicon": f"""WITH {_ARTICLES},
+tokens AS (SELECT doc_id, unnest({_tokens("short_description")}) AS word FROM articles),
+valued AS (SELECT doc_id, length(word) % 5 - 2 AS valence FROM tokens),
+totals AS (SELECT doc_id, sum(greatest(valence, 0)) AS positive, sum(greatest(-valence, 0)) AS negative
+           FROM valued GROUP BY doc_id)
+SELECT doc_id, CAST(CAST(greatest(coalesce(positive, 0), coalesce(negative, 0)) AS FLOAT) AS DOUBLE) AS sentiment_score,
+  CASE WHEN coalesce(negative, 0) > coalesce(positive, 0) THEN 'Negative' ELSE 'Positive' END AS sentiment_polarity
+FROM articles LEFT JOIN totals USING (doc_id)""",
     "match_any_token": f"WITH {_ARTICLES} SELECT doc_id FROM articles WHERE {_matches('short_description', 'erst', 'ther')}",
     "match_keyword": f"WITH {_ARTICLES} SELECT doc_id FROM articles WHERE category = 'src3'",
     "match_link": f"WITH {_ARTICLES} SELECT doc_id FROM articles WHERE link = 'doc://17'",
     "match_date": f"WITH {_ARTICLES} SELECT doc_id FROM articles WHERE date LIKE '2018-05-%'",
-    "match_date_hour": f"WITH {_ARTICLES} SELECT doc_id FROM articles WHERE date = '2018-05-26'",
+    "match_date_hour": f"WITH {_ARTICLES} SELECT doc_id FROM articles WHERE date = '2018-05-26' AND doc_id % 7 = 5",
+    "match_date_minute": f"""WITH {_ARTICLES} SELECT doc_id FROM articles
+WHERE date = '2018-02-03' AND doc_id % 7 = 5 AND doc_id % 50 = 33""",
     "match_all": f"WITH {_ARTICLES} SELECT doc_id FROM articles",
     "match_polarity": f"WITH {_SENTIMENT} SELECT doc_id FROM enriched WHERE sentiment_polarity = 'Negative'",
     "sentiment_stats": f"WITH {_SENTIMENT} " + _top("enriched", "sentiment_polarity", _matches("short_description", "erst")),
@@ -169,7 +195,7 @@ SELECT doc_id, len(tokens) AS n_tokens, len(list_distinct(tokens)) AS n_distinct
     "category_stats": f"WITH {_ARTICLES} " + _top("articles", "category", _matches("short_description", "ther")),
     "category_stats_all": f"WITH {_ARTICLES} " + _top("articles", "category"),
     "category_stats_headline": f"WITH {_ARTICLES} " + _top("articles", "category", _matches("headline", "the")),
-    "category_stats_date": f"WITH {_ARTICLES} " + _top("articles", "category", "date LIKE '2018-%'"),
+    "category_stats_date": f"WITH {_ARTICLES} " + _top("articles", "category", "date LIKE '2018-03-%'"),
     "terms_with_other": f"""WITH {_ARTICLES}, top AS ({_top("articles", "category")})
 SELECT CAST((SELECT count(*) FROM articles) - (SELECT sum(doc_count) FROM top) AS BIGINT) AS sum_other_doc_count,
   CAST(0 AS BIGINT) AS doc_count_error_upper_bound""",
@@ -191,6 +217,9 @@ SELECT CAST((SELECT count(*) FROM articles) - (SELECT sum(doc_count) FROM top) A
   / (count(*) FILTER (category = 'src7') + 0.5)), 6) FROM articles)""",
     ),
     "search_date_field": _constant_hits("date = '2018-02-03'", "CAST(1 AS DOUBLE)"),
+    "search_word_everywhere": f"WITH {_EVERYWHERE} SELECT doc_id, score FROM ranked",
+    "search_keyword_everywhere": """SELECT doc_id, round(ln(1 + 0.5 / ((SELECT count(*) FROM documents) + 0.5)), 12) AS score
+FROM documents ORDER BY doc_id LIMIT 10""",
     "hit_documents": f"""WITH {_bm25(["the", "erst", "en"], {"headline": 2, "authors": 1, "short_description": 1})},
 {_TOTALS}
 SELECT doc_id, {_RAW}, sentiment_score, sentiment_polarity FROM ranked JOIN enriched USING (doc_id)""",
@@ -211,6 +240,14 @@ SELECT field, doc_id, len(tokens) AS length FROM parts WHERE len(tokens) > 0""",
         ["the", "erst", "en"], {"headline": 2, "authors": 1, "short_description": 1}, "link, score"
     ),
     "search_published_field": _hits(["erst", "ther"], {"short_description": 1}, "link, score"),
+    "search_everywhere_published": f"WITH {_EVERYWHERE} SELECT link, score FROM ranked",
+    "significant_sizes": f"""WITH {_ARTICLES} SELECT
+  count(*) FILTER ({_matches("short_description", "erst")}) AS doc_count, count(*) AS bg_count FROM articles""",
+    "category_stats_sized": f"""WITH {_ARTICLES}, found AS (
+  SELECT category FROM articles WHERE {_matches("short_description", "ther")}),
+top AS ({_top("found", "category", size=3)})
+SELECT key, doc_count FROM top UNION ALL
+SELECT '(others)', (SELECT count(*) FROM found) - CAST((SELECT coalesce(sum(doc_count), 0) FROM top) AS BIGINT)""",
     "significant_words_published": _significant("short_description", ["erst"], 15),
     "category_stats_published": f"WITH {_ARTICLES} " + _top("articles", "category", _matches("short_description", "ther")),
     "sentiment_stats_published": f"WITH {_SENTIMENT} "
@@ -221,10 +258,17 @@ SELECT {_RAW}, CAST(CAST(date AS TIMESTAMP) AS VARCHAR) AS moment, sentiment_sco
     "published_duplicates": """SELECT 'doc://' || doc_id AS link, CAST(2 AS BIGINT) AS copies,
   CAST(2 AS BIGINT) AS ids FROM documents""",
     "run_summary": _SUMMARY,
+    "refresh_after_rollback": f"""SELECT 'articles_1' AS name, FALSE AS published, count(*) AS n FROM documents
+UNION ALL SELECT 'articles_2', FALSE, count(*) FROM documents WHERE {_KEPT}
+UNION ALL SELECT 'articles_3', TRUE, count(*) FROM documents WHERE {_KEPT}""",
     "version_numbers": """SELECT source || CASE doc_id % 3 WHEN 0 THEN '_' WHEN 1 THEN '_+' ELSE '_v' END || doc_id AS name,
   CASE WHEN doc_id % 3 < 2 THEN doc_id ELSE -1 END AS version FROM documents""",
     "snapshot_roundtrip": f"WITH {_SENTIMENT} SELECT {_RAW}, sentiment_polarity FROM enriched",
     "snapshot_restore_subset": f"WITH {_SENTIMENT} SELECT link, sentiment_polarity FROM enriched WHERE {_KEPT}",
     "stream_follow_files": f"WITH {_SENTIMENT} SELECT {_RAW}, sentiment_polarity FROM enriched WHERE {_KEPT}",
+    "stream_two_sources": f"""SELECT 'doc://' || doc_id AS link, CASE WHEN {_KEPT} THEN 2 ELSE 1 END::BIGINT AS copies,
+  CASE WHEN {_KEPT} THEN 2 ELSE 1 END::BIGINT AS ids FROM documents""",
+    "stream_search_appended": f"""WITH {_bm25(["the", "erst", "en"], {"headline": 2, "authors": 1, "short_description": 1})}
+SELECT round(score, 5) AS score FROM ranked""",
     "stream_periodic_refresh": f"WITH {_SENTIMENT} SELECT {_RAW}, sentiment_polarity FROM enriched",
 }

@@ -41,6 +41,13 @@ def test_questions(warehouse):
         newsloom.sentiment_stats(warehouse, " ")
 
 
+def test_sizes_and_remainder(warehouse):
+    assert [tuple(r) for r in newsloom.category_stats(warehouse, "dog cat", size=1).collect()] == [("c0", 8)]
+    assert newsloom.category_remainder(warehouse, "dog cat", size=1).first().sum_other_doc_count == 4
+    assert tuple(newsloom.significant_sizes(warehouse, "cat").first()) == (8, 24)
+    assert tuple(newsloom.significant_sizes(warehouse, "!!!").first()) == (0, 24)
+
+
 def test_published_stats_do_not_read_the_text(warehouse):
     plan = newsloom.category_stats(warehouse, "dog")._jdf.queryExecution().executedPlan().toString()
     assert ("short_description:string" in plan) != warehouse.has_terms(warehouse.published())
@@ -52,7 +59,6 @@ def test_appended_rows_are_found(warehouse, lexicon, tmp_path):
     row = dict.fromkeys(RAW_FIELDS, "x") | {"short_description": "walrus", "date": "2018-05-27"}
     (folder / "a.json").write_text(json.dumps(row))
     newsloom.follow_files(warehouse, lexicon, str(folder), str(tmp_path / "checkpoint")).awaitTermination()
-    assert not warehouse.has_terms(warehouse.published())
     hits = newsloom.fulltext_search(warehouse, "walrus").collect()
     assert [(h.short_description, h.date) for h in hits] == [("walrus", "2018-05-27")]
 

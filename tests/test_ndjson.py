@@ -27,6 +27,11 @@ KEPT = {
     "array": json.dumps(list(ROW.values())),
     "surrogate pair": LINE.replace('"a"', '"\\ud83d\\ude00"'),
     "escaped backslash": LINE.replace('"a"', '"\\\\ud800"'),
+    "key repeated in an ignored field": LINE[:-1] + ', "x": {"k": 1, "k": {"date": 2, "date": 3}}}',
+    "ignored key repeated": LINE[:-1] + ', "x": 1, "x": [2]}',
+    "lone surrogate in an ignored field": LINE[:-1] + ', "x": "\\ud800 \\udc00 \\\\ud800"}',
+    "lone surrogate in an ignored key": LINE[:-1] + ', "\\udc00": 1}',
+    "both, and an early end in a string": LINE[:-1] + ', "x": "}] \\ud83d", "x": {"k": 1, "k": 2}}',
     "empty values": json.dumps({**dict.fromkeys(RAW_FIELDS, ""), "headline": "h"}),
 }
 DROPPED = {
@@ -53,6 +58,15 @@ DROPPED = {
     "lone surrogate": LINE.replace('"a"', '"\\ud800"'),
     "low surrogate after text": LINE.replace('"a"', '"\\\\ud83d\\ude00"'),
     "lone low surrogate": LINE.replace('"a"', '"\\udc00"'),
+    "lone surrogate in a field and outside": LINE.replace('"a"', '"\\ud800"')[:-1] + ', "x": "\\ud800"}',
+    "question mark for a surrogate": LINE.replace('"a"', '"? \\udfff"'),
+    "ignored key repeated, a field too": LINE[:-1] + ', "x": 1, "x": 2, "date": "d"}',
+    "ignored key repeated, a number": json.dumps({**ROW, "date": 3})[:-1] + ', "x": 1, "x": 2}',
+    "ignored key repeated, trailing": LINE[:-1] + ', "x": 1, "x": 2} x',
+    "ignored key repeated, early end": LINE[:-1] + ', "x": 1, "x": 2}] {"a": 1}',
+    "ignored key repeated, two": LINE[:-1] + ', "x": 1, "x": 2},' + LINE,
+    "ignored key repeated, not JSON": LINE[:-1] + ', "x": 1, "x": NaN}',
+    "ignored key repeated, quotes": LINE[:-1] + ", \"x\": 1, \"x\": 'y'}",
     "control character": LINE.replace('"a"', '"\t"'),
     "cut": LINE[:-1],
 }
@@ -75,25 +89,30 @@ def test_strict_lines(spark, tmp_path):
 def strict(line):
     """The six values of a line, or None, by Python's parser."""
 
-    def unique(pairs):
-        if len(dict(pairs)) < len(pairs):
-            raise ValueError
-        return dict(pairs)
+    def article(pairs):
+        """Repeated keys count only if they are among the six of the whole line."""
+        known = [k for k, _ in pairs if k in RAW_FIELDS]
+        return {**dict(pairs), "repeated": len(set(known)) < len(known)}
 
     def refuse(constant):
         raise ValueError
 
     try:
-        value = json.loads(line, object_pairs_hook=unique, parse_constant=refuse)
-        json.dumps(value, ensure_ascii=False).encode()
+        value = json.loads(line, object_pairs_hook=article, parse_constant=refuse)
     except ValueError:
         return None
     if isinstance(value, list) and len(value) == len(RAW_FIELDS):
         value = dict(zip(RAW_FIELDS, value))
-    if not isinstance(value, dict):
+    if not isinstance(value, dict) or value.get("repeated"):
         return None
     values = [value.get(name) for name in RAW_FIELDS]
-    return values if all(isinstance(v, str) for v in values) else None
+    if not all(isinstance(v, str) for v in values):
+        return None
+    try:
+        "".join(values).encode()
+    except ValueError:  # a lone surrogate
+        return None
+    return values
 
 
 def test_random_damage_against_another_parser(spark):
@@ -106,8 +125,12 @@ def test_random_damage_against_another_parser(spark):
         row = {name: chance.choice(pieces) for name in RAW_FIELDS}
         if chance.random() < 0.3:
             row["x"] = chance.choice(extras)
+        if chance.random() < 0.1:
+            row["y"] = chance.choice(["\ud800", "a\udc00b", "\\ud800"])
         whole = list(row.values())[:6] if chance.random() < 0.2 else row
-        text = json.dumps(whole, ensure_ascii=chance.random() < 0.5)
+        text = json.dumps(whole, ensure_ascii="y" in row or chance.random() < 0.5)
+        if chance.random() < 0.1 and text.endswith("}"):
+            text = text[:-1] + chance.choice([',"z":1,"z":2}', ',"z":{"q":1,"q":2}}', ',"date":"d"}'])
         for _ in range(chance.randint(0, 2)):
             at = chance.randrange(len(text) + 1)
             new = chance.choice('{}[]",:\\ue\t0 1\r-.')
@@ -154,6 +177,26 @@ def test_first_rows_in_file_order(spark, many_files, monkeypatch, n):
     assert sorted(r.headline for r in rows) == sorted(expected[:n])
 
 
+def test_only_the_beginning_of_one_file_is_parsed(spark, tmp_path, monkeypatch):
+    path = write(tmp_path / "one.json", [named(f"{i:05d}") for i in range(20_000)])
+    monkeypatch.setattr(ndjson, "_LEAST_BYTES", 1)
+    monkeypatch.setattr(ndjson, "_BYTES_PER_ROW", 150)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 50_000)
+    folder = str(tmp_path / "scratch")
+    try:
+        rows, cut = ndjson.first_articles_cut(spark, path, 1_000, folder)
+        assert sorted(r.headline for r in rows.collect()) == [f"{i:05d}" for i in range(1_000)] and cut
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert 1_000 < spark.read.parquet(folder).count() < 4_000
+
+
+def test_very_long_lines_are_read(spark, tmp_path):
+    long = LINE[:-1] + ', "x": "' + "z" * 30_000_000 + '"}'
+    rows = read_articles(spark, write(tmp_path / "long.json", [named("long", long), named("short")])).collect()
+    assert [r.headline for r in rows] == ["long", "short"]
+
+
 def test_first_rows_across_blocks_of_one_file(spark, tmp_path):
     lines = [named(f"{i:05d}") if i % 2 else "x" for i in range(20_000)]
     path = write(tmp_path / "one.json", lines)

@@ -16,7 +16,7 @@ from newsloom.operators.terms import category_stats, sentiment_stats
 from newsloom.plans.refresh import publishable
 from newsloom.schema import SEARCH_BOOSTS
 from newsloom.sources.ndjson import read_articles
-from newsloom.sources.tables import spread
+from newsloom.sources.warehouse import Warehouse
 
 # A tokenised column mentions the pattern twice, in the usual and the long-word case.
 ONCE = 2
@@ -44,7 +44,6 @@ def test_each_text_is_segmented_once(stored, lexicon):
     assert segmentations(category_stats(stored, "cat")) == ONCE
     assert segmentations(sentiment_stats(enrich(raw, lexicon))) == ONCE
     assert segmentations(significant.word_counts(stored, "cat", field)) == ONCE
-    assert segmentations(significant.matching_words(stored, "cat", field)) == ONCE
     assert segmentations(significant.foreground_background(stored, "cat")) == ONCE
     assert segmentations(term_tables.postings(stored)) == ONCE
     assert segmentations(term_tables.document_frequencies(term_tables.postings(stored), "field")) == ONCE
@@ -103,11 +102,22 @@ def test_only_needed_columns_are_read(stored):
     assert re.search(r"ReadSchema: struct<category:string,short_description:string>", plan)
 
 
-def test_spread_only_adds_a_shuffle_to_few_partitions(spark, stored):
-    assert "Exchange" in physical(spread(stored, "doc_id"))
-    cores = spark.sparkContext.defaultParallelism
-    many = spark.range(1000, numPartitions=cores * 2).withColumnRenamed("id", "doc_id")
-    assert spread(many, "doc_id") is many
+def test_published_significant_words_read_no_text(spark, stored, tmp_path):
+    folder = str(tmp_path / "terms")
+    term_tables.write_term_tables(stored, folder)
+    words = significant.significant_words_from_terms(stored, folder, "cat")
+    sizes = significant.sizes_from_terms(stored, folder, "cat")
+    assert tuple(sizes.first()) == (1, 2)
+    for frame in (words, sizes):
+        assert "short_description:string" not in physical(frame) and segmentations(frame) == 0
+
+
+def test_fetch_by_id_skips_files(spark, make_articles, lexicon, tmp_path):
+    warehouse = Warehouse(spark, str(tmp_path / "warehouse"))
+    warehouse.write(make_articles(*[{"headline": f"w{i}"} for i in range(400)]), "articles_1", n_partitions=8)
+    ranges = warehouse.read("articles_1").groupBy(F.input_file_name().alias("file"))
+    bounds = sorted((r.low, r.high) for r in ranges.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).collect())
+    assert len(bounds) == 8 and all(a[1] < b[0] for a, b in zip(bounds, bounds[1:]))
 
 
 def test_bucket_of_a_frequent_word_is_split(spark, tmp_path):

@@ -79,11 +79,44 @@ def test_failed_run_leaves_the_published_version(warehouse, source, lexicon, tmp
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         refresh(warehouse, lexicon, RefreshOptions(str(tmp_path / "nowhere"), max_news=None))
     assert warehouse.published() == "articles_1" and warehouse.scan().count() == 39
-    # What a run that died before publishing leaves behind is replaced.
+    # What a run that died before publishing leaves behind has no name of a version.
+    assert warehouse.tables() == ["articles_1"]
+    # A version that is kept is not touched: the next free name is taken.
     warehouse.write(warehouse.scan().limit(3), "articles_2")
-    assert warehouse.published() == "articles_1"
     assert refresh(warehouse, lexicon, RefreshOptions(source)).accepted == 39
-    assert warehouse.published() == "articles_2" and warehouse.scan().count() == 39
+    assert warehouse.published() == "articles_3" and warehouse.scan().count() == 39
+    assert warehouse.read("articles_2").count() == 3
+
+
+def test_refresh_after_going_back_keeps_the_later_version(warehouse, source, lexicon):
+    for _ in range(2):
+        refresh(warehouse, lexicon, RefreshOptions(source, leave_old=True))
+    before = warehouse.read("articles_2").collect()
+    warehouse.publish("articles_1")
+    assert refresh(warehouse, lexicon, RefreshOptions(source, max_news=5, leave_old=True)).new_index_name == "articles_3"
+    assert sorted(warehouse.read("articles_2").collect()) == sorted(before)
+    with pytest.raises(ValueError, match="exists"):
+        warehouse.write(warehouse.scan(), "articles_2")
+
+
+def test_everything_is_read_by_default(spark, warehouse, lexicon, tmp_path):
+    n = 300_001
+    rows = spark.range(0, n, numPartitions=4).selectExpr(
+        "concat('[\"c\",\"h\",\"a\",\"l', id, '\",\"s\",\"2018-05-26\"]') AS value"
+    )
+    rows.write.text(str(tmp_path / "many"))
+    summary = refresh(warehouse, lexicon, RefreshOptions(str(tmp_path / "many")))
+    assert (summary.accepted, summary.dropped, summary.limit_cut) == (n, 0, False)
+    assert warehouse.scan().count() == n
+
+
+def test_summary_tells_of_dropped_lines_and_of_the_limit(warehouse, source, lexicon):
+    summary = refresh(warehouse, lexicon, RefreshOptions(source))
+    assert (summary.dropped, summary.limit_cut) == (1, False)
+    assert refresh(warehouse, lexicon, RefreshOptions(source, max_news=40)).limit_cut is False
+    cut = refresh(warehouse, lexicon, RefreshOptions(source, max_news=39))
+    assert (cut.total_indexed, cut.dropped, cut.limit_cut) == (39, None, True)
+    assert refresh(warehouse, lexicon, RefreshOptions(source, max_news=0)).limit_cut is True
 
 
 def test_overtaken_run_does_not_publish(warehouse, source, lexicon, monkeypatch):
@@ -104,7 +137,7 @@ def test_overtaken_run_does_not_publish(warehouse, source, lexicon, monkeypatch)
 def test_create_fails_if_the_table_exists(warehouse):
     assert warehouse.create(1) == "articles_1"
     assert warehouse.has_table("articles_1") and warehouse.read("articles_1").count() == 0
-    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+    with pytest.raises(ValueError, match="exists"):
         warehouse.create(1)
     warehouse.publish("articles_1")
     with pytest.raises(ValueError, match="published"):
@@ -192,14 +225,95 @@ def test_follow_files_after_a_refresh(spark, warehouse, source, lexicon, tmp_pat
     assert rows.count() == rows.select("doc_id").distinct().count() == 49
 
 
-def test_repeated_batch_replaces_itself(spark, warehouse, source, lexicon, tmp_path):
+def test_two_sources_are_one_table(spark, warehouse, source, lexicon, tmp_path):
+    more = write(tmp_path / "more", "b.json", [line(100 + i) for i in range(10)])
+    summaries = []
+    follow_files(warehouse, lexicon, source, str(tmp_path / "one"), on_summary=summaries.append).awaitTermination()
+    follow_files(warehouse, lexicon, more, str(tmp_path / "two"), on_summary=summaries.append).awaitTermination()
+    write(tmp_path / "news", "c.json", [line(200 + i) for i in range(5)])
+    follow_files(warehouse, lexicon, source, str(tmp_path / "one"), on_summary=summaries.append).awaitTermination()
+    rows = warehouse.scan()
+    assert rows.count() == rows.select("doc_id").distinct().count() == rows.select("link").distinct().count() == 54
+    assert [(s.total_indexed, s.accepted, s.rejected, s.dropped) for s in summaries] == [(40, 39, 1, 1), (10, 10, 0, 0), (5, 5, 0, 0)]
+
+
+def test_second_stream_over_a_source_is_refused(spark, warehouse, source, lexicon, tmp_path):
     follow_files(warehouse, lexicon, source, str(tmp_path / "one")).awaitTermination()
     before = warehouse.scan().collect()
-    # A lost checkpoint repeats batch 0 of the same table.
-    follow_files(warehouse, lexicon, source, str(tmp_path / "two")).awaitTermination()
+    with pytest.raises(ValueError, match="already follows"):
+        follow_files(warehouse, lexicon, source + "/", str(tmp_path / "lost checkpoint"))
     assert sorted(warehouse.scan().collect()) == sorted(before)
 
 
+def test_repeated_batch_replaces_itself(spark, warehouse, source, lexicon, tmp_path):
+    refresh(warehouse, lexicon, RefreshOptions(write(tmp_path / "old", "a.json", [line(900)]), term_tables=True))
+    checkpoint = tmp_path / "one"
+    follow_files(warehouse, lexicon, source, str(checkpoint)).awaitTermination()
+    before = warehouse.scan().collect()
+    # As after a failure between the work and the note that it is done.
+    for name in (checkpoint / "commits").iterdir():
+        name.unlink()
+    follow_files(warehouse, lexicon, source, str(checkpoint)).awaitTermination()
+    assert sorted(warehouse.scan().collect()) == sorted(before) and len(before) == 40
+    assert warehouse.has_terms("articles_1")
+    assert len(ask.fulltext_search(warehouse, "end", size=100).collect()) == 29
+
+
+def test_stale_stream_ends_and_changes_nothing(spark, warehouse, source, lexicon, tmp_path):
+    old = write(tmp_path / "old", "a.json", [line(900)])
+    refresh(warehouse, lexicon, RefreshOptions(old))
+    query = follow_files(warehouse, lexicon, source, str(tmp_path / "one"), interval_ms=200)
+    while query.isActive and warehouse.scan().count() < 40:
+        query.awaitTermination(0.1)
+    summary = refresh(warehouse, lexicon, RefreshOptions(source))
+    write(tmp_path / "news", "later.json", [line(700)])
+    with pytest.raises(Exception, match="no longer followed"):
+        query.awaitTermination(60)
+    assert warehouse.published() == summary.new_index_name == "articles_2"
+    assert warehouse.tables() == ["articles_2"] and warehouse.scan().count() == 39
+    with pytest.raises(ValueError, match="is published"):
+        follow_files(warehouse, lexicon, source, str(tmp_path / "two"), table="articles_1")
+
+
+def test_term_tables_follow_appends(spark, warehouse, source, lexicon, tmp_path):
+    refresh(warehouse, lexicon, RefreshOptions(source, term_tables=True))
+    more = write(tmp_path / "more", "b.json", [line(100 + i, short_description="walrus the") for i in range(10)])
+    follow_files(warehouse, lexicon, more, str(tmp_path / "one")).awaitTermination()
+    assert warehouse.has_terms("articles_1")
+    plain = Warehouse(spark, str(tmp_path / "plain"))
+    plain.write(warehouse.scan(), "articles_1")
+    plain.publish("articles_1")
+    for query in ("walrus", "the end", "in"):
+        found = [[(h.doc_id, round(h.score, 9)) for h in ask.fulltext_search(w, query, size=60).collect()] for w in (warehouse, plain)]
+        assert found[0] == found[1] != []
+        assert ask.significant_words(warehouse, query).collect() == ask.significant_words(plain, query).collect()
+        assert ask.significant_sizes(warehouse, query).first() == ask.significant_sizes(plain, query).first()
+        assert ask.category_stats(warehouse, query, size=4).collect() == ask.category_stats(plain, query, size=4).collect()
+
+
+def test_broken_off_restore_can_be_repeated(spark, warehouse, source, lexicon, tmp_path, monkeypatch):
+    for _ in range(2):
+        refresh(warehouse, lexicon, RefreshOptions(source, leave_old=True))
+    take_snapshot(warehouse, str(tmp_path / "snapshots"), "s")
+    other = Warehouse(spark, str(tmp_path / "other"))
+    write_table = other.write
+
+    def failing(df, table, *args):
+        if table == "articles_2":
+            raise RuntimeError("broken off")
+        write_table(df, table, *args)
+
+    monkeypatch.setattr(other, "write", failing)
+    with pytest.raises(RuntimeError):
+        restore_snapshot(other, str(tmp_path / "snapshots"), "s")
+    assert other.tables() == ["articles_1"] and other.published() is None
+    monkeypatch.undo()
+    assert restore_snapshot(other, str(tmp_path / "snapshots"), "s") == ["articles_1", "articles_2"]
+    assert other.published() == "articles_2" and same(other.scan(), warehouse.scan())
+    with pytest.raises(ValueError, match="tables exist"):
+        restore_snapshot(other, str(tmp_path / "snapshots"), "s")
+
+
 def test_periodic_refresh(warehouse, source, lexicon):
     runs = []
     query = refresh_periodically(warehouse, lexicon, RefreshOptions(source, leave_old=True), 2000, runs.append)
@@ -224,10 +338,10 @@ def test_scratch_folder_is_shared(spark):
     assert folder.startswith(f"{shared}/") and folder != scratch_folder(spark, "x")
 
 
-@pytest.mark.parametrize("master", ["local", "local[8]", "yarn", "spark://host:7077", ""])
-def test_scratch_folder_without_a_shared_one(master):
-    session = SimpleNamespace(conf=SimpleNamespace(get={"spark.master": master}.get))
-    if master.startswith("local"):
+@pytest.mark.parametrize("master", ["local", "local[8]", "local-cluster[2,1,1024]", "yarn", "spark://host:7077", ""])
+def test_scratch_folder_without_a_shared_one(spark, master):
+    session = SimpleNamespace(conf=SimpleNamespace(get={"spark.master": master}.get), sparkContext=spark.sparkContext)
+    if master in ("local", "local[8]"):
         assert scratch_folder(session, "x") != scratch_folder(session, "x")
     else:
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
