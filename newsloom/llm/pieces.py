@@ -30,7 +30,7 @@ from newsloom.llm import charmap, common
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # kinds of pieces, fixed by the model format
 BPE = 2
 #: Segments remembered by a worker; all are forgotten when there are more.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Longer segments are merged one at a time.
 TOGETHER = 48
 _SHIFT = 21  # symbols are below 2^21: ids, then unknown characters by code point
@@ -74,6 +74,8 @@ class Codec:
         self.unknown = n + len(chars)  # symbols from here on: characters not in any piece
         if self.unknown + 0x110000 >= 1 << _SHIFT:
             raise ValueError("the vocabulary is too large")
+        self.symbol_of = np.arange(self.unknown, self.unknown + 0x110000, dtype=np.int64)
+        self.symbol_of[[ord(c) for c in chars]] = [self.symbol[c] for c in chars]
         keys, made = [], []
         for piece, i in normal.items():
             for cut in range(1, len(piece)):
@@ -89,8 +91,6 @@ class Codec:
         # Scores as dense ranks: the larger the better, equal for equal scores.
         scores = np.array([p.score for p in proto.pieces])
         self.rank = np.unique(scores, return_inverse=True)[1].astype(np.int64)
-        self.single = np.full(self.unknown, -1, np.int64)  # symbols that are no piece: bytes
-        self.single[:n] = np.arange(n)
         self.lone = {n + i: c for i, c in enumerate(chars) if c not in normal}
 
     def _read_decoding(self, proto) -> None:
@@ -138,11 +138,12 @@ class Codec:
         """Ids of each text, with begin and end."""
         cut = [self._segments.findall(self.normalised(text)) for text in texts]
         known = self._known
-        new = {s for segments in cut for s in segments if s not in known}
+        segments_here = set().union(*cut)
+        new = segments_here.difference(known)
         if new:
             if len(known) + len(new) > REMEMBERED:
                 known.clear()
-                new = {s for segments in cut for s in segments}
+                new = segments_here
             self._learn(list(new))
         begin, end = (np.array([i], "<u4").tobytes() for i in (self.begin, self.end))
         return [
@@ -189,8 +190,8 @@ class Codec:
         n, width = len(segments), len(segments[-1])
         size = np.array([len(s) for s in segments])
         symbols = np.full((n, width + 1), -1, np.int64)
-        flat = [x for s in segments for x in self._symbols(s)]
-        symbols[np.arange(width + 1) < size[:, None]] = flat
+        points = np.frombuffer("".join(segments).encode("utf-32-le"), "<u4")
+        symbols[np.arange(width + 1) < size[:, None]] = self.symbol_of[points]
         left, right = symbols[:, :-1], symbols[:, 1:]
         made = np.where(right >= 0, self._pairs(np.maximum(left, 0), np.maximum(right, 0)), -1)
         rank = np.where(made >= 0, self.rank[made], -1)
