@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import newsloom
-from newsloom.sources.storage import scratch_folder
+from newsloom.sources.storage import settled
 
 #: Bytes of text that one numpy step works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
@@ -50,13 +50,7 @@ def is_held_out(key: str, modulus: int, which: int) -> Column:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared scratch folder and read back: cuts the lineage, and
     survives the loss of executors.  The folder goes when the application ends."""
-    spark = df.sparkSession
-    path = scratch_folder(spark, label)
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return settled(df, label)
 
 
 def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
