@@ -17,6 +17,7 @@ from newsloom.llm import (
     toxicity,
 )
 from newsloom.llm.common import read_table
+from newsloom.llm.statements import ORACLES
 
 
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,6 +67,8 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.score(docs, forest)
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
@@ -78,45 +81,3 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_quality_classifier": op10_quality_classifier,
 }
-
-#: DuckDB statements for the queries that SQL can express.
-ORACLES: dict[str, str] = {
-    "op4_decontaminate": r"""
-        WITH docs AS (
-            SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(
-                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w
-            FROM documents),
-        items AS (
-            SELECT item_id, regexp_extract_all(
-                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w
-            FROM benchmark),
-        starts AS (
-            SELECT item_id, w, least(len(w), 10) AS size,
-                unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i
-            FROM items WHERE len(w) > 0),
-        windows AS (
-            SELECT DISTINCT item_id, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS t
-            FROM starts),
-        sizes AS (SELECT DISTINCT size FROM windows),
-        places AS (
-            SELECT row_id, w, size, unnest(range(1, len(w) - size + 2)) AS i
-            FROM docs, sizes WHERE len(w) >= size),
-        grams AS (
-            SELECT row_id, size, i, array_to_string(list_slice(w, i, i + size - 1), ' ') AS t
-            FROM places),
-        hits AS (SELECT row_id, i, g.size, item_id FROM grams g JOIN windows USING (size, t)),
-        covered AS (
-            SELECT row_id, count(DISTINCT p) AS n_hit
-            FROM (SELECT row_id, unnest(range(i, i + size)) AS p FROM hits) GROUP BY row_id),
-        found AS (
-            SELECT row_id, count(DISTINCT item_id) AS n_items,
-                array_to_string(list_sort(list_distinct(list(item_id::VARCHAR))), ',') AS ids
-            FROM hits GROUP BY row_id)
-        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
-            coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-            coalesce(n_hit, 0) > 0 AS contaminated
-        FROM docs LEFT JOIN covered USING (row_id) LEFT JOIN found USING (row_id)
-    """,
-}

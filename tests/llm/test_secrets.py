@@ -3,9 +3,12 @@ import random
 import re
 import string
 
+import duckdb
+import pyarrow as pa
 import pytest
 
 from newsloom.llm import secrets
+from newsloom.llm.statements import ORACLES
 
 from .conftest import sentence
 
@@ -72,6 +75,19 @@ def test_random_tokens_are_found_and_words_are_not(make_docs, rows):
     assert all(found[i].spans == shown(by_hand(texts[i])) for i in range(100, 110))
 
 
+def test_like_the_statement(make_docs, rows):
+    """Base spans, battery and step-up rule, by another engine."""
+    table = pa.table({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})
+    connection = duckdb.connect()
+    connection.register("documents", table)
+    cursor = connection.execute(ORACLES["op9_secrets"])
+    columns = [c[0] for c in cursor.description]
+    expected = sorted(map(str, cursor.fetchall()))
+    found = secrets.scan(make_docs(rows)).select(*columns).collect()
+    assert sorted(str(tuple(r)) for r in found) == expected
+    assert sum(r.n_random for r in found) > 130
+
+
 def test_battery_rates_under_randomness(spark):
     """Random tokens fail each test rarely; text-like ones have large p-values."""
     rnd = random.Random(1)
