@@ -94,7 +94,7 @@ tokens AS (
                 THEN 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/'
             WHEN regexp_matches(bare, '^[A-Za-z0-9_-]+$')
                 THEN 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_' END AS alphabet
-    FROM placed WHERE kind = 3 AND regexp_matches(m, '[0-9]')),
+    FROM placed WHERE kind = 3 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')),
 sums AS (
     SELECT row_id, b, e, length(bare)::DOUBLE AS n, length(alphabet)::DOUBLE AS k,
         list_transform(string_split(bare, ''), lambda c: instr(alphabet, c) - 1) AS v,

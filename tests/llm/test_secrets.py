@@ -49,6 +49,7 @@ def rows(odd_rows):
     for k in range(150):
         out.append((2000 + k, f"{sentence(k, 30)} internationalization{k % 10}standards {'ab12' * 8} 20180526123000111222333{k}"))
     out.append((3000, "abcdefghijklmnopqrstuvwxyz0123456789 " * 3))
+    out += [(4000 + k, key(rnd, 60, string.digits)) for k in range(40)]
     return out
 
 
@@ -72,6 +73,7 @@ def test_random_tokens_are_found_and_words_are_not(make_docs, rows):
         _, begin, end = found[i].spans.split(":")
         assert len(texts[i][int(begin) : int(end)]) == 40 + (i - 1000) % 24
     assert sum(found[i].n_random for i in range(2000, 2150)) == 0 and found[3000].n_random == 0
+    assert not any(found[4000 + k].n_random for k in range(40))
     assert all(found[i].spans == shown(by_hand(texts[i])) for i in range(100, 110))
 
 
