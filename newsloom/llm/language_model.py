@@ -308,7 +308,11 @@ class Scorer:
             top = scores.max(axis=1)
             total = np.exp(scores - top[:, None]).sum(axis=1)
             self.constants[part] = top + np.log(total)
-        scores = np.einsum("ij,ij->i", self.predicted(code), self.model.targets[kinds])
+        scores = np.empty(len(kinds))
+        for at in range(0, len(kinds), 1 << 16):  # a long text in parts
+            part = slice(at, at + (1 << 16))
+            targets = self.model.targets[kinds[part]]
+            scores[part] = np.einsum("ij,ij->i", self.predicted(code[part]), targets)
         return scores + self.model.bias[kinds] - self.constants[code]
 
 

@@ -18,6 +18,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -33,6 +34,8 @@ BPE = 2
 REMEMBERED = 400_000
 #: Longer segments are merged one at a time.
 TOGETHER = 48
+#: Characters of a text above which its segments are taken a portion at a time.
+LONG = 1 << 20
 _SHIFT = 21  # symbols are below 2^21: ids, then unknown characters by code point
 
 
@@ -136,20 +139,32 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, with begin and end."""
-        cut = [self._segments.findall(self.normalised(text)) for text in texts]
-        known = self._known
-        segments_here = set().union(*cut)
-        new = segments_here.difference(known)
+        begin, end = (np.array([i], "<u4").tobytes() for i in (self.begin, self.end))
+        out: list[list[bytes]] = [[begin] for _ in texts]
+        for rows, cut in self._portions(texts):
+            self._learn_new(cut)
+            for row, segments in zip(rows, cut):
+                out[row].append(b"".join(map(self._known.__getitem__, segments)))
+        return [np.frombuffer(b"".join([*parts, end]), "<u4") for parts in out]
+
+    def _portions(self, texts: list[str]) -> Iterator[tuple[list[int], list[list[str]]]]:
+        """Segments of all short texts together, and of each long one a portion at a time."""
+        short = [row for row, text in enumerate(texts) if len(text) <= LONG]
+        yield short, [self._segments.findall(self.normalised(texts[row])) for row in short]
+        for row, text in enumerate(texts):
+            if len(text) > LONG:
+                found = self._segments.finditer(self.normalised(text))
+                while portion := [match[0] for match in islice(found, LONG // 8)]:
+                    yield [row], [portion]
+
+    def _learn_new(self, cut: list[list[str]]) -> None:
+        here = set().union(*cut)
+        new = here.difference(self._known)
         if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = segments_here
+            if len(self._known) + len(new) > REMEMBERED:
+                self._known.clear()
+                new = here
             self._learn(list(new))
-        begin, end = (np.array([i], "<u4").tobytes() for i in (self.begin, self.end))
-        return [
-            np.frombuffer(begin + b"".join(map(known.__getitem__, segments)) + end, "<u4")
-            for segments in cut
-        ]
 
     def _learn(self, segments: list[str]) -> None:
         segments.sort(key=len)

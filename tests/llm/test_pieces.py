@@ -44,6 +44,13 @@ def test_ids_decoding_and_spans_are_those_of_the_library(model, library):
                 assert piece.replace("▁", " ").strip() == raw[b:e].decode().replace("▁", " ").strip()
 
 
+def test_long_texts_are_taken_in_portions(model, library, monkeypatch):
+    monkeypatch.setattr(pieces, "LONG", 200)
+    texts = [sentence(s, 10 + 60 * s) for s in range(5)] + ["", "x" * 500]
+    for text, ids in zip(texts, pieces.Codec(model).encode(texts)):
+        assert ids.tolist() == library.encode(text, add_bos=True, add_eos=True)
+
+
 def test_memory_of_segments_is_bounded(model, monkeypatch, library):
     monkeypatch.setattr(pieces, "REMEMBERED", 10)
     codec = pieces.Codec(model)
