@@ -349,13 +349,12 @@ def deduplicate(docs: DataFrame, width: int = SHINGLE, distance: int = MAX_DISTA
     """One row of each component: that with the smallest id (rows without id last), of
     repeated ids that with the smallest hash of its text.  Columns are kept."""
     prints = common.stored(fingerprint_rows(docs, width), "prints")
+    # One kind of key for both steps, so that the texts are shuffled once.
     stay = _classes(prints, distance).select(
-        F.col("first.doc_id").alias("_stay_id"), F.col("first.text_hash").alias("_stay_hash")
+        F.xxhash64("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash")
     )
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("hash"))
-    found = rows.join(
-        stay.distinct(),
-        F.col("doc_id").eqNullSafe(F.col("_stay_id")) & (F.col("hash") == F.col("_stay_hash")),
-        "left_semi",
+    rows = docs.select(
+        F.struct("*").alias("row"), F.xxhash64("doc_id").alias("id"), F.xxhash64("text").alias("hash")
     )
-    return found.dropDuplicates(["hash", "doc_id"]).select("row.*")
+    found = rows.join(stay.distinct(), ["id", "hash"], "left_semi")
+    return found.dropDuplicates(["id", "hash"]).select("row.*")
