@@ -26,6 +26,8 @@ from newsloom.llm.common import stored
 WINDOW = 10
 SHINGLE = 3
 MAX_BROADCAST = 500_000
+#: Files of the tables that follow from the benchmark.
+BENCHMARK_FILES = 16
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -119,7 +121,9 @@ def _occurrences(docs: DataFrame, shingles: DataFrame, n: int, widths: list[int]
 
 def _hits(docs: DataFrame, items: DataFrame, window: int, shingle: int) -> DataFrame | None:
     """(key, start, size, items): the verified windows; None if there is nothing to find."""
-    parts = stored(_window_shingles(benchmark_windows(items, window), shingle), "windows")
+    # Of the size of the benchmark: few files.
+    parts = _window_shingles(benchmark_windows(items, window), shingle)
+    parts = stored(parts.coalesce(BENCHMARK_FILES), "windows")
     # Equal shingles of several windows are one, numbered by its hash and words.
     sid = F.xxhash64("k", "a", "b", "c")
     parts = parts.withColumn("sid", sid)
@@ -143,7 +147,8 @@ def _hits(docs: DataFrame, items: DataFrame, window: int, shingle: int) -> DataF
         ).alias("probe"),
     )
     # One row a shingle, so that the join multiplies no rows.
-    probes = stored(probes.groupBy("sid").agg(F.collect_list("probe").alias("probes")), "probes")
+    probes = probes.groupBy("sid").agg(F.collect_list("probe").alias("probes"))
+    probes = stored(probes.coalesce(BENCHMARK_FILES), "probes")
     near = Window.partitionBy(*KEY, "k").orderBy("pos").rangeBetween(-(window - 1), window - 1)
     around = F.collect_list(F.struct("pos", "sid")).over(near)
     rows = (
