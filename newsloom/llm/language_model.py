@@ -7,10 +7,11 @@ sum of linear maps of the context's vectors, its products with the classes' vect
 their scores.  Inside a shared class, tokens have their smoothed relative frequencies, so
 a token's probability is normalised over all training tokens and one unseen one.
 
-The gradient steps use ``SAMPLED`` positions at most, drawn by a hash from all positions of
-all training documents; noise, classes and frequencies inside classes come from all of
-them.  Scoring takes batched matrix products over the different contexts of a step, whose
-normalising constants are kept.  Counts of the ``FREQUENT`` most frequent tokens at most go
+The gradient steps use all positions of all training documents: each class with its context
+is counted, and the counts, which weigh the steps, are dealt to learners.  The more
+different ones there are, the more learners; their parameters are averaged after each
+epoch.  A learner has at most about twice ``LEARNER_ROWS`` rows.  Scoring takes batched
+matrix products over the different contexts of a step, whose normalising constants are kept.  Counts of the ``FREQUENT`` most frequent tokens at most go
 to every task; the others, of which there may be any number, are joined.
 
 Tokens are 64-bit hashes of words; texts are taken whole, a step of text at a time.
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +40,11 @@ SHARED = 256  # the last ones
 DIMENSION = 32
 CONTEXT = 2
 FREQUENT = 500_000
-SAMPLED = 1_500_000
+#: Different classes with context of a learner; their counts are split into as many rows more.
+LEARNER_ROWS = 1_000_000
 NOISE = 64
 EPOCHS = 3
-#: Different tokens a task holds before it sends their counts.
+#: Different tokens, or classes with context, a task holds before it sends their counts.
 HELD = 400_000
 
 END = np.uint64(0x5851F42D4C957F2D)
@@ -203,80 +205,196 @@ def contexts(kinds: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def sample_positions(docs: DataFrame, words: Vocabulary, sampled: int) -> np.ndarray:
-    """Rows (class, class before, class before that) of about ``sampled`` positions, drawn
-    from all positions of ``docs`` by a hash of the id, the text and the place."""
-    share = min(1.0, sampled / max(words.total, 1))
-    limit = np.uint64(min(int(share * 2**64), 2**64 - 1))
+def count_contexts(docs: DataFrame, words: Vocabulary) -> DataFrame:
+    """(code, n) of every class with its context that occurs in ``docs``, over all positions.
+    At most CLASSES * (CLASSES + 1) ** CONTEXT rows."""
+    own = words.kind < CLASSES - SHARED
+    small = replace(words, token=words.token[own], count=words.count[own], kind=words.kind[own])
 
-    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in common.text_steps(batches, "text"):
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for _, data, offsets in common.text_steps(batches, "text"):
             hashes, shared, bounds = tokens(data, offsets)
-            row = np.repeat(np.asarray(batch.column("salt")).view(np.uint64), np.diff(bounds))
-            place = np.arange(len(hashes)) - np.repeat(bounds[:-1], np.diff(bounds))
-            chosen = np.flatnonzero(o.mix(row + place.astype(np.uint64)) <= limit)
-            need = np.unique(np.concatenate([np.maximum(chosen - k, 0) for k in range(CONTEXT + 1)]))
-            kinds = np.zeros(len(hashes), np.int64)
-            kinds[need] = words.look_up(hashes[need], shared[need])[0]
-            columns = [kinds, *contexts(kinds, bounds)]
-            rows = np.stack([c[chosen] for c in columns], axis=1).astype("<i2")
-            yield pa.RecordBatch.from_arrays([pa.array([rows.tobytes()], pa.binary())], ["rows"])
-
-    salted = docs.select(F.xxhash64("doc_id", "text").alias("salt"), "text")
-    found = salted.mapInArrow(drawn, "rows binary").toArrow().column("rows")
-    data = b"".join(sorted(found.to_pylist()))  # the order of tasks has no influence
-    return np.frombuffer(data, "<i2").reshape(-1, CONTEXT + 1).astype(np.int64)
-
-
-def train(positions: np.ndarray, words: Vocabulary, epochs: int = EPOCHS, batch: int = 2048) -> Model:
-    """Noise-contrastive estimation: tells each class from ``NOISE`` drawn from the classes'
-    frequencies, which a batch shares; AdaGrad on all parameters."""
+            kinds, _ = small.look_up(hashes, shared)
+            code = kinds
+            for before in contexts(kinds, bounds):
+                code = code * (CLASSES + 1) + before
+            held.append(np.unique(code.astype(np.int32), return_counts=True))
+            size += len(held[-1][0])
+            if size > HELD:
+                held = [_added_up(held)]
+                size = len(held[0][0])
+                if size > HELD // 2:
+                    yield _codes_batch(held.pop())
+                    size = 0
+        if held:
+            yield _codes_batch(_added_up(held))
+
+    rows = docs.select("text").mapInArrow(counted, "code int, n long")
+    return rows.groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def _added_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    code, n = (np.concatenate(column) for column in zip(*parts))
+    code, inverse = np.unique(code, return_inverse=True)
+    return code, np.bincount(inverse, n).astype(np.int64)
+
+
+def _codes_batch(part: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1].astype(np.int64))], ["code", "n"])
+
+
+def deal(found: DataFrame, rows: int) -> tuple[DataFrame, int, int]:
+    """(learner, code, n), the number of learners, and the most that a row of theirs weighs.
+    Every count is dealt whole; large ones in parts, to as many learners as they have rows."""
+    size = found.agg(F.count("*").alias("different"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
+    learners = max(1, -(-size.different // rows))
+    most = max(1, -(-size.total // (learners * rows)))
+    parts = F.least(F.ceil(F.col("n") / most), F.lit(learners)).cast("int")
+    split = found.withColumn("parts", parts).select(
+        "code", "n", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    )
+    n = F.floor(F.col("n") / F.col("parts")) + (F.col("part") < F.col("n") % F.col("parts")).cast("long")
+    learner = F.pmod(F.xxhash64("code") + F.col("part"), F.lit(learners)).cast("int")
+    return split.select(learner.alias("learner"), "code", n.cast("long").alias("n")), learners, most
+
+
+def _shapes() -> list[tuple[int, ...]]:
+    """Of the parameters, then of what AdaGrad has seen of each; a state is all in one array."""
+    once = [(CLASSES + 1, DIMENSION), *[(DIMENSION, DIMENSION)] * CONTEXT, (CLASSES, DIMENSION), (CLASSES,)]
+    return once * 2
+
+
+def _packed(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([p.ravel() for p in parts])
+
+
+def _unpacked(state: np.ndarray) -> list[np.ndarray]:
+    out, at = [], 0
+    for shape in _shapes():
+        size = int(np.prod(shape))
+        out.append(state[at : at + size].reshape(shape).copy())
+        at += size
+    return out
+
+
+def _start(share: np.ndarray) -> np.ndarray:
     rng = np.random.default_rng(3)
-    share = (words.class_total + 1.0) / (words.class_total.sum() + CLASSES)
 
     def normal(*shape: int) -> np.ndarray:
         return rng.normal(0, 0.1, shape).astype(np.float32)
 
     vectors, targets = normal(CLASSES + 1, DIMENSION), normal(CLASSES, DIMENSION)
     maps = [np.eye(DIMENSION, dtype=np.float32) / (k + 1) for k in range(CONTEXT)]
-    bias = np.log(share).astype(np.float32)
+    parts = [vectors, *maps, targets, np.log(share).astype(np.float32)]
+    return _packed([*parts, *[np.full_like(p, 1e-2) for p in parts]])
+
+
+def _summed(at: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
+    """Sums of the rows of ``values`` by their place."""
+    flat = (at[:, None] * DIMENSION + np.arange(DIMENSION)).ravel()
+    return np.bincount(flat, values.ravel(), rows * DIMENSION).astype(np.float32).reshape(rows, DIMENSION)
+
+
+def learn(
+    state: np.ndarray, code: np.ndarray, n: np.ndarray, most: int, share: np.ndarray, seed: list[int], batch: int = 2048
+) -> np.ndarray:
+    """The state after one epoch of noise-contrastive estimation over the counted codes: tells
+    each class from ``NOISE`` drawn from the classes' frequencies, which a batch shares;
+    AdaGrad on all parameters.  A count above ``most`` is split into rows of equal weight."""
+    rng = np.random.default_rng(seed)
+    vectors, *maps, targets, bias = (parts := _unpacked(state))[: CONTEXT + 3]
+    seen_vectors, *seen_maps, seen_targets, seen_bias = parts[CONTEXT + 3 :]
     log_noise = np.log(NOISE * share).astype(np.float32)
     cumulative = np.cumsum(share)
-    sums = {k: np.full_like(v, 1e-2) for k, v in (("v", vectors), ("t", targets), ("b", bias))}
-    map_sums = [np.full_like(m, 1e-2) for m in maps]
     rate = 0.15
+    times = -(-n // most)
+    weight = np.repeat((n / times).astype(np.float32), times)
+    code = np.repeat(code, times)
 
     def step(values, seen, gradient):
         seen += gradient * gradient
         values -= rate * gradient / np.sqrt(seen)
 
+    order = rng.permutation(len(code))
+    for at in range(0, len(order), batch):
+        rows = order[at : at + batch]
+        target, before, w = code[rows].astype(np.int64), [], weight[rows]
+        for _ in range(CONTEXT):
+            before.append(target % (CLASSES + 1))
+            target = target // (CLASSES + 1)
+        before.reverse()
+        noise = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), CLASSES - 1)
+        seen = [vectors[b] for b in before]
+        predicted = sum(x @ m for x, m in zip(seen, maps))
+        true = (predicted * targets[target]).sum(axis=1) + bias[target] - log_noise[target]
+        false = predicted @ targets[noise].T + bias[noise] - log_noise[noise]
+        g_true = w * (1 / (1 + np.exp(-np.clip(true, -30, 30))) - 1)
+        g_false = w[:, None] / (1 + np.exp(-np.clip(false, -30, 30)))
+        g_predicted = g_true[:, None] * targets[target] + g_false @ targets[noise]
+        size = np.float32(1 / w.sum())
+        g_targets = _summed(target, g_true[:, None] * predicted, CLASSES)
+        np.add.at(g_targets, noise, g_false.T @ predicted)
+        g_bias = np.bincount(target, g_true, CLASSES).astype(np.float32)
+        np.add.at(g_bias, noise, g_false.sum(axis=0))
+        g_vectors = np.zeros_like(vectors)
+        for k in range(CONTEXT):
+            g_vectors += _summed(before[k], g_predicted @ maps[k].T, CLASSES + 1)
+            step(maps[k], seen_maps[k], seen[k].T @ g_predicted * size)
+        step(targets, seen_targets, g_targets * size * 30)
+        step(vectors, seen_vectors, g_vectors * size * 30)
+        step(bias, seen_bias, g_bias * size)
+    return _packed([vectors, *maps, targets, bias, seen_vectors, *seen_maps, seen_targets, seen_bias])
+
+
+_LEARNT = "part int, learner int, weight double, state binary"
+
+
+def _averaged(found: pa.Table) -> tuple[float, np.ndarray]:
+    """The weight, and the mean by weight of the states, whatever order they come in."""
+    rows = sorted(zip(*(found.column(c).to_pylist() for c in ("learner", "weight", "state"))))
+    weight = sum(w for _, w, _ in rows)
+    return weight, sum(np.frombuffer(state, np.float32) * (w / weight) for _, w, state in rows)
+
+
+def _learnt(part: int, learner: int, weight: float, state: np.ndarray) -> pa.Table:
+    columns = [[part], [learner], [float(weight)], [state.astype(np.float32).tobytes()]]
+    kinds = [pa.int32(), pa.int32(), pa.float64(), pa.binary()]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], ["part", "learner", "weight", "state"])
+
+
+def train(found: DataFrame, words: Vocabulary, epochs: int = EPOCHS, rows: int | None = None) -> Model:
+    """Learns from all of ``found``, the (code, n) of ``count_contexts``.  States go to the
+    driver as means of about as many as there are means."""
+    share = (words.class_total + 1.0) / (words.class_total.sum() + CLASSES)
+    dealt, learners, most = deal(found, rows or LEARNER_ROWS)
+    parts = int(np.ceil(np.sqrt(learners)))
+    state = _start(share)
+
+    def averaged(table: pa.Table) -> pa.Table:
+        weight, mean = _averaged(table)
+        part = table.column("part")[0].as_py()
+        return _learnt(part, part, weight, mean)
+
+    def epoch_of(state: np.ndarray, epoch: int) -> DataFrame:
+        def learnt(table: pa.Table) -> pa.Table:
+            learner = table.column("learner")[0].as_py()
+            code, n = (table.column(c).to_numpy() for c in ("code", "n"))
+            order = np.lexsort((n, code))  # the order of tasks has no influence
+            after = learn(state, code[order], n[order], most, share, [3, epoch, learner])
+            return _learnt(learner % parts, learner, n.sum(), after)
+
+        return dealt.groupBy("learner").applyInArrow(learnt, _LEARNT)
+
     for epoch in range(epochs):
-        order = rng.permutation(len(positions))
-        for at in range(0, len(order), batch):
-            rows = positions[order[at : at + batch]]
-            target, before = rows[:, 0], [rows[:, 1 + k] for k in range(CONTEXT)]
-            noise = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), CLASSES - 1)
-            seen = [vectors[b] for b in before]
-            predicted = sum(x @ m for x, m in zip(seen, maps))
-            true = (predicted * targets[target]).sum(axis=1) + bias[target] - log_noise[target]
-            false = predicted @ targets[noise].T + bias[noise] - log_noise[noise]
-            g_true = 1 / (1 + np.exp(-np.clip(true, -30, 30))) - 1
-            g_false = 1 / (1 + np.exp(-np.clip(false, -30, 30)))
-            g_predicted = g_true[:, None] * targets[target] + g_false @ targets[noise]
-            size = np.float32(1 / len(rows))
-            g_targets = np.zeros_like(targets)
-            np.add.at(g_targets, target, g_true[:, None] * predicted)
-            np.add.at(g_targets, noise, g_false.T @ predicted)
-            g_bias = np.zeros_like(bias)
-            np.add.at(g_bias, target, g_true)
-            np.add.at(g_bias, noise, g_false.sum(axis=0))
-            g_vectors = np.zeros_like(vectors)
-            for k in range(CONTEXT):
-                np.add.at(g_vectors, before[k], g_predicted @ maps[k].T)
-                step(maps[k], map_sums[k], seen[k].T @ g_predicted * size)
-            step(targets, sums["t"], g_targets * size * 30)
-            step(vectors, sums["v"], g_vectors * size * 30)
-            step(bias, sums["b"], g_bias * size)
+        states = epoch_of(state, epoch)
+        if parts > 1:
+            states = states.groupBy("part").applyInArrow(averaged, _LEARNT)
+        table = states.toArrow()
+        if table.num_rows:
+            state = _averaged(table)[1].astype(np.float32)
+    vectors, *maps, targets, bias = _unpacked(state)[: CONTEXT + 3]
     return Model(words, vectors, maps, targets, bias)
 
 
@@ -389,9 +507,9 @@ def _partly_scored(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("row", "doc_id", "held_out", "text").mapInArrow(scored, schema)
 
 
-def fit(training: DataFrame, counts: DataFrame, sampled: int = SAMPLED) -> Model:
+def fit(training: DataFrame, counts: DataFrame) -> Model:
     words = vocabulary(counts)
-    return train(sample_positions(training, words, sampled), words)
+    return train(common.stored(count_contexts(training, words), "context-counts"), words)
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:

@@ -116,3 +116,42 @@ def test_hashes_tell_words_apart():
     assert len(set(hashes.tolist())) == len(set(words))
     again = octets.span_hashes(data[starts[-1] :], np.array([0]), np.array([len(words[-1])]))
     assert again[0] == hashes[-1]
+
+
+def test_every_position_teaches_the_model(make_docs, rows, monkeypatch):
+    """Contexts by hand; learners get all of them, in however many parts."""
+    docs = make_docs(rows)
+    words = lm.vocabulary(common.stored(lm.count_tokens(docs), "counts"))
+    monkeypatch.setattr(lm, "HELD", 500)
+    found = common.stored(lm.count_contexts(docs.repartition(3), words), "contexts")
+    whole = {r.code: r.n for r in found.collect()}
+    kinds = {}
+    for token, kind in zip(words.token, words.kind):
+        kinds[int(token)] = int(kind)
+    expected = Counter()
+    for _, text in rows:
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        before = [lm.CLASSES] * 2
+        for token in lm.tokens(data, np.array([0, len(data)]))[0]:
+            kind = kinds[int(token)]
+            expected[(kind * (lm.CLASSES + 1) + before[0]) * (lm.CLASSES + 1) + before[1]] += 1
+            before = [kind, before[0]]
+    assert whole == expected and sum(whole.values()) == words.total
+    for size in (100, 1000, 10**9):
+        dealt, learners, most = lm.deal(found, size)
+        again, weights = Counter(), Counter()
+        for r in dealt.collect():
+            assert r.n > 0 and r.learner < learners
+            again[r.code] += r.n
+            weights[r.learner] += r.n
+        assert again == expected and most == math.ceil(words.total / (learners * size))
+        assert max(weights.values()) < 2 * words.total / learners + 50 * most
+
+
+def test_learners_together_learn_the_rule(make_docs, rows, monkeypatch):
+    monkeypatch.setattr(lm, "LEARNER_ROWS", 800)
+    found = lm.learn_and_score(make_docs(rows)).collect()
+    held = [r for r in found if r.held_out and r.n_tokens > 20]
+    assert sum(r.score for r in held) > 0.8 * sum(r.base_score for r in held)
+    again = lm.learn_and_score(make_docs(rows).repartition(5)).collect()
+    assert sorted(str((r.doc_id, r.score)) for r in again) == sorted(str((r.doc_id, r.score)) for r in found)
