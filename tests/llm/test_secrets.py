@@ -131,6 +131,26 @@ def test_redaction(make_docs, rows):
     assert left.first()["_row"] == "own _row"
 
 
+def test_redaction_of_tokens_glued_to_names_and_paths(make_docs):
+    """No encoding fits the whole run; its parts are judged."""
+    rnd = random.Random(4)
+    glued = ["AWS_ACCESS_KEY_ID={}", "see ?client_id={}&x=1", "https://a.example/my-files/v_1/{}", "sig={}=="]
+    rows, tokens = [], {}
+    for k in range(200):
+        letters = string.ascii_letters + string.digits + ("" if k % 4 == 2 else "+/")
+        tokens[k] = key(rnd, 64, letters)
+        rows.append((k, f"{sentence(k, 8)} {glued[k % 4].format(tokens[k])} {sentence(k + 500, 8)}"))
+    names = "NUMBER_OF_INTERNATIONALIZATION_STANDARDS_1=INTERNATIONALIZATION_STANDARDS_2"
+    rows += [(1000 + k, f"{names} a-b/{'ab12' * 9} see /usr/local-1/lib_x/internationalization1standards") for k in range(200)]
+    left = {r.doc_id: r.text for r in secrets.redact(make_docs(rows)).collect()}
+    for form in range(4):
+        whole = [tokens[k][:12] not in left[k] and tokens[k][-12:] not in left[k] for k in range(form, 200, 4)]
+        assert sum(whole) > 42, (form, [left[k] for k in range(form, 200, 4) if not whole[k // 4]])
+    assert sum("AWS_ACCESS_KEY_ID=<secret> " in left[k] for k in range(0, 200, 4)) > 42
+    hex_only = [text.replace("ab12" * 9, "<secret>") for i, text in rows if i >= 1000]
+    assert [left[1000 + k] for k in range(200)] == hex_only
+
+
 def test_odd_tables(no_docs):
     assert secrets.scan(no_docs).collect() == []
     assert secrets.redact(no_docs).collect() == []
