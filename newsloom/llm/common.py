@@ -95,6 +95,14 @@ def hashed_limit(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.orderBy(order, key).limit(rows)
 
 
+def row_sample(df: DataFrame, content: Column, rows: int) -> DataFrame:
+    """At most ``rows`` of the different (doc_id, content), the same in every run: those with
+    the smallest hashes, so that an id of many rows takes its share only; in order of ids."""
+    different = df.withColumn("_content", F.xxhash64(content)).dropDuplicates(["doc_id", "_content"])
+    sample = different.orderBy(F.xxhash64("doc_id", "_content"), "doc_id").limit(rows)
+    return sample.orderBy("doc_id", "_content").drop("_content")
+
+
 def labelled(labels: DataFrame, label: str) -> DataFrame:
     """One row (doc_id, label) for each labelled document outside the held-out fold of the
     contracts (crc32 modulo 4 is 2).  Rows without id or label are no labels; the largest

@@ -35,7 +35,7 @@ def training_rows(
 
     kind = dict(texts.dtypes)["doc_id"]
     rows = texts.mapInArrow(measured, f"doc_id {kind}, label int, x array<double>")
-    # Repeated documents can make it more rows than ids; the order makes the fit repeatable.
-    found = rows.orderBy("doc_id", F.col("x").cast("string")).limit(max_rows).toArrow()
+    # Repeated ids can make it more rows than ids; the order makes the fit repeatable.
+    found = common.row_sample(rows, F.col("x"), max_rows).toArrow()
     x = np.asarray(found.column("x").combine_chunks().flatten(), float).reshape(-1, width)
     return x, np.asarray(found.column("label"), float)

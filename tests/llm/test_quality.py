@@ -117,3 +117,22 @@ def test_flat_trees_score_like_a_walk():
         return 1 / (1 + np.exp(-total))
 
     assert np.allclose(forest.score(x), [walk(row) for row in x])
+
+
+def test_an_id_of_many_rows_does_not_fill_the_sample(make_docs, make_labels):
+    from pyspark.sql import functions as F
+
+    from newsloom.llm import common, quality
+
+    labels = make_labels([(i, i % 2, 0) for i in range(200)])
+    ids = sorted(r.doc_id for r in common.labelled(labels, "quality").collect())
+    first, others = ids[0], ids[1:]
+    single = [(i, sentence(i, 20 + i)) for i in others]
+    for many, least in (([sentence(7, 30)] * 300, len(ids)), ([sentence(k, 30 + k) for k in range(300)], 30)):
+        docs = make_docs([(first, t) for t in many] + single)
+        x, y = quality.training_rows(docs, labels, "quality", 200)
+        assert len(x) == min(200, len(set(many)) + len(others))
+        assert (y != first % 2).sum() >= least // 3
+    sample = common.row_sample(docs, F.struct("lang", "text"), 200).collect()
+    assert len(sample) == 200 and sum(r.doc_id != first for r in sample) >= 30
+    assert [r.doc_id for r in sample] == sorted(r.doc_id for r in sample)
