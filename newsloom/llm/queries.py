@@ -8,11 +8,14 @@ from newsloom.llm import (
     decontaminate,
     html_text,
     language_model,
+    periodic_runs,
+    personal,
     pieces,
     quality_classifier,
     quality_rules,
     secrets,
     simhash,
+    spelling,
     substrings,
     toxicity,
 )
@@ -67,6 +70,18 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.score(docs, forest)
 
 
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.grouped(read_table(spark, folder, "documents"))
+
+
+def op12_personal(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.scan(read_table(spark, folder, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.digests(read_table(spark, folder, "documents"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {
@@ -80,4 +95,7 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_secrets": op9_secrets,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_spelling": op11_spelling,
+    "op12_personal": op12_personal,
+    "op13_periodic_runs": op13_periodic_runs,
 }

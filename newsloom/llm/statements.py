@@ -142,8 +142,130 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
 FROM docs LEFT JOIN listed USING (row_id)
 """
 
+PERSONAL = r"""
+WITH docs AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS t FROM documents),
+patterns(kind, p) AS (VALUES
+    (0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'), (1, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'),
+    (2, '[0-9]([\x20-]?[0-9])+'), (3, '\+[0-9][\x20().0-9-]+[0-9]'),
+    (4, '\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b'),
+    (5, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b'),
+    (6, '\([0-9]{3}\)\x20?[0-9]{3}[-.\x20][0-9]{4}\b|\b[0-9]{3}[-.\x20][0-9]{3}[-.\x20][0-9]{4}\b')),
+kinds(kind, name, prior, supporting) AS (VALUES
+    (0, 'email', 80, 'email|mail|contact|write|kontakt|correo|courriel'),
+    (1, 'ip', 60, 'ip|address|server|host|client|adresse'),
+    (2, 'card', 80, 'card|visa|mastercard|amex|credit|debit|payment|karte|carte|tarjeta'),
+    (3, 'phone', 60, 'phone|tel|telephone|call|mobile|cell|fax|contact|telefon|handy|telefono'),
+    (4, 'iban', 70, 'iban|account|bank|swift|bic|konto|compte|cuenta'),
+    (5, 'ssn', 40, 'ssn|social|security|taxpayer'),
+    (6, 'local', 40, 'phone|tel|telephone|call|mobile|cell|fax|contact|telefon|handy|telefono')),
+found AS (
+    SELECT row_id, t, kind, regexp_extract_all(t, p) AS ms, string_split_regex(t, p) AS ps
+    FROM docs, patterns WHERE regexp_matches(t, p)),
+each AS (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM found),
+placed AS (
+    SELECT row_id, t, kind, ms[k] AS m, regexp_replace(ms[k], '[^0-9]', '', 'g') AS digits,
+        replace(ms[k], ' ', '') AS account, (list_sum(list_transform(ps[1:k], lambda x: length(x)))
+        + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0))::BIGINT AS b
+    FROM each),
+valid AS (
+    SELECT row_id, t, kind, b, b + length(m) AS e FROM placed
+    WHERE CASE kind WHEN 0 THEN TRUE
+        WHEN 1 THEN list_bool_and(list_transform(string_split(m, '.'),
+            lambda x: length(ltrim(x, '0')) <= 3 AND coalesce(try_cast(ltrim(x, '0') AS INT), 0) <= 255))
+        WHEN 2 THEN length(digits) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1),
+            lambda i: CASE WHEN i % 2 = 1 THEN digits[-i]::INT
+                ELSE 2 * digits[-i]::INT - CASE WHEN digits[-i]::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+        WHEN 3 THEN length(digits) BETWEEN 8 AND 15
+        WHEN 4 THEN length(account) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0::BIGINT, list_transform(
+            string_split(account[5:] || account[:4], ''),
+            lambda c: (instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', c) - 1)::BIGINT)),
+            lambda r, v: (r * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1
+        WHEN 5 THEN m[:3] NOT IN ('000', '666') AND m[1] <> '9' AND m[5:6] <> '00' AND m[8:] <> '0000'
+        ELSE TRUE END),
+near AS (
+    SELECT *, lower(regexp_replace(CASE WHEN b >= 41 THEN substr(t, b - 40, 41) ELSE ' ' || substr(t, 1, b) END
+        || ' ' || CASE WHEN e + 21 <= length(t) THEN substr(t, e + 1, 21) ELSE substr(t, e + 1) || ' ' END,
+        '[^\x00-\x7F]', '|', 'g')) AS w
+    FROM valid),
+scored AS (
+    SELECT row_id, kind, name, b, e, prior
+        + CASE WHEN regexp_matches(w, '[^a-z0-9_](' || supporting || ')[^a-z0-9_]') THEN 20 ELSE 0 END
+        - CASE WHEN regexp_matches(w, '[^a-z0-9_](example|sample|dummy|version|release|section|isbn|order|invoice|tracking|serial)[^a-z0-9_]')
+            THEN 30 ELSE 0 END AS score
+    FROM near JOIN kinds USING (kind)),
+base AS (SELECT * FROM scored WHERE kind < 4),
+ibans AS (
+    SELECT * FROM scored s WHERE kind = 4 AND score >= 60 AND NOT EXISTS (
+        SELECT 1 FROM base o WHERE o.row_id = s.row_id AND o.b < s.e AND s.b < o.e)),
+ssns AS (
+    SELECT * FROM scored s WHERE kind = 5 AND score >= 60 AND NOT EXISTS (
+        SELECT 1 FROM (FROM base UNION ALL FROM ibans) o WHERE o.row_id = s.row_id AND o.b < s.e AND s.b < o.e)),
+locals AS (
+    SELECT * FROM scored s WHERE kind = 6 AND score >= 60 AND NOT EXISTS (
+        SELECT 1 FROM (FROM base UNION ALL FROM ibans UNION ALL FROM ssns) o
+        WHERE o.row_id = s.row_id AND o.b < s.e AND s.b < o.e)),
+spans AS (
+    SELECT *, name || ':' || b || ':' || e AS s
+    FROM (FROM base UNION ALL FROM ibans UNION ALL FROM ssns UNION ALL FROM locals)),
+listed AS (
+    SELECT row_id, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip,
+        count(*) FILTER (kind = 2) AS n_card, count(*) FILTER (kind = 3) AS n_phone,
+        count(*) FILTER (kind = 4) AS n_iban, count(*) FILTER (kind = 5) AS n_ssn,
+        count(*) FILTER (kind = 6) AS n_local,
+        string_agg(s, ',' ORDER BY kind, b) FILTER (kind < 4) AS base_spans,
+        string_agg(s, ',' ORDER BY kind, b) AS spans, string_agg(score::VARCHAR, ',' ORDER BY kind, b) AS scores
+    FROM spans GROUP BY row_id)
+SELECT doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip,
+    coalesce(n_card, 0)::BIGINT AS n_card, coalesce(n_phone, 0)::BIGINT AS n_phone,
+    coalesce(n_iban, 0)::BIGINT AS n_iban, coalesce(n_ssn, 0)::BIGINT AS n_ssn,
+    coalesce(n_local, 0)::BIGINT AS n_local, sha256(coalesce(base_spans, '')) AS base_sha256,
+    coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
+FROM docs LEFT JOIN listed USING (row_id)
+"""
+
+SPELLING = r"""
+WITH RECURSIVE crc_table AS (
+    SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b::BIGINT, range(8)),
+        lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS crc),
+runs AS (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]{7,}')),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM documents),
+bytes AS (
+    SELECT doc_id, run, count(*) AS times, hex(encode(doc_id::VARCHAR || ':' || run)) AS h FROM runs GROUP BY ALL),
+hashed AS (
+    SELECT run, times, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+        range(length(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::BIGINT, 2))::BIGINT)),
+        lambda c, b: xor(c // 256, crc[xor(c % 256, b) + 1]))) AS h
+    FROM bytes, crc_table),
+counted AS (
+    SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word,
+        sum(times)::BIGINT AS n
+    FROM hashed GROUP BY ALL),
+words AS (SELECT word, n FROM counted WHERE length(word) >= 7 AND n >= 2),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+skipped AS (
+    SELECT word, n, i, left(word, i - 1) AS before, substr(word, i + 1) AS behind FROM places),
+links AS (
+    SELECT DISTINCT a.word, b.word AS other, b.n AS other_n
+    FROM skipped a JOIN skipped b USING (before, behind) WHERE a.word <> b.word
+    UNION SELECT s.word, w.word, w.n FROM skipped s JOIN words w ON w.word = s.before || s.behind
+    UNION SELECT w.word, s.word, s.n FROM skipped s JOIN words w ON w.word = s.before || s.behind),
+best AS (
+    SELECT word, count(*) AS n_near, arg_min(other, (-other_n, encode(other))) AS other, max(other_n) AS other_n
+    FROM links GROUP BY word),
+forms AS (SELECT word, other AS form, other_n AS form_n FROM best JOIN words USING (word) WHERE other_n >= 10 * n),
+ways(word, last) AS (
+    SELECT word, word FROM words UNION ALL SELECT ways.word, form FROM ways JOIN forms ON forms.word = ways.last),
+roots AS (SELECT word, last AS root FROM ways WHERE last NOT IN (SELECT word FROM forms))
+SELECT word, form, root, n, coalesce(n_near, 0)::BIGINT AS n_near, form_n
+FROM words LEFT JOIN best USING (word) LEFT JOIN forms USING (word) JOIN roots USING (word)
+"""
+
 ORACLES: dict[str, str] = {
     "op4_decontaminate": DECONTAMINATE,
     "op8_substrings": SUBSTRINGS,
     "op9_secrets": SECRETS,
+    "op11_spelling": SPELLING,
+    "op12_personal": PERSONAL,
 }

@@ -1,0 +1,136 @@
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import pandas as pd
+import pytest
+
+from newsloom.llm import spelling as sp
+from newsloom.llm.statements import ORACLES
+
+
+def near(a, b):
+    """Whether one inserted, deleted or replaced letter makes a to b."""
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def by_hand(counts, ratio=10):
+    found = defaultdict(list)
+    for a in counts:
+        found[a] = [b for b in counts if near(a, b)]
+    form = {}
+    for a, others in found.items():
+        if others:
+            best = min(others, key=lambda b: (-counts[b], b))
+            if counts[best] >= ratio * counts[a]:
+                form[a] = best
+
+    def root(a):
+        return root(form[a]) if a in form else a
+
+    return sorted((a, form.get(a), root(a), n, len(found[a]), counts.get(form.get(a))) for a, n in counts.items())
+
+
+def counts_by_hand(rows):
+    counts = Counter()
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = 1 if doc_id is None else zlib.crc32(f"{doc_id}:{run}".encode())
+            if h % 31 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            if len(run) >= 7:
+                counts[run] += 1
+    return {w: n for w, n in counts.items() if n >= 2}
+
+
+def result(df):
+    return sorted((r.word, r.form, r.root, r.n, r.n_near, r.form_n) for r in df.collect())
+
+
+def texts(seed, documents):
+    """Few letters and rows of equal ones, so that there are many near words."""
+    rnd = random.Random(seed)
+    stems = ["".join(rnd.choice("aabé") for _ in range(rnd.randint(6, 9))) for _ in range(40)]
+    out = []
+    for k in range(documents):
+        words = [rnd.choice(stems[: 1 + int(40 * rnd.random() ** 3)]) for _ in range(60)]
+        for i in range(0, 60, 9):
+            at = rnd.randrange(6)
+            words[i] = words[i][:at] + rnd.choice("abÿ") + words[i][at + rnd.randrange(2) :]
+        out.append((k, " ".join(w.upper() if rnd.random() < 0.1 else w for w in words) + "."))
+    return out
+
+
+@pytest.fixture(scope="module")
+def rows(odd_rows):
+    return [*odd_rows, *texts(5, 120), (5000, "ab" * 700 + " " + "ab" * 700), (5001, "ab" * 699 + "b " + "ab" * 700),
+            (5002, "ab" * 699 + "b Straße×÷ÿ STRASSE×÷ÿ"), (None, "ownerless OWNERLESS")]
+
+
+@pytest.mark.parametrize("range_words", [sp.RANGE_WORDS, 20])
+def test_query_is_that_by_hand(make_docs, rows, monkeypatch, range_words):
+    monkeypatch.setattr(sp, "RANGE_WORDS", range_words)
+    expected = by_hand(counts_by_hand(rows))
+    assert sum(r[1] is not None for r in expected) > 20 and max(r[4] for r in expected) > 5
+    assert result(sp.grouped(make_docs(rows, clashing=True))) == expected
+
+
+def test_groups_across_batches_and_steps(make_docs, rows, monkeypatch, spark):
+    expected = by_hand(counts_by_hand(rows))
+    monkeypatch.setattr(sp, "STEP_ROWS", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert result(sp.grouped(make_docs(rows))) == expected
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_chains_ties_and_rows_of_equal_letters(spark):
+    counts = {
+        "aaaaaaa": 2000, "aaaaaaaa": 120, "aaaaaaaab": 12, "aaaaaaaabc": 1,  # a chain of forms
+        "mooncast": 50, "mooncaste": 3, "moancaste": 50, "noonday": 2, "noonda": 2,
+    }
+    found = {r.word: r for r in sp.variants(spark.createDataFrame(list(counts.items()), "word string, n long")).collect()}
+    assert result(sp.variants(spark.createDataFrame(list(counts.items()), "word string, n long"))) == by_hand(counts)
+    assert found["aaaaaaaabc"].form == "aaaaaaaab" and found["aaaaaaaabc"].root == "aaaaaaa"
+    assert found["mooncaste"].form == "moancaste" and found["aaaaaaa"].n_near == 1
+    with pytest.raises(ValueError):
+        sp.variants(spark.createDataFrame([], "word string, n long"), ratio=1)
+
+
+def test_empty_table_and_counts_without_deletions(no_docs, make_docs):
+    assert result(sp.grouped(no_docs)) == []
+    docs = make_docs([(1, "Window window WINDOW windows door"), (2, None), (None, "windows")])
+    assert {r.word: r.n for r in sp.word_counts(docs, 6).collect()} == {"window": 3, "windows": 2}
+
+
+def test_numbers_of_nodes_are_those_of_one_trie():
+    rnd = random.Random(2)
+    words = sorted({"".join(rnd.choice("ab") for _ in range(rnd.randint(1, 9))) for _ in range(300)})
+    bounds = sorted(rnd.sample(words, 9))
+    numbers, trie = defaultdict(set), sp.TrieNumbers(bounds)
+    for word in words:
+        place = sum(b <= word for b in bounds)
+        for depth, node in enumerate(trie.way(place, word)):
+            numbers[word[:depth]].add(node)
+    assert all(len(nodes) == 1 for nodes in numbers.values())
+    assert len({n for nodes in numbers.values() for n in nodes}) == len(numbers)
+
+
+def test_like_the_statement(make_docs, rows):
+    keyed = [(i, t) for i, t in rows if i is not None]  # in SQL a missing id leaves no key to hash
+    documents = pd.DataFrame({"doc_id": [i for i, _ in keyed], "text": [t for _, t in keyed]})
+    connection = duckdb.connect()
+    connection.register("documents", documents)
+    cursor = connection.execute(ORACLES["op11_spelling"])
+    names = [c[0] for c in cursor.description]
+    expected = sorted(tuple(dict(zip(names, r))[c] for c in ("word", "form", "root", "n", "n_near", "form_n")) for r in cursor.fetchall())
+    assert result(sp.grouped(make_docs(keyed))) == expected
