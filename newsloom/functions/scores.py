@@ -31,6 +31,12 @@ def term_score(weight: Column, tf: Column, length: Column, mean_length: Column)
     return (K1 + 1) * weight * tf / (tf + norm)
 
 
+def highest_score(weight: Column, max_tf: Column, least_ratio: Column, mean_length: Column) -> Column:
+    """At least ``term_score`` of any row with tf up to ``max_tf`` and (stored) length / tf
+    from ``least_ratio`` on."""
+    return (K1 + 1) * weight / (1 + K1 * (1 - B) / max_tf + K1 * B * least_ratio / mean_length)
+
+
 def significance(fg_count: Column, fg_size: Column, bg_count: Column, bg_size: Column) -> Column:
     """JLH score: absolute times relative change of a word's frequency."""
     fp, bp = fg_count / fg_size, bg_count / bg_size

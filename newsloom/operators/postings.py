@@ -2,37 +2,49 @@
 
 ``postings``  field, bucket, term, doc_id, tf, length, is_first
 ``term_df``   field, bucket, term, df
+``peaks``     field, bucket, term, id_range, n, max_tf, least_ratio
 ``corpus``    field, n_docs, n_tokens, n_buckets
-``row_terms`` field, doc_id, terms
+``row_terms`` field, doc_id, terms, tfs, length
 
 ``bucket`` is a hash of the term and a directory level, so that a query reads
 only the directories of its own terms; within a file, terms are sorted, so that
 row groups without them are skipped.  ``row_terms`` has the distinct terms of
-each row, in the order of the rows.  Above these levels is ``part``: the table as
-it was written, or one folder appended to it; counts add up over the parts.
+each row, in the order of the rows, so that files and row groups are ranges of ids.
+``peaks`` bounds what the rows of one range of ids can score for a frequent term.
+Above these levels is ``part``: the table as it was written, or one folder appended
+to it; counts add up over the parts.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.functions.scores import stored_length
 from newsloom.functions.text import tokenise
 from newsloom.schema import TEXT_FIELDS
+from newsloom.sources.storage import Folder
 
-POSTINGS, TERM_DF, CORPUS, ROW_TERMS = "postings", "term_df", "corpus", "row_terms"
+POSTINGS, TERM_DF, PEAKS, CORPUS, ROW_TERMS = "postings", "term_df", "peaks", "corpus", "row_terms"
 BASE_PART = "base"
 # Directories per field: few for a small table, and for a large one enough that
 # a query term's directory is a small part of it.
 LEAST_BUCKETS, MOST_BUCKETS, BYTES_PER_BUCKET = 8, 4096, 256 * 1024 * 1024
+# A term in so many rows of a part has peaks, one record for each range of 2 ** RANGE_BITS
+# ids that holds it.
+FREQUENT_ROWS, RANGE_BITS = 1 << 16, 12
+# Ranges of ids that a filter names; more are taken together.
+MOST_RANGES = 256
 
 
-def term_counts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """``keys, term, tf, length, is_first``: the distinct tokens of each row.
+def grouped_terms(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """``keys, entries, length``: the distinct tokens of each row with their number.
 
     Sorting the tokens of a row puts equal ones next to each other; each run is
-    one record.  All of it happens inside the row, so nothing is shuffled.
-    ``is_first`` marks one record per row, which makes rows countable.
+    one entry (term, tf).  All of it happens inside the row, so nothing is shuffled.
     """
     ordered = df.select(*keys, F.sort_array(tokenise(F.col(text))).alias("tokens"))
     starts = F.filter(
@@ -47,18 +59,37 @@ def term_counts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
         lambda start, i: F.struct(
             F.get("tokens", start).alias("term"),
             (F.coalesce(F.get("starts", i + 1), F.size("tokens")) - start).alias("tf"),
-            F.size("tokens").alias("length"),
+        ),
+    )
+    return runs.select(*keys, entries.alias("entries"), F.size("tokens").alias("length"))
+
+
+def term_counts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """``keys, term, tf, length, is_first``: the distinct tokens of each row.
+
+    ``is_first`` marks one record per row, which makes rows countable.
+    """
+    rows = grouped_terms(df, keys, text)
+    entries = F.transform(
+        "entries",
+        lambda entry, i: F.struct(
+            entry["term"].alias("term"),
+            entry["tf"].alias("tf"),
+            F.col("length").alias("length"),
             (i == 0).alias("is_first"),
         ),
     )
-    return runs.select(*keys, F.inline(entries))
+    return rows.select(*keys, F.inline(entries))
+
+
+def _by_field(df: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    texts = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])
+    return df.select("doc_id", F.inline(texts))
 
 
 def postings(df: DataFrame, fields: tuple[str, ...] = TEXT_FIELDS) -> DataFrame:
     """Term counts of several text columns of one table, in one pass over it."""
-    texts = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])
-    rows = df.select("doc_id", F.inline(texts))
-    return term_counts(rows, ["field", "doc_id"], "text")
+    return term_counts(_by_field(df, fields), ["field", "doc_id"], "text")
 
 
 def document_frequencies(entries: DataFrame, *keys: str) -> DataFrame:
@@ -83,6 +114,23 @@ def bucket_of(term: Column, n_buckets: int | Column) -> Column:
     return F.pmod(F.xxhash64(term), size).cast("int")
 
 
+def id_range(doc_id: Column) -> Column:
+    return F.shiftright(doc_id, RANGE_BITS)
+
+
+def peaks(entries: DataFrame, *keys: str) -> DataFrame:
+    """Per term and range of ids: rows, and what bounds the score of each of them.
+
+    A term's share in a score rises with tf and falls with length / tf, whatever the mean
+    length is; the best of both over the rows of a range bounds them all.
+    """
+    return entries.groupBy(*keys, "term", id_range(F.col("doc_id")).alias("id_range")).agg(
+        F.count("*").alias("n"),
+        F.max("tf").alias("max_tf"),
+        F.min(stored_length(F.col("length")) / F.col("tf")).alias("least_ratio"),
+    )
+
+
 def write_term_tables(
     articles: DataFrame,
     folder: str,
@@ -92,92 +140,207 @@ def write_term_tables(
 ) -> None:
     """Write the tables of ``articles`` below ``folder``, as one part of them.
 
-    Text is segmented once.  The rebalance groups equal buckets and lets adaptive
-    execution split those a frequent term makes large; the other tables are
-    derived from the written postings.
+    Text is segmented once, in a narrow pass that writes the terms of each row; the other
+    tables are derived from what is written.
     """
     spark = articles.sparkSession
-
-    def place(table: str) -> str:
-        return f"{folder}/{table}/part={part}"
-
-    bucketed = postings(articles, fields).withColumn("bucket", bucket_of(F.col("term"), n_buckets))
-    (
-        bucketed.hint("rebalance", "field", "bucket")
-        .sortWithinPartitions("field", "bucket", "term", "doc_id")
-        .write.mode("overwrite")
-        .partitionBy("field", "bucket")
-        .parquet(place(POSTINGS))
-    )
-    written = spark.read.schema(_SCHEMAS[POSTINGS]).parquet(place(POSTINGS))
-    (
-        document_frequencies(written, "field", "bucket")
-        .hint("rebalance", "field", "bucket")
-        .sortWithinPartitions("field", "bucket", "term")
-        .write.mode("overwrite")
-        .partitionBy("field", "bucket")
-        .parquet(place(TERM_DF))
+    target = TermTables(spark, folder, (part,))
+    grouped = grouped_terms(_by_field(articles, fields), ["field", "doc_id"], "text")
+    rows = grouped.select(
+        "field",
+        "doc_id",
+        F.col("entries.term").alias("terms"),
+        F.col("entries.tf").alias("tfs"),
+        "length",
     )
-    (
-        corpus_statistics(written)
-        .withColumn("n_buckets", F.lit(n_buckets))
-        .coalesce(1)  # one row per field
-        .write.mode("overwrite")
-        .parquet(place(CORPUS))
+    target.writer(rows, "field").parquet(target.place(ROW_TERMS))
+    pairs = F.arrays_zip("terms", "tfs")
+    entries = F.transform(
+        pairs,
+        lambda pair, i: F.struct(
+            pair["terms"].alias("term"),
+            pair["tfs"].alias("tf"),
+            F.col("length").alias("length"),
+            (i == 0).alias("is_first"),
+        ),
     )
-    # The terms of a row are at most as many as its tokens.
-    (
-        written.groupBy("field", "doc_id")
-        .agg(F.collect_list("term").alias("terms"))
-        .sortWithinPartitions("field", "doc_id")
-        .write.mode("overwrite")
-        .partitionBy("field")
-        .parquet(place(ROW_TERMS))
+    written = target.read(ROW_TERMS)
+    _write_postings(target, written.select("field", "doc_id", F.inline(entries)), n_buckets)
+    corpus = written.groupBy("field").agg(
+        F.count_if(F.col("length") > 0).alias("n_docs"),
+        F.sum(F.col("length").cast("bigint")).alias("n_tokens"),
     )
+    _write_corpus(target, corpus, n_buckets)
+
+
+def merge_term_tables(parts: TermTables, merged: str) -> None:
+    """Write the term tables of several parts as one part, without any text."""
+    target = TermTables(parts.spark, parts.folder, (merged,))
+    rows = parts.read(ROW_TERMS).repartitionByRange("field", "doc_id")
+    target.writer(rows.sortWithinPartitions("field", "doc_id"), "field").parquet(target.place(ROW_TERMS))
+    _write_postings(target, parts.read(POSTINGS).drop("bucket"), parts.n_buckets)
+    _write_corpus(target, parts.corpus.drop("n_buckets"), parts.n_buckets)
+
+
+def _write_postings(target: TermTables, entries: DataFrame, n_buckets: int) -> None:
+    """The rebalance groups equal buckets and lets adaptive execution split those a
+    frequent term makes large."""
+    bucketed = entries.withColumn("bucket", bucket_of(F.col("term"), n_buckets))
+    target.writer(
+        bucketed.hint("rebalance", "field", "bucket").sortWithinPartitions("field", "bucket", "term", "doc_id"),
+        "field", "bucket",
+    ).parquet(target.place(POSTINGS))
+    written = target.read(POSTINGS)
+    target.writer(
+        document_frequencies(written, "field", "bucket")
+        .hint("rebalance", "field", "bucket")
+        .sortWithinPartitions("field", "bucket", "term"),
+        "field", "bucket",
+    ).parquet(target.place(TERM_DF))
+    frequent = target.read(TERM_DF).where(F.col("df") >= FREQUENT_ROWS).drop("df")
+    if frequent.isEmpty():
+        return
+    kept = written.join(frequent, ["field", "bucket", "term"], "left_semi")
+    target.writer(
+        peaks(kept, "field", "bucket")
+        .hint("rebalance", "field", "bucket")
+        .sortWithinPartitions("field", "bucket", "term", "id_range"),
+        "field", "bucket",
+    ).parquet(target.place(PEAKS))
+
+
+def _write_corpus(target: TermTables, corpus: DataFrame, n_buckets: int) -> None:
+    # One row per field.
+    rows = corpus.withColumn("n_buckets", F.lit(n_buckets)).coalesce(1)
+    target.writer(rows).parquet(target.place(CORPUS))
 
 
 # --- fixed values: schemas of the written tables ---------------------------------
 _SCHEMAS = {
     POSTINGS: "term string, doc_id bigint, tf int, length int, is_first boolean, field string, bucket int",
     TERM_DF: "term string, df bigint, field string, bucket int",
+    PEAKS: "term string, id_range bigint, n bigint, max_tf int, least_ratio double, field string, bucket int",
     CORPUS: "field string, n_docs bigint, n_tokens bigint, n_buckets int",
-    ROW_TERMS: "doc_id bigint, terms array<string>, field string",
+    ROW_TERMS: "doc_id bigint, terms array<string>, tfs array<int>, length int, field string",
 }
 # ---------------------------------------------------------------------------------
 
 
-def read_term_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """The records of all parts; those of ``term_df`` and ``corpus`` are to be added up."""
-    schema = f"{_SCHEMAS[table]}, part string"
-    return spark.read.schema(schema).parquet(f"{folder}/{table}").drop("part")
-
-
-def corpus_of(spark: SparkSession, folder: str) -> DataFrame:
-    """One record per field, over all parts."""
-    return read_term_table(spark, folder, CORPUS).groupBy("field").agg(
-        F.sum("n_docs").alias("n_docs"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.max("n_buckets").alias("n_buckets"),
-    )
+@dataclass(frozen=True)
+class TermTables:
+    """The term tables below a folder: those of some parts, or of all that are there.
 
+    Records of ``term_df`` and ``corpus`` are there for each part, and are to be added up.
+    """
 
-def buckets_of(spark: SparkSession, folder: str) -> int:
-    corpus = read_term_table(spark, folder, CORPUS)
-    return corpus.agg(F.max("n_buckets")).first()[0] or LEAST_BUCKETS
+    spark: SparkSession
+    folder: str
+    parts: tuple[str, ...] | None = None
+
+    @classmethod
+    def of(cls, spark: SparkSession, tables: TermTables | str) -> TermTables:
+        return cls(spark, tables) if isinstance(tables, str) else tables
+
+    def place(self, table: str) -> str:
+        (part,) = self.parts
+        return f"{self.folder}/{table}/part={part}"
+
+    @staticmethod
+    def writer(rows: DataFrame, *directories: str):
+        return rows.write.mode("overwrite").partitionBy(*directories)
+
+    def delete(self) -> None:
+        for table in _SCHEMAS:
+            Folder(self.spark, self.place(table)).delete("")
+
+    def read(self, table: str) -> DataFrame:
+        """The records, with their ``part`` if several may be read."""
+        if self.parts is None:
+            paths = [f"{self.folder}/{table}"]
+        else:
+            paths = [f"{self.folder}/{table}/part={part}" for part in self.parts]
+        if table == PEAKS:  # only written for parts with frequent terms
+            paths = [path for path in paths if Folder(self.spark, path).exists("")]
+            if not paths:
+                return self.spark.createDataFrame([], f"{_SCHEMAS[table]}, part string")
+        reader = self.spark.read.schema(f"{_SCHEMAS[table]}, part string")
+        return reader.option("basePath", f"{self.folder}/{table}").parquet(*paths)
+
+    @cached_property
+    def corpus(self) -> DataFrame:
+        """One record per field, over all parts."""
+        return self.read(CORPUS).groupBy("field").agg(
+            F.sum("n_docs").alias("n_docs"),
+            F.sum("n_tokens").alias("n_tokens"),
+            F.max("n_buckets").alias("n_buckets"),
+        )
+
+    @cached_property
+    def n_buckets(self) -> int:
+        return self.read(CORPUS).agg(F.max("n_buckets")).first()[0] or LEAST_BUCKETS
+
+    def entries(self, table: str, fields: list[str], terms: list[str]) -> DataFrame:
+        """Records of some terms; only their directories and row groups are read."""
+        buckets = [bucket_of(F.lit(term), self.n_buckets) for term in terms]
+        return self.read(table).where(
+            F.col("field").isin(fields) & F.col("bucket").isin(*buckets) & F.col("term").isin(terms)
+        )
+
+    def matching_ids(self, field: str, terms: list[str]) -> DataFrame:
+        """``doc_id`` of the rows holding any of ``terms``, without reading their text."""
+        found = self.entries(POSTINGS, [field], terms).select("doc_id")
+        return found if len(terms) == 1 else found.distinct()
 
 
-def entries_of(
-    spark: SparkSession, folder: str, table: str, fields: list[str], terms: list[str]
-) -> DataFrame:
-    """Records of some terms; only their directories and row groups are read."""
-    n_buckets = buckets_of(spark, folder)
-    buckets = [bucket_of(F.lit(term), n_buckets) for term in terms]
-    return read_term_table(spark, folder, table).where(
-        F.col("field").isin(fields) & F.col("bucket").isin(*buckets) & F.col("term").isin(terms)
+def read_term_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """The records of all parts; those of ``term_df`` and ``corpus`` are to be added up."""
+    return TermTables(spark, folder).read(table).drop("part")
+
+
+def in_ranges(doc_id: Column, ranges: list[tuple[int, int]]) -> Column:
+    """Whether an id lies in one of some ranges (both ends included), as comparisons that
+    reach the scan; neighbours are taken together until there are ``MOST_RANGES``."""
+    joined: list[list[int]] = []
+    for low, high in sorted(ranges):
+        if joined and low <= joined[-1][1] + 1:
+            joined[-1][1] = max(joined[-1][1], high)
+        else:
+            joined.append([low, high])
+    if len(joined) > MOST_RANGES:  # close the narrowest gaps
+        gaps = sorted(range(1, len(joined)), key=lambda k: joined[k][0] - joined[k - 1][1])
+        closed = set(gaps[: len(joined) - MOST_RANGES])
+        wider: list[list[int]] = []
+        for k, (low, high) in enumerate(joined):
+            if k in closed:
+                wider[-1][1] = high
+            else:
+                wider.append([low, high])
+        joined = wider
+
+    def any_of(low: int, high: int) -> Column:  # a balanced tree: deep ones are slow to plan
+        if high - low == 1:
+            return doc_id.between(*joined[low])
+        middle = (low + high) // 2
+        return any_of(low, middle) | any_of(middle, high)
+
+    return any_of(0, len(joined)) if joined else F.lit(False)
+
+
+def ranges_of(ids: DataFrame, most: int = 4 * MOST_RANGES) -> list[tuple[int, int]]:
+    """At most ``most`` ranges that hold all of ``ids``, as narrow as they can be told apart."""
+    ends = ids.groupBy(id_range(F.col("doc_id")).alias("at")).agg(
+        F.min("doc_id").alias("low"), F.max("doc_id").alias("high")
     )
-
-
-def matching_ids(spark: SparkSession, folder: str, field: str, terms: list[str]) -> DataFrame:
-    """``doc_id`` of the rows holding any of ``terms``, without reading their text."""
-    found = entries_of(spark, folder, POSTINGS, [field], terms).select("doc_id")
-    return found if len(terms) == 1 else found.distinct()
+    return few_ranges(ends, most)
+
+
+def few_ranges(ends: DataFrame, most: int = 4 * MOST_RANGES) -> list[tuple[int, int]]:
+    """At most ``most`` ranges (low, high) that hold those of ``ends``, which are numbered
+    by ``at``: neighbours are taken together, the more the more there are."""
+    while True:
+        found = ends.limit(most + 1).collect()
+        if len(found) <= most:
+            return [(row.low, row.high) for row in found]
+        ends = ends.groupBy(F.shiftright("at", 4).alias("at")).agg(
+            F.min("low").alias("low"), F.max("high").alias("high")
+        )

@@ -13,7 +13,7 @@ from newsloom.operators.sentiment import enrich
 from newsloom.schema import ARTICLE_SCHEMA
 from newsloom.sources.ndjson import first_articles_cut, parse_lines, scan_lines
 from newsloom.sources.storage import Folder, scratch_folder
-from newsloom.sources.warehouse import Warehouse
+from newsloom.sources.warehouse import RETAIN_MS, Warehouse
 
 @dataclass(frozen=True)
 class RefreshOptions:
@@ -22,7 +22,8 @@ class RefreshOptions:
     ``max_news=None`` reads everything, in one narrow pass; a number reads that many
     articles from the beginning.  ``n_partitions`` and ``rows_per_file`` bound the
     number of files and their rows; by default both follow from the splits of the
-    source.
+    source.  The superseded version stays for ``retain_ms``, for the queries that read it,
+    and for ever with ``leave_old``.
     """
 
     source: str
@@ -31,6 +32,7 @@ class RefreshOptions:
     rows_per_file: int | None = None
     leave_old: bool = False
     term_tables: bool = False
+    retain_ms: int = RETAIN_MS
 
 
 @dataclass(frozen=True)
@@ -83,10 +85,11 @@ def refresh(
     """Build the next version from ``options.source`` and publish it.
 
     A failed run leaves nothing under the name of a version, and a version that is
-    kept is never written again: the new one has the first name above them all.
-    Readers change over only when the new version is complete, and the superseded
-    one is deleted after that, unless ``leave_old``.  One run at a time may write to
-    a warehouse; a run that was overtaken does not publish.
+    kept is never written again: the new one has the first name above them all, which no
+    other run under way has.  Readers change over only when the new version is complete.
+    Superseded versions are deleted by the first run after ``retain_ms``, so that queries
+    built before still find their files.  Of runs that overlap, the first to publish does;
+    the others fail and remove what they have written.
     """
     started = time.monotonic()
     spark, scratch, limit_cut = warehouse.spark, None, False
@@ -100,18 +103,27 @@ def refresh(
     else:
         scratch = scratch_folder(spark, "first-rows")
         articles, limit_cut = first_articles_cut(spark, options.source, options.max_news, scratch)
-    old, new = warehouse.published(), warehouse.next_table()
-    rows = publishable(articles, lexicon, observed)
-    warehouse.drop_terms(new)
-    warehouse.write(rows, new, options.n_partitions, options.rows_per_file)
-    if scratch is not None:
-        Folder(spark, scratch).delete("")
-    accepted = warehouse.read(new).count()  # from the file footers
-    if options.term_tables:
-        warehouse.write_terms(new)
-    warehouse.replace_published(old, new)
-    if old is not None and not options.leave_old:
-        warehouse.drop(old)
+    seen, new = warehouse.pointer(), warehouse.claim_next()
+    done = False
+    try:
+        rows = publishable(articles, lexicon, observed)
+        warehouse.drop_terms(new)
+        warehouse.write(rows, new, options.n_partitions, options.rows_per_file)
+        if scratch is not None:
+            Folder(spark, scratch).delete("")
+        accepted = warehouse.read(new).count()  # from the file footers
+        if options.term_tables:
+            warehouse.write_terms(new)
+        done = warehouse.publish_after(seen, new)
+        if not done:
+            raise ValueError(f"the published table has moved from {seen.table!r} to {warehouse.published()!r}")
+    finally:
+        if not done and warehouse.published() != new:
+            warehouse.drop(new)
+        warehouse.release(new)
+    if seen.table is not None and not options.leave_old:
+        warehouse.retire(seen.table)
+    warehouse.sweep(options.retain_ms)
     refused = 0 if observed is None else observed.get["rejected"]
     dropped = None if lines is None else lines.get["lines"] - accepted - refused
     elapsed = int((time.monotonic() - started) * 1000)

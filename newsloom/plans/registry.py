@@ -264,14 +264,13 @@ def row_lengths(spark: SparkSession, sf: str) -> DataFrame:
 
 def search_in_published(spark: SparkSession, sf: str) -> DataFrame:
     warehouse = _published(spark, sf, term_tables=True)
-    hits = search_published(warehouse.scan(), warehouse.term_path(warehouse.published()), THREE_WORDS)
+    hits = search_published(*warehouse.view(), THREE_WORDS)
     return _shown(hits).select("link", "score")
 
 
 def search_field_in_published(spark: SparkSession, sf: str) -> DataFrame:
     warehouse = _published(spark, sf, term_tables=True)
-    folder = warehouse.term_path(warehouse.published())
-    hits = search_published(warehouse.scan(), folder, WORDS, "short_description")
+    hits = search_published(*warehouse.view(), WORDS, "short_description")
     return _shown(hits).select("link", "score")
 
 
@@ -299,8 +298,7 @@ def category_stats_sized(spark: SparkSession, sf: str) -> DataFrame:
 
 def significant_in_published(spark: SparkSession, sf: str) -> DataFrame:
     warehouse = _published(spark, sf, term_tables=True)
-    folder = warehouse.term_path(warehouse.published())
-    return _rounded(significant_words_from_terms(warehouse.scan(), folder, WORD))
+    return _rounded(significant_words_from_terms(*warehouse.view(), WORD))
 
 
 def category_stats_in_published(spark: SparkSession, sf: str) -> DataFrame:

@@ -97,23 +97,56 @@ class Folder:
             raise OSError(f"{old!r} cannot be renamed to {new!r}")
 
     def create_text(self, name: str, text: str) -> bool:
-        """Write a small file; False if it exists."""
+        """Create a small file with all of its text; False if it exists.
+
+        Of several that create the same file at a time, one succeeds."""
+        draft = self._draft(name, text)
         try:
-            stream = self._fs.create(self._path(name), False)
-        except Py4JJavaError as error:
+            if self._fs.getUri().getScheme() == "file":
+                # Renaming would replace a file of this machine; a link to it does not.
+                links = self._jvm.java.nio.file.Files
+                links.createLink(self._local(name), self._local(draft))
+            else:
+                self._move(draft, name, "NONE")
+        except Py4JJavaError:
             if self.exists(name):
                 return False
-            raise error
+            raise
+        finally:
+            self.delete(draft)
+        return True
+
+    def _local(self, name: str):
+        return self._jvm.java.io.File(self._path(name).toUri().getPath()).toPath()
+
+    def _draft(self, name: str, text: str) -> str:
+        """A private file next to ``name`` with this text."""
+        parent, _, last = name.rpartition("/")
+        draft = f"{parent}/_{last}.{uuid.uuid4().hex}" if parent else f"_{last}.{uuid.uuid4().hex}"
+        stream = self._fs.create(self._path(draft), False)
         try:
             stream.write(bytearray(text, "utf-8"))
         finally:
             stream.close()
-        return True
+        return draft
+
+    def _move(self, old: str, new: str, how: str) -> None:
+        rename = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
+        flags = self._new_array(rename, getattr(rename, how))
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+            self._fs.getUri(), self._conf
+        )
+        context.rename(self._path(old), self._path(new), flags)
 
     def read_text(self, name: str) -> str | None:
         if not self.exists(name):
             return None
-        stream = self._fs.open(self._path(name))
+        try:
+            stream = self._fs.open(self._path(name))
+        except Py4JJavaError:
+            if self.exists(name):
+                raise
+            return None  # deleted since
         try:
             return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
@@ -121,19 +154,7 @@ class Folder:
 
     def replace_text(self, name: str, text: str) -> None:
         """Replace a small file in one step: readers see the old or the new text."""
-        parent, _, last = name.rpartition("/")
-        draft = f"{parent}/_{last}.{uuid.uuid4().hex}"
-        stream = self._fs.create(self._path(draft), False)
-        try:
-            stream.write(bytearray(text, "utf-8"))
-        finally:
-            stream.close()
-        rename = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
-        flags = self._new_array(rename, rename.OVERWRITE)
-        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
-            self._fs.getUri(), self._conf
-        )
-        context.rename(self._path(draft), self._path(name), flags)
+        self._move(self._draft(name, text), name, "OVERWRITE")
 
     def _new_array(self, java_class, value):
         array = SparkContext._gateway.new_array(java_class, 1)

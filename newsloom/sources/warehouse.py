@@ -2,40 +2,82 @@
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
 from newsloom.functions.names import next_version, parse_version, table_name
 from newsloom.operators.postings import (
     BASE_PART,
-    POSTINGS,
+    TermTables,
     buckets_for,
-    buckets_of,
+    merge_term_tables,
     write_term_tables,
 )
 from newsloom.schema import ARTICLE_SCHEMA
+from newsloom.sources.ledger import Ledger
 from newsloom.sources.storage import Folder
 
 # --- fixed value: the stable name ----------------------------------------------
 ALIAS = "articles"
 # -------------------------------------------------------------------------------
 
-_POINTERS, _TERMS, _COMPLETE = "_published", "_terms", "complete"
-_STAGING, STREAM_LOG = "_staging", "_stream_log"
+_POINTERS, _TERMS, _COMPLETE, _LOG = "_published", "_terms", "complete", "_log"
+_STAGING, _CLAIMS, _RETIRED, STREAM_LOG = "_staging", "_claims", "_retired", "_stream_log"
+
+# Superseded versions and parts stay this long for the queries that still read them.
+RETAIN_MS = 15 * 60 * 1000
+# Parts below this size are worth merging; files of a merged part have about that size.
+SMALL_BYTES = 128 * 1024 * 1024
+
+
+def now_ms() -> int:
+    return int(time.time() * 1000)
+
+
+@dataclass(frozen=True)
+class TableState:
+    """What a table consists of: one entry of its commit log.
+
+    ``parts`` are the folders that hold its rows, ``batches`` the last batch of each stream
+    whose rows are among them, ``retired`` the folders that have been merged into others,
+    with the time of that.  ``uid`` tells tables of the same name apart.
+    """
+
+    uid: str
+    parts: list[str] = field(default_factory=lambda: [BASE_PART])
+    batches: dict[str, int] = field(default_factory=dict)
+    retired: dict[str, int] = field(default_factory=dict)
+
+
+@dataclass(frozen=True)
+class Pointer:
+    """Which table a name stands for; ``generation`` counts the changes of that."""
+
+    generation: int
+    table: str | None
 
 
 class Warehouse:
     """A folder of Parquet tables.
 
-    ``{root}/articles_3``           one version of the table
-    ``{root}/_published/articles``  the name of the version readers see
+    ``{root}/articles_3/base``      the rows one version was written with
+    ``{root}/articles_3/stream-..`` rows appended to it, a folder for each batch
+    ``{root}/articles_3/_log``      commit log: the folders that belong to the table
+    ``{root}/_published/articles``  the versions that readers have seen, the last one now
     ``{root}/_terms/articles_3``    term tables of that version, if built
     ``{root}/_staging/...``         tables that are not complete yet
+    ``{root}/_claims``              version numbers in use by runs under way
+    ``{root}/_retired``             superseded versions, and since when
 
-    A version is written completely before it gets its name, and is never written
-    again; streams add folders to it.  The pointer moves in one step, so readers
-    always see one whole version.
+    A version is written completely before it gets its name, and its folders are never
+    written again; streams and merges add folders, which belong to the table when the
+    commit log says so.  Pointer and commit log change one generation at a time: who has
+    seen an old one cannot change it, so readers always see one whole state.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -46,6 +88,9 @@ class Warehouse:
     def table_path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
+    def part_path(self, table: str, part: str) -> str:
+        return f"{self.root}/{table}/{part}"
+
     def term_path(self, table: str) -> str:
         return f"{self.root}/{_TERMS}/{table}"
 
@@ -55,14 +100,47 @@ class Warehouse:
     def has_table(self, table: str) -> bool:
         return self._folder.exists(table)
 
-    def parts(self, table: str) -> list[str]:
-        """Folders that streams have appended to a table."""
-        return Folder(self.spark, self.table_path(table)).folders()
+    # -- the commit log -----------------------------------------------------------
 
-    def has_terms(self, table: str) -> bool:
-        """Whether complete term tables describe the rows the table has now."""
-        done = Folder(self.spark, f"{self.term_path(table)}/{_COMPLETE}")
-        return {BASE_PART, *self.parts(table)} <= set(done.files())
+    def _log(self, table: str) -> Ledger:
+        return Ledger(self._folder.within(f"{table}/{_LOG}"))
+
+    def _logged(self, table: str) -> tuple[int, TableState]:
+        generation, text = self._log(table).latest()
+        if text is None:
+            raise ValueError(f"no table {table!r}")
+        return generation, TableState(**json.loads(text))
+
+    def state(self, table: str) -> TableState:
+        return self._logged(table)[1]
+
+    def parts(self, table: str) -> list[str]:
+        """Folders that hold the rows of a table now."""
+        return self.state(table).parts
+
+    def _change(self, table: str, change: Callable[[TableState], TableState | None]) -> bool:
+        """Apply ``change`` to the newest state, again if another writer was faster; False
+        if there is nothing to change."""
+        while True:
+            generation, state = self._logged(table)
+            changed = change(state)
+            if changed is None:
+                return False
+            if self._log(table).append(generation, json.dumps(asdict(changed))):
+                return True
+
+    def commit_batch(self, table: str, part: str, stream: str, batch: int) -> bool:
+        """Let a written folder belong to the table, as batch ``batch`` of ``stream``; False
+        if that batch does already."""
+
+        def added(state: TableState) -> TableState | None:
+            if state.batches.get(stream, -1) >= batch:
+                return None
+            return replace(
+                state, parts=[*state.parts, part], batches={**state.batches, stream: batch}
+            )
+
+        return self._change(table, added)
 
     # -- writing ----------------------------------------------------------------
 
@@ -72,6 +150,7 @@ class Warehouse:
         table: str,
         n_partitions: int | None = None,
         rows_per_file: int | None = None,
+        batches: dict[str, int] | None = None,
     ) -> None:
         """Write ``df`` as a new table; rows are kept as they are, duplicates too.
 
@@ -90,14 +169,20 @@ class Warehouse:
                 rows.write.parquet(f"{self.root}/{scan}")
                 rows = self.spark.read.schema(df.schema).parquet(f"{self.root}/{scan}")
                 rows = rows.repartitionByRange(n_partitions, "doc_id").sortWithinPartitions("doc_id")
-            writer = rows.write
+            writer = stored_rows(rows)
             if rows_per_file is not None:
                 writer = writer.option("maxRecordsPerFile", rows_per_file)
-            writer.parquet(f"{self.root}/{ready}")
+            writer.parquet(f"{self.root}/{ready}/{BASE_PART}")
+            state = TableState(uuid.uuid4().hex, batches=batches or {})
+            self._log(ready).append(0, json.dumps(asdict(state)))
             self._folder.rename(ready, table)
         finally:
             self._folder.delete(draft)
 
+    def write_part(self, df: DataFrame, table: str, part: str) -> None:
+        """Write a folder of a table; its rows belong to it when they are committed."""
+        stored_rows(df).mode("overwrite").parquet(self.part_path(table, part))
+
     def require_free(self, table: str) -> None:
         if self.has_table(table):
             raise ValueError(f"table {table!r} exists")
@@ -108,6 +193,15 @@ class Warehouse:
         self.write(self.spark.createDataFrame([], ARTICLE_SCHEMA), table)
         return table
 
+    def ensure(self, table: str) -> None:
+        """Create a table without rows unless it exists; several may try."""
+        if not self.has_table(table):
+            try:
+                self.write(self.spark.createDataFrame([], ARTICLE_SCHEMA), table)
+            except (ValueError, OSError):
+                if not self.has_table(table):
+                    raise
+
     def drop(self, table: str) -> None:
         """Delete a table and what was derived from it; the published one stays."""
         if table in (self.published(alias) for alias in self.aliases()):
@@ -115,55 +209,143 @@ class Warehouse:
         self.drop_terms(table)
         self._folder.delete(table)
         self._folder.delete(f"{STREAM_LOG}/{table}")
+        self._folder.delete(f"{_RETIRED}/{table}")
+
+    # -- term tables --------------------------------------------------------------
+
+    def _term_markers(self, table: str) -> set[str]:
+        return set(self._folder.within(f"{_TERMS}/{table}/{_COMPLETE}").files())
+
+    def terms(self, table: str, state: TableState | None = None) -> TermTables | None:
+        """The term tables of the rows the table has now (or had in ``state``), if they
+        are complete."""
+        parts = (state or self.state(table)).parts
+        if not set(parts) <= self._term_markers(table):
+            return None
+        return TermTables(self.spark, self.term_path(table), tuple(parts))
+
+    def has_terms(self, table: str) -> bool:
+        """Whether complete term tables describe the rows the table has now."""
+        return self.terms(table) is not None
 
     def write_terms(self, table: str) -> None:
         """Build the term tables of a table; the markers are written last."""
         self.drop_terms(table)
-        parts = self.parts(table)
-        n_buckets = buckets_for(self._folder.size(table))
-        write_term_tables(self.read(table), self.term_path(table), n_buckets=n_buckets)
-        for part in [BASE_PART, *parts]:
-            self._mark_terms(table, part)
+        for part in self.parts(table):
+            self._add_terms(table, part, buckets_for(self._folder.size(table)))
 
     def follows_terms(self, table: str) -> bool:
         """Whether term tables have been built, and appends are to be added to them."""
-        return self._folder.exists(f"{_TERMS}/{table}/{_COMPLETE}/{BASE_PART}")
+        return bool(self._term_markers(table))
 
     def append_terms(self, table: str, part: str) -> None:
-        """Add the rows of one appended folder to the term tables.
+        """Add the rows of one written folder to the term tables."""
+        present = TermTables(self.spark, self.term_path(table), tuple(self._term_markers(table)))
+        self._add_terms(table, part, present.n_buckets)
 
-        The base knows the folders that were there when it was built.
-        """
-        folder = self.term_path(table)
-        marked = self._folder.exists(f"{_TERMS}/{table}/{_COMPLETE}/{part}")
-        if marked and not Folder(self.spark, f"{folder}/{POSTINGS}/part={part}").exists(""):
-            return
-        rows = self.read(f"{table}/{part}")
-        write_term_tables(rows, folder, n_buckets=buckets_of(self.spark, folder), part=part)
+    def _add_terms(self, table: str, part: str, n_buckets: int) -> None:
+        rows = self.read_parts(table, [part])
+        write_term_tables(rows, self.term_path(table), n_buckets=n_buckets, part=part)
         self._mark_terms(table, part)
 
     def _mark_terms(self, table: str, part: str) -> None:
         self._folder.replace_text(f"{_TERMS}/{table}/{_COMPLETE}/{part}", table)
 
     def drop_terms(self, table: str) -> None:
-        """Delete the term tables; must precede any change of the rows."""
+        """Delete the term tables."""
         self._folder.delete(f"{_TERMS}/{table}/{_COMPLETE}")
         self._folder.delete(f"{_TERMS}/{table}")
 
+    # -- merging and sweeping -----------------------------------------------------
+
+    def compact(self, table: str | None = None, small_bytes: int = SMALL_BYTES) -> list[str]:
+        """Merge the parts below ``small_bytes`` into one, sorted by id; returns them.
+
+        Rows and ids stay as they are.  The merged part takes the place of the others in
+        one change of the commit log; parts that streams add meanwhile stay, and of two
+        merges of the same parts one counts.  Term tables are merged too, without looking
+        at the text again.  The old folders go with a later ``sweep``.
+        """
+        table = table or self.published()
+        if table is None:
+            raise ValueError("nothing is published")
+        state = self.state(table)
+        sizes = {part: self._folder.size(f"{table}/{part}") for part in state.parts}
+        small = [part for part in state.parts if sizes[part] < small_bytes]
+        if len(small) < 2:
+            return []
+        merged = f"merged-{uuid.uuid4().hex}"
+        n_files = -(-sum(sizes[part] for part in small) // small_bytes)
+        rows = self.read_parts(table, small)
+        sorted_rows = rows.repartitionByRange(max(n_files, 1), "doc_id").sortWithinPartitions("doc_id")
+        self.write_part(sorted_rows, table, merged)
+        if set(small) <= self._term_markers(table):
+            merge_term_tables(TermTables(self.spark, self.term_path(table), tuple(small)), merged)
+            self._mark_terms(table, merged)
+
+        def swapped(now: TableState) -> TableState | None:
+            if not set(small) <= set(now.parts):
+                return None
+            kept = [part for part in now.parts if part not in small]
+            return replace(now, parts=[merged, *kept], retired={**now.retired, **dict.fromkeys(small, now_ms())})
+
+        if not self._change(table, swapped):
+            self._delete_part(table, merged)
+            return []
+        return small
+
+    def _delete_part(self, table: str, part: str) -> None:
+        self._folder.delete(f"{_TERMS}/{table}/{_COMPLETE}/{part}")
+        if self._folder.exists(f"{_TERMS}/{table}"):
+            TermTables(self.spark, self.term_path(table), (part,)).delete()
+        self._folder.delete(f"{table}/{part}")
+
+    def retire(self, table: str) -> None:
+        """Note that a version is superseded; a later ``sweep`` deletes it."""
+        self._folder.create_text(f"{_RETIRED}/{table}", str(now_ms()))
+
+    def sweep(self, retain_ms: int = RETAIN_MS) -> list[str]:
+        """Delete the versions and parts that were superseded ``retain_ms`` ago or earlier;
+        returns them.  Queries built before that, and not done yet, would fail."""
+        before, gone = now_ms() - retain_ms, []
+        published = {self.published(alias) for alias in self.aliases()}
+        for table in self._folder.within(_RETIRED).files():
+            since = self._folder.read_text(f"{_RETIRED}/{table}")
+            if table not in published and since is not None and int(since) <= before:
+                self.drop(table)
+                gone.append(table)
+        for table in self.tables():
+            old = [part for part, since in self.state(table).retired.items() if since <= before]
+            for part in old:
+                self._delete_part(table, part)
+                gone.append(f"{table}/{part}")
+            if old:
+
+                def forgotten(state: TableState, old: list[str] = old) -> TableState:
+                    return replace(state, retired={p: t for p, t in state.retired.items() if p not in old})
+
+                self._change(table, forgotten)
+        return gone
+
     # -- publishing -------------------------------------------------------------
 
     def aliases(self) -> list[str]:
-        return Folder(self.spark, f"{self.root}/{_POINTERS}").files()
+        return self._folder.within(_POINTERS).folders()
 
-    def published(self, alias: str = ALIAS) -> str | None:
-        """Name of the version behind ``alias``; an error unless it is exactly one."""
-        text = self._folder.read_text(f"{_POINTERS}/{alias}")
-        if text is None:
-            return None
-        names = text.split()
-        if len(names) != 1:
+    def _pointers(self, alias: str) -> Ledger:
+        return Ledger(self._folder.within(f"{_POINTERS}/{alias}"))
+
+    def pointer(self, alias: str = ALIAS) -> Pointer:
+        """What ``alias`` stands for; an error unless it is one table or none."""
+        generation, text = self._pointers(alias).latest()
+        names = [] if text is None else text.split()
+        if text is not None and len(names) != 1:
             raise ValueError(f"expected one table behind {alias!r}, found {names}")
-        return names[0]
+        return Pointer(generation, names[0] if names else None)
+
+    def published(self, alias: str = ALIAS) -> str | None:
+        """Name of the version behind ``alias``."""
+        return self.pointer(alias).table
 
     def version(self, alias: str = ALIAS) -> int | None:
         table = self.published(alias)
@@ -180,30 +362,61 @@ class Warehouse:
         known = [v for v in [self.version(alias), *kept] if v is not None]
         return table_name(alias, next_version(max(known, default=None)))
 
+    def claim_next(self, alias: str = ALIAS) -> str:
+        """``next_table``, for this run alone until it is released."""
+        table = self.next_table(alias)
+        while True:
+            if self._folder.create_text(f"{_CLAIMS}/{table}", str(now_ms())):
+                if not self.has_table(table):
+                    return table
+                self.release(table)  # completed by another run since the tables were listed
+            table = table_name(alias, next_version(parse_version(table)))
+
+    def release(self, table: str) -> None:
+        self._folder.delete(f"{_CLAIMS}/{table}")
+
     def publish(self, table: str, alias: str = ALIAS) -> None:
-        """Let ``alias`` name ``table`` from now on."""
+        """Let ``alias`` name ``table`` from now on, whatever it named before."""
+        while not self.publish_after(self.pointer(alias), table, alias):
+            pass
+
+    def publish_after(self, seen: Pointer, table: str, alias: str = ALIAS) -> bool:
+        """``publish``, unless ``alias`` has changed since ``seen``; of several runs that
+        have seen the same, one publishes."""
         if not self.has_table(table):
             raise ValueError(f"no table {table!r} to publish")
-        self._folder.replace_text(f"{_POINTERS}/{alias}", table)
+        if not self._pointers(alias).append(seen.generation, table):
+            return False
+        self._folder.delete(f"{_RETIRED}/{table}")
         self.read(table).createOrReplaceTempView(alias)
-
-    def replace_published(self, old: str | None, new: str, alias: str = ALIAS) -> None:
-        """``publish``, refused if another run has published since ``old`` was read."""
-        current = self.published(alias)
-        if current != old:
-            raise ValueError(f"{alias!r} has moved from {old!r} to {current!r}")
-        self.publish(new, alias)
+        return True
 
     # -- reading ----------------------------------------------------------------
 
+    def read_parts(self, table: str, parts: list[str]) -> DataFrame:
+        paths = [self.part_path(table, part) for part in parts]
+        return self.spark.read.schema(ARTICLE_SCHEMA).parquet(*paths)
+
     def read(self, table: str) -> DataFrame:
-        """A table by name, with the folders a stream has appended to it."""
-        reader = self.spark.read.schema(ARTICLE_SCHEMA).option("recursiveFileLookup", "true")
-        return reader.parquet(self.table_path(table))
+        """The rows a table has now, by name."""
+        return self.read_parts(table, self.state(table).parts)
 
     def scan(self, alias: str = ALIAS) -> DataFrame:
         """The published version, whichever it is."""
+        return self.view(alias)[0]
+
+    def view(self, alias: str = ALIAS) -> tuple[DataFrame, TermTables | None]:
+        """The published rows, and the term tables of just these rows if there are any."""
         table = self.published(alias)
         if table is None:
             raise ValueError(f"nothing is published as {alias!r}")
-        return self.read(table)
+        state = self.state(table)
+        return self.read_parts(table, state.parts), self.terms(table, state)
+
+
+def stored_rows(rows: DataFrame):
+    """A writer of articles.  Filters keep the links of a file apart, so that a look-up of
+    one link skips the row groups without it."""
+    return rows.write.option("parquet.bloom.filter.enabled#link", "true").option(
+        "parquet.bloom.filter.adaptive.enabled", "true"
+    )

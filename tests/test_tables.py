@@ -7,6 +7,7 @@ from newsloom.plans import ask
 from newsloom.plans.refresh import RefreshOptions, refresh
 from newsloom.plans.snapshot import restore_snapshot, take_snapshot
 from newsloom.schema import ARTICLE_SCHEMA, RAW_FIELDS
+from newsloom.sources.ledger import Ledger
 from newsloom.sources.storage import Folder, scratch_folder
 from newsloom.sources.warehouse import Warehouse
 from newsloom.streaming.refresh import follow_files, refresh_periodically
@@ -56,7 +57,7 @@ def test_refresh_publishes_the_next_version(spark, warehouse, source, lexicon):
     second = refresh(warehouse, lexicon, RefreshOptions(source, max_news=7, n_partitions=3, leave_old=True))
     assert (second.total_indexed, second.accepted, second.rejected) == (7, 6, 1)
     assert warehouse.tables() == ["articles_1", "articles_2"]
-    third = refresh(warehouse, lexicon, RefreshOptions(source, max_news=0))
+    third = refresh(warehouse, lexicon, RefreshOptions(source, max_news=0, retain_ms=0))
     assert (third.total_indexed, third.new_index_name) == (0, "articles_3")
     assert warehouse.tables() == ["articles_1", "articles_3"] and warehouse.scan().count() == 0
 
@@ -150,15 +151,17 @@ def test_create_fails_if_the_table_exists(warehouse):
 def test_pointer_must_name_one_version(warehouse):
     warehouse.create(1)
     warehouse.publish("articles_1")
-    pointers = Folder(warehouse.spark, f"{warehouse.root}/_published")
-    pointers.replace_text("articles", "articles_1\narticles_2")
+    pointers = Ledger(Folder(warehouse.spark, f"{warehouse.root}/_published/articles"))
+    assert pointers.append(1, "articles_1\narticles_2")
     with pytest.raises(ValueError, match="exactly|one table"):
         warehouse.published()
-    pointers.replace_text("articles", "articles_x")
+    assert pointers.append(2, "articles_x")
     with pytest.raises(ValueError, match="version"):
         warehouse.version()
     with pytest.raises(ValueError, match="no table"):
         warehouse.publish("articles_9")
+    warehouse.publish("articles_1")
+    assert warehouse.version() == 1
 
 
 def test_rows_per_file_and_duplicates(spark, warehouse, source, lexicon, tmp_path):
@@ -265,7 +268,7 @@ def test_stale_stream_ends_and_changes_nothing(spark, warehouse, source, lexicon
     query = follow_files(warehouse, lexicon, source, str(tmp_path / "one"), interval_ms=200)
     while query.isActive and warehouse.scan().count() < 40:
         query.awaitTermination(0.1)
-    summary = refresh(warehouse, lexicon, RefreshOptions(source))
+    summary = refresh(warehouse, lexicon, RefreshOptions(source, retain_ms=0))
     write(tmp_path / "news", "later.json", [line(700)])
     with pytest.raises(Exception, match="no longer followed"):
         query.awaitTermination(60)
