@@ -315,7 +315,11 @@ class Warehouse:
                 self.drop(table)
                 gone.append(table)
         for table in self.tables():
-            old = [part for part, since in self.state(table).retired.items() if since <= before]
+            try:
+                retired = self.state(table).retired
+            except ValueError:  # dropped by another run since the tables were listed
+                continue
+            old = [part for part, since in retired.items() if since <= before]
             for part in old:
                 self._delete_part(table, part)
                 gone.append(f"{table}/{part}")

@@ -1,0 +1,344 @@
+"""What readers see while tables are written, published, merged, swept and restored."""
+
+import json
+import threading
+
+import pytest
+from pyspark.sql import functions as F
+
+from newsloom.plans import ask
+from newsloom.plans.refresh import RefreshOptions, refresh
+from newsloom.plans.snapshot import restore_snapshot, take_snapshot
+from newsloom.sources import ledger as ledgers
+from newsloom.sources.ledger import Ledger
+from newsloom.sources.storage import Folder
+from newsloom.sources.warehouse import Warehouse
+from newsloom.streaming.refresh import follow_files
+
+from .test_tables import line, same, write
+
+
+@pytest.fixture()
+def warehouse(spark, tmp_path):
+    return Warehouse(spark, str(tmp_path / "warehouse"))
+
+
+@pytest.fixture()
+def source(tmp_path):
+    return write(tmp_path / "news", "a.json", [line(i, short_description=f"the end {i}") for i in range(30)])
+
+
+# -- one file for each generation ---------------------------------------------------------
+
+
+@pytest.fixture()
+def ledger(spark, tmp_path):
+    return Ledger(Folder(spark, str(tmp_path / "ledger")))
+
+
+def test_two_writers_of_one_generation(ledger):
+    assert ledger.latest() == (0, None)
+    assert ledger.append(0, "first") and not ledger.append(0, "too late")
+    assert ledger.latest() == (1, "first") and ledger.append(1, "second")
+    assert not ledger.append(1, "asleep") and ledger.latest() == (2, "second")
+
+
+def test_of_many_writers_at_a_time_one_wins(spark, tmp_path):
+    for after in range(5):
+        won = []
+        def attempt(k, after=after):
+            if Ledger(Folder(spark, str(tmp_path / "ledger"))).append(after, f"{after}-{k}"):
+                won.append(k)
+
+        threads = [threading.Thread(target=attempt, args=(k,)) for k in range(8)]
+        [t.start() for t in threads], [t.join() for t in threads]
+        assert len(won) == 1
+        assert Ledger(Folder(spark, str(tmp_path / "ledger"))).latest() == (after + 1, f"{after}-{won[0]}")
+
+
+def test_sleeper_cannot_use_a_deleted_generation(ledger, monkeypatch):
+    monkeypatch.setattr(ledgers, "KEPT", 3)
+    for k in range(9):
+        assert ledger.append(k, str(k + 1))
+    assert ledger.generations() == [7, 8, 9]
+    assert not ledger.append(4, "from long ago")
+    assert ledger.generations() == [7, 8, 9] and ledger.latest() == (9, "9")
+
+
+def test_text_appears_whole_and_drafts_go(spark, tmp_path):
+    folder = Folder(spark, str(tmp_path / "texts"))
+    assert folder.create_text("a/b", "é" * 1000) and not folder.create_text("a/b", "other")
+    assert folder.read_text("a/b") == "é" * 1000
+    assert [p.name for p in (tmp_path / "texts" / "a").iterdir()] == ["b"]
+
+
+# -- one winner among concurrent publishes ------------------------------------------------
+
+
+def test_of_two_refreshes_between_check_and_move_one_publishes(spark, warehouse, source, lexicon, tmp_path, monkeypatch):
+    refresh(warehouse, lexicon, RefreshOptions(source))
+    other = Warehouse(spark, warehouse.root)
+    summaries = []
+    publish_after = warehouse.publish_after
+
+    def interrupted(seen, table, *args):
+        # The other run starts and ends between what this one has seen and its move.
+        summaries.append(refresh(other, lexicon, RefreshOptions(source, max_news=5, leave_old=True)))
+        return publish_after(seen, table, *args)
+
+    monkeypatch.setattr(warehouse, "publish_after", interrupted)
+    with pytest.raises(ValueError, match="has moved from 'articles_1' to 'articles_3'"):
+        refresh(warehouse, lexicon, RefreshOptions(source, term_tables=True))
+    assert summaries[0].new_index_name == warehouse.published() == "articles_3"
+    assert warehouse.tables() == ["articles_1", "articles_3"] and warehouse.scan().count() == 5
+    assert not Folder(spark, warehouse.root).exists("_terms/articles_2")
+    assert Folder(spark, f"{warehouse.root}/_claims").files() == []
+
+
+def test_refreshes_at_a_time_write_different_versions(spark, warehouse, source, lexicon):
+    results = []
+
+    def run():
+        try:
+            results.append(refresh(Warehouse(spark, warehouse.root), lexicon, RefreshOptions(source)).new_index_name)
+        except ValueError as error:
+            results.append(str(error))
+
+    threads = [threading.Thread(target=run) for _ in range(3)]
+    [t.start() for t in threads], [t.join() for t in threads]
+    named = [r for r in results if r.startswith("articles_")]
+    assert named and warehouse.published() in named and len(results) == 3
+    assert all("has moved" in r for r in results if r not in named)
+    assert warehouse.scan().count() == 30 and set(warehouse.tables()) <= set(named)
+
+
+def test_moving_back_and_forth_is_a_change(warehouse, source, lexicon):
+    for _ in range(2):
+        refresh(warehouse, lexicon, RefreshOptions(source, leave_old=True))
+    seen = warehouse.pointer()
+    warehouse.publish("articles_1")
+    warehouse.publish("articles_2")
+    assert seen.table == warehouse.published() == "articles_2"
+    assert not warehouse.publish_after(seen, "articles_1")
+
+
+# -- a batch is visible whole or not at all -----------------------------------------------
+
+
+def test_batch_is_seen_when_it_is_committed(spark, warehouse, source, lexicon, tmp_path, monkeypatch):
+    refresh(warehouse, lexicon, RefreshOptions(source, term_tables=True))
+    more = write(tmp_path / "more", "b.json", [line(100 + i, short_description="walrus the") for i in range(10)])
+    seen = []
+    commit = warehouse.commit_batch
+
+    def watched(table, part, *args):
+        reader = Warehouse(spark, warehouse.root)
+        written = reader.read_parts(table, [part]).count()
+        early = reader.scan()
+        seen.append((written, early.count(), len(ask.fulltext_search(reader, "walrus").collect()), reader.has_terms(table)))
+        done = commit(table, part, *args)
+        # A scan that was built before has its rows, and a new one has the batch.
+        seen.append((early.count(), reader.scan().count(), len(ask.fulltext_search(reader, "walrus", size=99).collect())))
+        return done
+
+    monkeypatch.setattr(warehouse, "commit_batch", watched)
+    follow_files(warehouse, lexicon, more, str(tmp_path / "checkpoint")).awaitTermination()
+    assert seen == [(10, 30, 0, True), (30, 40, 10)]
+    assert warehouse.has_terms("articles_1")
+
+
+def test_batch_that_was_not_committed_is_written_again(spark, warehouse, source, lexicon, tmp_path, monkeypatch):
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(warehouse, "commit_batch", broken)
+        with pytest.raises(Exception, match="lost"):
+            follow_files(warehouse, lexicon, source, str(tmp_path / "one")).awaitTermination()
+    assert warehouse.published() is None and warehouse.read("articles_1").count() == 0
+    follow_files(warehouse, lexicon, source, str(tmp_path / "one")).awaitTermination()
+    assert warehouse.scan().count() == warehouse.scan().select("link").distinct().count() == 30
+
+
+# -- readers of superseded versions -------------------------------------------------------
+
+
+def test_plan_of_before_a_refresh_still_runs(warehouse, source, lexicon):
+    refresh(warehouse, lexicon, RefreshOptions(source))
+    before = warehouse.scan()
+    refresh(warehouse, lexicon, RefreshOptions(source, max_news=5))
+    assert warehouse.scan().count() == 5 and before.count() == 30
+    assert warehouse.sweep() == [] and before.count() == 30
+    assert warehouse.sweep(retain_ms=0) == ["articles_1"] and warehouse.tables() == ["articles_2"]
+    assert warehouse.sweep(retain_ms=0) == []
+
+
+def test_sweep_keeps_what_is_published_again_or_left(warehouse, source, lexicon):
+    refresh(warehouse, lexicon, RefreshOptions(source))
+    refresh(warehouse, lexicon, RefreshOptions(source))
+    warehouse.publish("articles_1")
+    assert warehouse.sweep(retain_ms=0) == []
+    refresh(warehouse, lexicon, RefreshOptions(source, leave_old=True, retain_ms=0))
+    assert warehouse.sweep(retain_ms=0) == [] and warehouse.tables() == ["articles_1", "articles_2", "articles_3"]
+
+
+# -- merging ------------------------------------------------------------------------------
+
+
+def test_many_batches_and_a_merge_are_one_refresh(spark, warehouse, source, lexicon, tmp_path):
+    checkpoint = str(tmp_path / "checkpoint")
+    refresh(warehouse, lexicon, RefreshOptions(write(tmp_path / "old", "a.json", [line(900)]), term_tables=True))
+    for k in range(20):
+        write(tmp_path / "news", f"{k}.json", [line(1000 + 3 * k + i, short_description=f"walrus w{k} the") for i in range(3)])
+        follow_files(warehouse, lexicon, source, checkpoint).awaitTermination()
+    before, files = warehouse.scan(), len(warehouse.scan().inputFiles())
+    rows, hits = before.collect(), ask.fulltext_search(warehouse, "walrus w7", size=200).collect()
+    words = ask.significant_words(warehouse, "w7").collect()
+    assert len(rows) == 91 and len(warehouse.parts("articles_1")) == 21
+
+    merged = warehouse.compact()
+    assert len(merged) == 21 and len(warehouse.parts("articles_1")) == 1
+    assert sorted(warehouse.scan().collect()) == sorted(rows) and len(warehouse.scan().inputFiles()) < files
+    assert warehouse.has_terms("articles_1")
+    assert ask.fulltext_search(warehouse, "walrus w7", size=200).collect() == hits
+    assert ask.significant_words(warehouse, "w7").collect() == words != []
+    assert before.count() == 91 and warehouse.compact() == []
+    assert len(warehouse.sweep(retain_ms=0)) == 21 and warehouse.state("articles_1").retired == {}
+    assert sorted(warehouse.scan().collect()) == sorted(rows)
+    assert Folder(spark, warehouse.table_path("articles_1")).folders() == warehouse.parts("articles_1")
+
+    plain = Warehouse(spark, str(tmp_path / "plain"))
+    plain.write(warehouse.scan(), "articles_1")
+    plain.publish("articles_1")
+    assert [(r.doc_id, round(r.score, 9)) for r in ask.fulltext_search(plain, "walrus w7", size=200).collect()] == [
+        (r.doc_id, round(r.score, 9)) for r in hits
+    ]
+    # The stream goes on, and a batch that is repeated is still known.
+    for name in (tmp_path / "checkpoint" / "commits").iterdir():
+        if "19" in name.name:
+            name.unlink()
+    write(tmp_path / "news", "later.json", [line(2000)])
+    follow_files(warehouse, lexicon, source, checkpoint).awaitTermination()
+    assert warehouse.scan().count() == warehouse.scan().select("link").distinct().count() == 92
+    assert warehouse.has_terms("articles_1")
+
+
+def test_of_two_merges_one_counts_and_appends_stay(spark, warehouse, source, lexicon, tmp_path, monkeypatch):
+    follow_files(warehouse, lexicon, source, str(tmp_path / "one")).awaitTermination()
+    more = write(tmp_path / "more", "b.json", [line(100 + i) for i in range(10)])
+    write_part = warehouse.write_part
+
+    def interrupted(*args):
+        write_part(*args)
+        monkeypatch.undo()
+        follow_files(warehouse, lexicon, more, str(tmp_path / "two")).awaitTermination()
+        assert len(Warehouse(spark, warehouse.root).compact()) == 3
+
+    monkeypatch.setattr(warehouse, "write_part", interrupted)
+    assert warehouse.compact() == []
+    assert warehouse.scan().count() == warehouse.scan().select("link").distinct().count() == 40
+
+
+def test_large_parts_are_not_merged(warehouse, source, lexicon, tmp_path):
+    follow_files(warehouse, lexicon, source, str(tmp_path / "one")).awaitTermination()
+    assert warehouse.compact(small_bytes=1) == []
+    with pytest.raises(ValueError, match="no table"):
+        warehouse.compact("articles_7")
+
+
+# -- snapshots ----------------------------------------------------------------------------
+
+
+def files_below(path):
+    return sorted(str(p.relative_to(path)) for p in path.rglob("*") if p.is_file() and p.name.endswith(".parquet"))
+
+
+def test_second_snapshot_of_the_same_rows_is_a_manifest(spark, warehouse, source, lexicon, tmp_path):
+    repository = tmp_path / "snapshots"
+    refresh(warehouse, lexicon, RefreshOptions(source, term_tables=True))
+    take_snapshot(warehouse, str(repository), "first")
+    copied = files_below(repository)
+    take_snapshot(warehouse, str(repository), "second")
+    assert files_below(repository) == copied and [p.name for p in (repository / "second").iterdir()] == ["_manifest.json"]
+    more = write(tmp_path / "more", "b.json", [line(100 + i) for i in range(10)])
+    follow_files(warehouse, lexicon, more, str(tmp_path / "one")).awaitTermination()
+    take_snapshot(warehouse, str(repository), "third")
+    assert len(files_below(repository)) > len(copied) and set(copied) <= set(files_below(repository))
+    for name, n in (("first", 30), ("second", 30), ("third", 40)):
+        restored = Warehouse(spark, str(tmp_path / f"restored-{name}"))
+        restore_snapshot(restored, str(repository), name)
+        assert restored.scan().count() == n and restored.has_terms("articles_1")
+
+
+def test_streams_go_on_after_a_restore(spark, warehouse, source, lexicon, tmp_path):
+    checkpoint, repository = tmp_path / "one", str(tmp_path / "snapshots")
+    follow_files(warehouse, lexicon, source, str(checkpoint)).awaitTermination()
+    take_snapshot(warehouse, repository, "s")
+    restored = Warehouse(spark, str(tmp_path / "restored"))
+    restore_snapshot(restored, repository, "s")
+    for name in (checkpoint / "commits").iterdir():
+        name.unlink()
+    follow_files(restored, lexicon, source, str(checkpoint)).awaitTermination()
+    assert same(restored.scan(), warehouse.scan())
+    with pytest.raises(ValueError, match="already follows"):
+        follow_files(restored, lexicon, source, str(tmp_path / "another"))
+    write(tmp_path / "news", "b.json", [line(500)])
+    follow_files(restored, lexicon, source, str(checkpoint)).awaitTermination()
+    assert restored.scan().count() == restored.scan().select("doc_id").distinct().count() == 31
+
+
+def test_stream_that_went_on_elsewhere_is_refused(spark, warehouse, source, lexicon, tmp_path):
+    checkpoint, repository = str(tmp_path / "one"), str(tmp_path / "snapshots")
+    follow_files(warehouse, lexicon, source, checkpoint).awaitTermination()
+    take_snapshot(warehouse, repository, "s")
+    for k in range(2):
+        write(tmp_path / "news", f"b{k}.json", [line(500 + k)])
+        if k == 0:
+            follow_files(warehouse, lexicon, source, checkpoint).awaitTermination()
+    restored = Warehouse(spark, str(tmp_path / "restored"))
+    restore_snapshot(restored, repository, "s")
+    with pytest.raises(Exception, match="the next is 2"):
+        follow_files(restored, lexicon, source, checkpoint).awaitTermination()
+    assert restored.scan().count() == 30
+
+
+# -- look-ups -----------------------------------------------------------------------------
+
+
+def rows_read(spark, df):
+    """Rows that the scans of a plan give out when it runs."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        execution = df.select("*")._jdf.queryExecution()
+        execution.executedPlan().executeCollect()
+        leaves = execution.executedPlan().collectLeaves()
+        return sum(
+            leaves.apply(i).metrics().apply("numOutputRows").value()
+            for i in range(leaves.size())
+            if leaves.apply(i).metrics().contains("numOutputRows")
+        )
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_link_lookup_skips_row_groups_without_it(spark, warehouse, make_articles):
+    """The links are hashes, so that every file spans them all and only filters tell."""
+    blank = make_articles({})
+    same_fields = [F.lit(blank.first()[c]).cast(t).alias(c) for c, t in blank.dtypes if c not in ("doc_id", "link")]
+    numbers = spark.range(0, 4000, numPartitions=8)
+    rows = numbers.select(F.col("id").alias("doc_id"), F.md5(F.col("id").cast("string")).alias("link"), *same_fields)
+    warehouse.write(rows.select(*blank.columns), "articles_1")
+    assert len(warehouse.read("articles_1").inputFiles()) == 8
+    key = spark.range(1).select(F.md5(F.lit("1234"))).first()[0]
+    found = warehouse.read("articles_1").where(F.col("link") == key)
+    assert [r.doc_id for r in found.collect()] == [1234] and rows_read(spark, found) == 500
+    assert rows_read(spark, warehouse.read("articles_1").where(F.col("link") == "0" + key[1:] + "x")) == 0
+
+
+def test_manifest_has_every_table(spark, warehouse, source, lexicon, tmp_path):
+    refresh(warehouse, lexicon, RefreshOptions(source, leave_old=True))
+    refresh(warehouse, lexicon, RefreshOptions(source, leave_old=True))
+    take_snapshot(warehouse, str(tmp_path / "s"), "x")
+    manifest = json.loads((tmp_path / "s" / "x" / "_manifest.json").read_text())
+    assert sorted(manifest["tables"]) == ["articles_1", "articles_2"]
+    assert manifest["published"] == {"articles": "articles_2"}
