@@ -12,9 +12,10 @@ from newsloom.operators.postings import term_counts
 from newsloom.schema import NEGATIVE, POSITIVE, RAW_FIELDS
 from newsloom.sources.storage import settled
 
-# A lexicon up to these sizes becomes part of the expression; beyond either, the
-# tokens are joined with the lexicon table, which is broadcast up to the last size.
-MAX_LITERAL_WORDS, MAX_LITERAL_VALENCES, MAX_BROADCAST_WORDS = 20_000, 64, 500_000
+# A lexicon up to the first two sizes becomes hash sets of the expression, up to the last
+# one a table of the expression, with so many words to a slot; beyond it, the tokens are
+# joined with the lexicon.
+MAX_LITERAL_WORDS, MAX_LITERAL_VALENCES, MAX_TABLE_WORDS, WORDS_PER_SLOT = 20_000, 64, 500_000, 2
 
 
 def require_lexicon(lexicon: DataFrame) -> int:
@@ -38,13 +39,15 @@ def sentiment_totals(df: DataFrame, lexicon: DataFrame, text: str, key: str = "d
     """
     n_words = require_lexicon(lexicon)
     weighted = lexicon.where(F.col("valence") != 0)
-    words = weighted.collect() if n_words <= MAX_LITERAL_WORDS else []
-    by_valence: dict[int, list[str]] = {}
-    for row in words:
-        by_valence.setdefault(row.valence, []).append(row.word)
-    if n_words > MAX_LITERAL_WORDS or len(by_valence) > MAX_LITERAL_VALENCES:
-        return totals_by_join(df, weighted, text, key, n_words <= MAX_BROADCAST_WORDS)
-    return _totals_in_row(df, by_valence, text)
+    if n_words > MAX_TABLE_WORDS:
+        return totals_by_join(df, weighted, text, key, small=False)
+    if n_words <= MAX_LITERAL_WORDS:
+        by_valence: dict[int, list[str]] = {}
+        for row in weighted.collect():
+            by_valence.setdefault(row.valence, []).append(row.word)
+        if len(by_valence) <= MAX_LITERAL_VALENCES:
+            return _totals_in_row(df, by_valence, text)
+    return totals_by_table(df, weighted, n_words, text)
 
 
 def _totals_in_row(df: DataFrame, by_valence: dict[int, list[str]], text: str) -> DataFrame:
@@ -73,15 +76,56 @@ def _totals_in_row(df: DataFrame, by_valence: dict[int, list[str]], text: str) -
     )
 
 
+def totals_by_table(df: DataFrame, lexicon: DataFrame, n_words: int, text: str) -> DataFrame:
+    """No shuffle of ``df``: each token is looked up in a hash table that is one constant.
+
+    The table is an array of slots with a few words each.  It is made by Spark and goes
+    through the driver as one value of at most ``MAX_TABLE_WORDS`` words; the tasks get it
+    with the expression.  Nothing but the lexicon is moved.
+    """
+    n_slots = max(n_words // WORDS_PER_SLOT, 1)
+
+    def slot_of(word: Column) -> Column:
+        return F.pmod(F.xxhash64(word), F.lit(n_slots)).cast("int")
+
+    weighted = lexicon.select("word", F.col("valence").cast("bigint").alias("valence"))
+    filled = weighted.groupBy(slot_of(F.col("word")).alias("slot")).agg(
+        F.collect_list(F.struct("word", "valence")).alias("words")
+    )
+    slots = lexicon.sparkSession.range(n_slots).select(F.col("id").cast("int").alias("slot"))
+    in_order = F.array_sort(F.collect_list(F.struct("slot", "words")))
+    written = slots.join(filled, "slot", "left").agg(F.to_json(in_order["words"])).first()[0]
+    # One text, which becomes a constant array when the plan is optimized.
+    table = F.from_json(F.lit(written), "array<array<struct<word:string,valence:bigint>>>")
+
+    def value(token: Column) -> Column:
+        slot = F.coalesce(F.get(table, slot_of(token)), F.array().cast("array<struct<word:string,valence:bigint>>"))
+        zero = F.lit(0).cast("bigint")
+        return F.aggregate(
+            slot, zero, lambda total, entry: F.when(entry["word"] == token, entry["valence"]).otherwise(total)
+        )
+
+    def total(of: Column) -> Column:
+        return F.aggregate(of, F.lit(0).cast("bigint"), lambda total, v: total + v)
+
+    # The table must not become a column, which would hold a copy a row.
+    valued = df.withColumn("values", F.transform(tokenise(F.col(text)), value))
+    return valued.select(
+        *df.columns,
+        total(F.filter("values", lambda v: v > 0)).alias("positive"),
+        (-total(F.filter("values", lambda v: v < 0))).alias("negative"),
+    )
+
+
 def totals_by_join(
     df: DataFrame, lexicon: DataFrame, text: str, key: str = "doc_id", small: bool = True
 ) -> DataFrame:
-    """For a lexicon too large for an expression; ``key`` must identify a row.
+    """For a lexicon too large for one value; ``key`` must identify a row.
 
     The rows are settled in the scratch folder first: they are made once, and a running
     id is the same in both uses.  Tokens are counted inside each row; what meets the
-    lexicon, and what is shuffled, holds no text.  A ``small`` lexicon is broadcast; else
-    adaptive execution splits the partition of a frequent word.
+    lexicon holds no text; a ``small`` lexicon is broadcast, else adaptive execution splits
+    the partition of a frequent word.  The totals then meet the rows, which are shuffled.
     """
     rows = settled(df, "articles")
     counts = term_counts(rows, [key], text).select(key, F.col("term").alias("word"), "tf")

@@ -370,6 +370,41 @@ def refresh_after_rollback(spark: SparkSession, sf: str) -> DataFrame:
     return counts
 
 
+class _Interrupted(Warehouse):
+    """Runs something between what a writer has seen and what it does then."""
+
+    def __init__(self, spark: SparkSession, root: str, before_publish=None, before_commit=None):
+        super().__init__(spark, root)
+        self._before_publish, self._before_commit = before_publish, before_commit
+
+    def publish_after(self, *args, **kwargs) -> bool:
+        if self._before_publish is not None:
+            self._before_publish()
+        return super().publish_after(*args, **kwargs)
+
+    def commit_batch(self, *args, **kwargs) -> bool:
+        if self._before_commit is not None:
+            self._before_commit()
+        return super().commit_batch(*args, **kwargs)
+
+
+def refresh_concurrent(spark: SparkSession, sf: str) -> DataFrame:
+    """Two refreshes that overlap: rows of the tables that are left, and how they ended."""
+    plain, lexicon = _warehouse(spark), fixtures.lexicon(spark)
+    whole = fixtures.write_lines(fixtures.article_lines(spark, sf), "news")
+    odd = fixtures.write_lines(fixtures.damaged_lines(spark, sf), "damaged")
+    refresh(plain, lexicon, RefreshOptions(whole))
+    slow = _Interrupted(spark, plain.root, lambda: refresh(plain, lexicon, RefreshOptions(odd)))
+    try:
+        ended = refresh(slow, lexicon, RefreshOptions(whole)).new_index_name
+    except ValueError:
+        ended = "has not published"
+    plain.sweep(retain_ms=0)
+    (table,) = plain.tables()
+    named = plain.read(table).groupBy(F.lit(table).alias("name"), F.lit(ended).alias("other"))
+    return named.agg(F.count("*").alias("n"))
+
+
 def version_numbers(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("doc_id").cast("string")
     signed = F.when(F.col("doc_id") % 3 == 0, F.lit("_")).when(F.col("doc_id") % 3 == 1, F.lit("_+"))
@@ -400,6 +435,23 @@ def snapshot_restore_subset(spark: SparkSession, sf: str) -> DataFrame:
     return restored.scan().select("link", "sentiment_polarity")
 
 
+def snapshot_of_appended(spark: SparkSession, sf: str) -> DataFrame:
+    """Restored from the second of two snapshots, which shares what had not changed."""
+    half = fixtures.article_lines(spark, sf).where("doc_id % 2 = 0")
+    warehouse, repository = _published(spark, sf, lambda *_: half), scratch_folder(spark, "snapshots")
+    take_snapshot(warehouse, repository, "half")
+    _follow(warehouse, spark, fixtures.article_lines(spark, sf).where("doc_id % 2 = 1"))
+    take_snapshot(warehouse, repository, "whole")
+    restored = _warehouse(spark)
+    restore_snapshot(restored, repository, "whole")
+    return restored.scan().select(*RAW_FIELDS, "sentiment_polarity")
+
+
+def match_link_published(spark: SparkSession, sf: str) -> DataFrame:
+    found = ask.matching(_published(spark, sf), "doc://17", "link")
+    return found.select("link", "category")
+
+
 # -- streams ------------------------------------------------------------------------------
 
 
@@ -438,6 +490,45 @@ def stream_search_appended(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select(F.round("score", 5).alias("score"))
 
 
+def stream_scan_during_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """What is seen of a batch that is written and not committed yet, and afterwards."""
+    half = fixtures.article_lines(spark, sf).where("doc_id % 2 = 0")
+    plain = _published(spark, sf, lambda *_: half)
+    during = []
+    watched = _Interrupted(spark, plain.root, before_commit=lambda: during.append(plain.scan()))
+    _follow(watched, spark, fixtures.article_lines(spark, sf).where("doc_id % 2 = 1"))
+    before, after = during[0].select(F.lit("during").alias("moment"), "link"), plain.scan()
+    return before.unionByName(after.select(F.lit("after").alias("moment"), "link"))
+
+
+def _merged(spark: SparkSession, sf: str) -> Warehouse:
+    """A third of the articles by refresh, two thirds followed in four batches; merged."""
+    lines = fixtures.article_lines(spark, sf)
+    warehouse = _published(spark, sf, lambda *_: lines.where("doc_id % 6 < 2"), term_tables=True)
+    for k in range(2, 6):
+        _follow(warehouse, spark, lines.where(F.col("doc_id") % 6 == k))
+    if len(warehouse.compact()) != 5:
+        raise ValueError("the parts have not been merged")
+    warehouse.sweep(retain_ms=0)
+    return warehouse
+
+
+def merged_table_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return _merged(spark, sf).scan().select(*RAW_FIELDS, "sentiment_polarity")
+
+
+def merged_search(spark: SparkSession, sf: str) -> DataFrame:
+    warehouse = _merged(spark, sf)
+    if not warehouse.has_terms(warehouse.published()):
+        raise ValueError("the term tables have not been merged")
+    hits = _shown(ask.fulltext_search(warehouse, THREE_WORDS))
+    return hits.select(F.round("score", 5).alias("score"))
+
+
+def merged_significant_words(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(ask.significant_words(_merged(spark, sf), WORD))
+
+
 def stream_periodic_refresh(spark: SparkSession, sf: str) -> DataFrame:
     warehouse = _warehouse(spark)
     source = fixtures.write_lines(fixtures.article_lines(spark, sf), "news")
@@ -513,6 +604,13 @@ QUERIES: dict[str, Query] = {
     "run_summary": run_summary,
     "refresh_after_rollback": refresh_after_rollback,
     "version_numbers": version_numbers,
+    "refresh_concurrent": refresh_concurrent,
+    "match_link_published": match_link_published,
+    "merged_table_scan": merged_table_scan,
+    "merged_search": merged_search,
+    "merged_significant_words": merged_significant_words,
+    "snapshot_of_appended": snapshot_of_appended,
+    "stream_scan_during_batch": stream_scan_during_batch,
     "snapshot_roundtrip": snapshot_roundtrip,
     "snapshot_restore_subset": snapshot_restore_subset,
     "stream_follow_files": stream_follow_files,

@@ -261,6 +261,16 @@ SELECT {_RAW}, CAST(CAST(date AS TIMESTAMP) AS VARCHAR) AS moment, sentiment_sco
     "refresh_after_rollback": f"""SELECT 'articles_1' AS name, FALSE AS published, count(*) AS n FROM documents
 UNION ALL SELECT 'articles_2', FALSE, count(*) FROM documents WHERE {_KEPT}
 UNION ALL SELECT 'articles_3', TRUE, count(*) FROM documents WHERE {_KEPT}""",
+    "refresh_concurrent": f"""SELECT 'articles_3' AS name, 'has not published' AS other, count(*) AS n
+FROM documents WHERE {_KEPT}""",
+    "match_link_published": f"WITH {_ARTICLES} SELECT link, category FROM articles WHERE link = 'doc://17'",
+    "merged_table_scan": f"WITH {_SENTIMENT} SELECT {_RAW}, sentiment_polarity FROM enriched",
+    "merged_search": f"""WITH {_bm25(["the", "erst", "en"], {"headline": 2, "authors": 1, "short_description": 1})}
+SELECT round(score, 5) AS score FROM ranked""",
+    "merged_significant_words": _significant("short_description", ["erst"], 15),
+    "snapshot_of_appended": f"WITH {_SENTIMENT} SELECT {_RAW}, sentiment_polarity FROM enriched",
+    "stream_scan_during_batch": """SELECT 'during' AS moment, 'doc://' || doc_id AS link FROM documents WHERE doc_id % 2 = 0
+UNION ALL SELECT 'after', 'doc://' || doc_id FROM documents""",
     "version_numbers": """SELECT source || CASE doc_id % 3 WHEN 0 THEN '_' WHEN 1 THEN '_+' ELSE '_v' END || doc_id AS name,
   CASE WHEN doc_id % 3 < 2 THEN doc_id ELSE -1 END AS version FROM documents""",
     "snapshot_roundtrip": f"WITH {_SENTIMENT} SELECT {_RAW}, sentiment_polarity FROM enriched",

@@ -115,10 +115,12 @@ SENTIMENT = [
 ]
 
 
-@pytest.mark.parametrize("way", ["literal", "join"])
+@pytest.mark.parametrize("way", ["literal", "table", "join"])
 def test_sentiment(make_articles, lexicon, monkeypatch, way):
-    if way == "join":
+    if way != "literal":
         monkeypatch.setattr(sentiment_module, "MAX_LITERAL_WORDS", 2)
+    if way == "join":
+        monkeypatch.setattr(sentiment_module, "MAX_TABLE_WORDS", 2)
     frame = make_articles(*[{"short_description": text} for text, _, _ in SENTIMENT])
     raw = frame.drop("sentiment_score", "sentiment_polarity")
     totals = sentiment_totals(raw, lexicon, "short_description").orderBy("doc_id").collect()
@@ -171,6 +173,25 @@ def test_hot_word_by_join(spark, lexicon):
     assert found == {(4, 2): 2700, (0, 0): 300}
 
 
+def test_large_lexicon_shuffles_no_text(spark, make_articles, monkeypatch):
+    """Words of one slot, words without a slot and a word in every text."""
+    words = [(f"w{k}", k % 7 - 3) for k in range(3000)]
+    lexicon = spark.createDataFrame(words, "word string, valence int")
+    texts = [" ".join(f"w{(i * 37 + j * j) % 4000}" for j in range(i % 50)) + " w2 W2" for i in range(200)]
+    rows = make_articles(*[{"short_description": t} for t in texts])
+    monkeypatch.setattr(sentiment_module, "MAX_LITERAL_WORDS", 10)
+    found = sentiment_totals(rows, lexicon, "short_description")
+    valences = dict(words)
+    expected = []
+    for text in texts:
+        values = [valences.get(t, 0) for t in simple_tokens(text)]
+        expected.append((sum(v for v in values if v > 0), -sum(v for v in values if v < 0)))
+    assert [(r.positive, r.negative) for r in found.orderBy("doc_id").collect()] == expected
+    plan = enrich(rows.drop("sentiment_score", "sentiment_polarity"), lexicon)._jdf.queryExecution().executedPlan().toString()
+    main = plan.split("Subquery")[0]
+    assert "Exchange" not in main and "Join" not in main
+
+
 def simple_tokens(text):
     return "".join(c if c.isalnum() else " " for c in text.lower()).split()
 
