@@ -154,18 +154,19 @@ def write_term_tables(
         "length",
     )
     target.writer(rows, "field").parquet(target.place(ROW_TERMS))
-    pairs = F.arrays_zip("terms", "tfs")
-    entries = F.transform(
-        pairs,
-        lambda pair, i: F.struct(
-            pair["terms"].alias("term"),
-            pair["tfs"].alias("tf"),
-            F.col("length").alias("length"),
-            (i == 0).alias("is_first"),
-        ),
-    )
     written = target.read(ROW_TERMS)
-    _write_postings(target, written.select("field", "doc_id", F.inline(entries)), n_buckets)
+    # Not a lambda, which would be interpreted for every entry.
+    entries = written.select(
+        "field", "doc_id", "length", F.posexplode(F.arrays_zip("terms", "tfs")).alias("place", "entry")
+    ).select(
+        "field",
+        "doc_id",
+        F.col("entry.terms").alias("term"),
+        F.col("entry.tfs").alias("tf"),
+        "length",
+        (F.col("place") == 0).alias("is_first"),
+    )
+    _write_postings(target, entries, n_buckets)
     corpus = written.groupBy("field").agg(
         F.count_if(F.col("length") > 0).alias("n_docs"),
         F.sum(F.col("length").cast("bigint")).alias("n_tokens"),

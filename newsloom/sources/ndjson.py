@@ -59,19 +59,20 @@ def parse_lines(lines: DataFrame) -> DataFrame:
             F.is_valid_utf8("value") & value.rlike(rf"^{JSON_SPACE}[\[{{]"),
             F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]"))),
         ).alias("wrapped"),
-        value.rlike(LONE_SURROGATE).alias("lone"),
+        # A search for two characters first: the expression reads every line to its end.
+        (value.contains("\\u") & value.rlike(LONE_SURROGATE)).alias("lone"),
     )
     single = (
         F.try_variant_get("wrapped", "$[1]", "variant").isNull()
         & ~F.col("lone")
         & (
-            ~value.rlike(EARLY_END)
+            ~(value.contains("]") & value.rlike(EARLY_END))
             | F.try_parse_json(F.concat(F.lit('{"line":'), "value", F.lit("}"))).isNotNull()
         )
     )
     # A variant holds no object with a repeated key, nor a very long line; such lines,
     # and those with a lone surrogate somewhere, are few and read once more by field.
-    odd = is_object & F.is_valid_utf8("value") & (F.col("wrapped").isNull() | F.col("lone"))
+    odd = (F.col("wrapped").isNull() | F.col("lone")) & is_object & F.is_valid_utf8("value")
     object_type = "struct<" + ",".join(f"{name}:variant" for name in RAW_FIELDS) + ">"
     checked = wrapped.select(
         *keys,
