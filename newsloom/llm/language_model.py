@@ -46,6 +46,8 @@ NOISE = 64
 EPOCHS = 3
 #: Different tokens, or classes with context, a task holds before it sends their counts.
 HELD = 400_000
+#: Contexts whose constants are worked out in one product.
+CONSTANT_ROWS = 2048
 
 END = np.uint64(0x5851F42D4C957F2D)
 _LN10 = float(np.log(10))
@@ -420,12 +422,16 @@ class Scorer:
         for before in reversed(contexts(kinds, bounds)):
             code = code * (CLASSES + 1) + before
         new = np.unique(code[np.isnan(self.constants[code])])
-        for at in range(0, len(new), 2048):
-            part = new[at : at + 2048]
-            scores = self.predicted(part) @ self.model.targets.T + self.model.bias
+        # Always as many rows: a product of another shape may round otherwise, and a
+        # context's constant must not depend on the contexts that come with it.
+        rows = np.zeros(CONSTANT_ROWS, np.int64)
+        for at in range(0, len(new), CONSTANT_ROWS):
+            part = new[at : at + CONSTANT_ROWS]
+            rows[: len(part)] = part
+            scores = self.predicted(rows) @ self.model.targets.T + self.model.bias
             top = scores.max(axis=1)
             total = np.exp(scores - top[:, None]).sum(axis=1)
-            self.constants[part] = top + np.log(total)
+            self.constants[part] = (top + np.log(total))[: len(part)]
         scores = np.empty(len(kinds))
         for at in range(0, len(kinds), 1 << 16):  # a long text in parts
             part = slice(at, at + (1 << 16))

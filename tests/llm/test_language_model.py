@@ -155,3 +155,48 @@ def test_learners_together_learn_the_rule(make_docs, rows, monkeypatch):
     assert sum(r.score for r in held) > 0.8 * sum(r.base_score for r in held)
     again = lm.learn_and_score(make_docs(rows).repartition(5)).collect()
     assert sorted(str((r.doc_id, r.score)) for r in again) == sorted(str((r.doc_id, r.score)) for r in found)
+
+
+def small_model(seed):
+    rng = np.random.default_rng(seed)
+    vectors = rng.normal(0, 1, (lm.CLASSES + 1, lm.DIMENSION)).astype(np.float32)
+    maps = [rng.normal(0, 0.5, (lm.DIMENSION, lm.DIMENSION)).astype(np.float32) for _ in range(lm.CONTEXT)]
+    targets = rng.normal(0, 0.3, (lm.CLASSES, lm.DIMENSION)).astype(np.float32)
+    return lm.Model(None, vectors, maps, targets, rng.normal(0, 1, lm.CLASSES).astype(np.float32))
+
+
+def test_scores_do_not_depend_on_what_is_scored_with_them():
+    model, rng = small_model(4), np.random.default_rng(5)
+    texts = [rng.integers(0, lm.CLASSES, n) for n in [1, 2, 3, 700, 5, 4000, 40, 1, 9]]
+
+    def scored(order, together):
+        out, tool = {}, lm.Scorer(model)
+        for at in range(0, len(order), together):
+            some = order[at : at + together]
+            bounds = np.append(0, np.cumsum([len(texts[i]) for i in some]))
+            found = tool.log_probabilities(np.concatenate([texts[i] for i in some]), bounds)
+            out |= {i: found[a:b].tolist() for i, a, b in zip(some, bounds, bounds[1:])}
+        return out
+
+    whole = scored(list(range(9)), 9)
+    for together in (1, 2, 4):
+        assert scored(list(range(9)), together) == whole
+        assert scored(list(range(8, -1, -1)), together) == whole
+
+
+def test_scores_are_those_of_a_plain_loop():
+    model, rng = small_model(6), np.random.default_rng(7)
+    kinds = rng.integers(0, lm.CLASSES, 40)
+    found = lm.Scorer(model).log_probabilities(kinds, np.array([0, 25, 40]))
+    vectors, targets = model.vectors.astype(float), model.targets.astype(float)
+    for first, last in ((0, 25), (25, 40)):
+        for i in range(first, last):
+            predicted = [0.0] * lm.DIMENSION
+            for k in range(lm.CONTEXT):
+                before = kinds[i - 1 - k] if i - 1 - k >= first else lm.CLASSES
+                for d in range(lm.DIMENSION):
+                    predicted[d] += sum(vectors[before][e] * float(model.maps[k][e][d]) for e in range(lm.DIMENSION))
+            scores = [sum(p * t for p, t in zip(predicted, target)) + float(b) for target, b in zip(targets, model.bias)]
+            top = max(scores)
+            expected = scores[kinds[i]] - top - math.log(sum(math.exp(s - top) for s in scores))
+            assert found[i] == pytest.approx(expected, abs=1e-4)
