@@ -41,11 +41,11 @@ DIMENSION = 32
 CONTEXT = 2
 FREQUENT = 500_000
 #: Different classes with context of a learner; their counts are split into as many rows more.
-LEARNER_ROWS = 1_000_000
+LEARNER_ROWS = 500_000
 NOISE = 64
 EPOCHS = 3
 #: Different tokens, or classes with context, a task holds before it sends their counts.
-HELD = 400_000
+HELD = 200_000
 #: Contexts whose constants are worked out in one product.
 CONSTANT_ROWS = 2048
 
