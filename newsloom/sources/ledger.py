@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from newsloom.sources.catalog import CatalogTexts
 from newsloom.sources.storage import Folder
 
 #: Generations that are kept; older ones are of no use to anybody.
@@ -9,7 +10,7 @@ KEPT = 100
 
 
 class Ledger:
-    """A folder of numbered files, each the value after one change.
+    """A folder of numbered files (or texts in the catalog), each the value after one change.
 
     The next generation is created only if it does not exist, so that of two writers who
     have seen the same value one succeeds; readers take the largest.  Old generations are
@@ -17,7 +18,7 @@ class Ledger:
     than ``KEPT`` changes, and has created a number that was used before.
     """
 
-    def __init__(self, folder: Folder):
+    def __init__(self, folder: Folder | CatalogTexts):
         self._folder = folder
 
     @staticmethod

@@ -19,6 +19,7 @@ from newsloom.operators.postings import (
     write_term_tables,
 )
 from newsloom.schema import ARTICLE_SCHEMA
+from newsloom.sources.catalog import CatalogTexts
 from newsloom.sources.ledger import Ledger
 from newsloom.sources.storage import Folder
 
@@ -78,11 +79,15 @@ class Warehouse:
     written again; streams and merges add folders, which belong to the table when the
     commit log says so.  Pointer and commit log change one generation at a time: who has
     seen an old one cannot change it, so readers always see one whole state.
+
+    With ``catalog``, the name of a database, the pointer is kept in views of Spark's catalog
+    instead, for file systems that cannot create a file on the condition that there is none.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, catalog: str | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.catalog = catalog
         self._folder = Folder(spark, self.root)
 
     def table_path(self, table: str) -> str:
@@ -334,9 +339,13 @@ class Warehouse:
     # -- publishing -------------------------------------------------------------
 
     def aliases(self) -> list[str]:
+        if self.catalog is not None:
+            return CatalogTexts.names(self.spark, self.catalog)
         return self._folder.within(_POINTERS).folders()
 
     def _pointers(self, alias: str) -> Ledger:
+        if self.catalog is not None:
+            return Ledger(CatalogTexts(self.spark, self.catalog, alias))
         return Ledger(self._folder.within(f"{_POINTERS}/{alias}"))
 
     def pointer(self, alias: str = ALIAS) -> Pointer:

@@ -10,6 +10,7 @@ from newsloom.plans import ask
 from newsloom.plans.refresh import RefreshOptions, refresh
 from newsloom.plans.snapshot import restore_snapshot, take_snapshot
 from newsloom.sources import ledger as ledgers
+from newsloom.sources.catalog import CatalogTexts
 from newsloom.sources.ledger import Ledger
 from newsloom.sources.storage import Folder
 from newsloom.sources.warehouse import Warehouse
@@ -28,14 +29,47 @@ def source(tmp_path):
     return write(tmp_path / "news", "a.json", [line(i, short_description=f"the end {i}") for i in range(30)])
 
 
+@pytest.fixture()
+def database(spark, tmp_path):
+    name = f"d{tmp_path.name}".lower().replace("-", "_").replace("__", "_")[-60:]
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{tmp_path / 'database'}'")
+    yield name
+    spark.sql(f"DROP DATABASE {name} CASCADE")
+
+
+@pytest.fixture(params=["files", "catalog"])
+def either(spark, tmp_path, request):
+    """A warehouse with its pointer in files, and one with it in the catalog."""
+    catalog = request.getfixturevalue("database") if request.param == "catalog" else None
+    return Warehouse(spark, str(tmp_path / "warehouse"), catalog)
+
+
+def again(warehouse):
+    return Warehouse(warehouse.spark, warehouse.root, warehouse.catalog)
+
+
 # -- one file for each generation ---------------------------------------------------------
 
 
-@pytest.fixture()
-def ledger(spark, tmp_path):
+@pytest.fixture(params=["files", "catalog"])
+def ledger(spark, tmp_path, request):
+    if request.param == "catalog":
+        return Ledger(CatalogTexts(spark, request.getfixturevalue("database"), "ledger"))
     return Ledger(Folder(spark, str(tmp_path / "ledger")))
 
 
+def test_texts_of_the_catalog(spark, database):
+    texts = CatalogTexts(spark, database, "some_name")
+    odd = "it's a \\ \"text\"\nof é lines"
+    assert texts.read_text("a") is None and texts.create_text("a", odd) and not texts.create_text("a", "b")
+    assert texts.read_text("a") == odd and texts.files() == ["a"]
+    assert CatalogTexts.names(spark, database) == ["some_name"]
+    texts.delete("a")
+    assert not texts.exists("a")
+    with pytest.raises(ValueError, match="no name"):
+        CatalogTexts(spark, database, "x; DROP")
+
+
 def test_two_writers_of_one_generation(ledger):
     assert ledger.latest() == (0, None)
     assert ledger.append(0, "first") and not ledger.append(0, "too late")
@@ -75,9 +109,10 @@ def test_text_appears_whole_and_drafts_go(spark, tmp_path):
 # -- one winner among concurrent publishes ------------------------------------------------
 
 
-def test_of_two_refreshes_between_check_and_move_one_publishes(spark, warehouse, source, lexicon, tmp_path, monkeypatch):
+def test_of_two_refreshes_between_check_and_move_one_publishes(spark, either, source, lexicon, tmp_path, monkeypatch):
+    warehouse = either
     refresh(warehouse, lexicon, RefreshOptions(source))
-    other = Warehouse(spark, warehouse.root)
+    other = again(warehouse)
     summaries = []
     publish_after = warehouse.publish_after
 
@@ -95,12 +130,12 @@ def test_of_two_refreshes_between_check_and_move_one_publishes(spark, warehouse,
     assert Folder(spark, f"{warehouse.root}/_claims").files() == []
 
 
-def test_refreshes_at_a_time_write_different_versions(spark, warehouse, source, lexicon):
-    results = []
+def test_refreshes_at_a_time_write_different_versions(either, source, lexicon):
+    warehouse, results = either, []
 
     def run():
         try:
-            results.append(refresh(Warehouse(spark, warehouse.root), lexicon, RefreshOptions(source)).new_index_name)
+            results.append(refresh(again(warehouse), lexicon, RefreshOptions(source)).new_index_name)
         except ValueError as error:
             results.append(str(error))
 
@@ -112,7 +147,8 @@ def test_refreshes_at_a_time_write_different_versions(spark, warehouse, source,
     assert warehouse.scan().count() == 30 and set(warehouse.tables()) <= set(named)
 
 
-def test_moving_back_and_forth_is_a_change(warehouse, source, lexicon):
+def test_moving_back_and_forth_is_a_change(either, source, lexicon):
+    warehouse = either
     for _ in range(2):
         refresh(warehouse, lexicon, RefreshOptions(source, leave_old=True))
     seen = warehouse.pointer()
@@ -163,7 +199,8 @@ def test_batch_that_was_not_committed_is_written_again(spark, warehouse, source,
 # -- readers of superseded versions -------------------------------------------------------
 
 
-def test_plan_of_before_a_refresh_still_runs(warehouse, source, lexicon):
+def test_plan_of_before_a_refresh_still_runs(either, source, lexicon):
+    warehouse = either
     refresh(warehouse, lexicon, RefreshOptions(source))
     before = warehouse.scan()
     refresh(warehouse, lexicon, RefreshOptions(source, max_news=5))
@@ -173,7 +210,8 @@ def test_plan_of_before_a_refresh_still_runs(warehouse, source, lexicon):
     assert warehouse.sweep(retain_ms=0) == []
 
 
-def test_sweep_keeps_what_is_published_again_or_left(warehouse, source, lexicon):
+def test_sweep_keeps_what_is_published_again_or_left(either, source, lexicon):
+    warehouse = either
     refresh(warehouse, lexicon, RefreshOptions(source))
     refresh(warehouse, lexicon, RefreshOptions(source))
     warehouse.publish("articles_1")
@@ -182,6 +220,19 @@ def test_sweep_keeps_what_is_published_again_or_left(warehouse, source, lexicon)
     assert warehouse.sweep(retain_ms=0) == [] and warehouse.tables() == ["articles_1", "articles_2", "articles_3"]
 
 
+def test_failed_run_and_snapshots_with_either_pointer(spark, either, source, lexicon, tmp_path):
+    refresh(either, lexicon, RefreshOptions(source))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        refresh(either, lexicon, RefreshOptions(str(tmp_path / "nowhere")))
+    assert either.published() == "articles_1" and either.tables() == ["articles_1"]
+    with pytest.raises(ValueError, match="published"):
+        either.drop("articles_1")
+    take_snapshot(either, str(tmp_path / "snapshots"), "s")
+    restored = Warehouse(spark, str(tmp_path / "restored"))
+    restore_snapshot(restored, str(tmp_path / "snapshots"), "s")
+    assert restored.published() == "articles_1" and restored.scan().count() == 30
+
+
 # -- merging ------------------------------------------------------------------------------
 
 
