@@ -14,7 +14,7 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Tags whose content is no text of the page; it ends at the end tag, whatever it holds.
-RAW_TAGS = frozenset("script style title textarea noscript iframe noembed noframes xmp template svg math".split())
+RAW_TAGS = frozenset("script style title textarea noscript iframe noembed noframes xmp template svg".split())
 #: Tags that an open one of the same group ends.
 ITEMS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
          "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -30,16 +30,24 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-#: Words in a class, id or role that name boilerplate.
-BOILERPLATE = frozenset(
+#: Words of a class, id or role that name what is never the article, wherever it is.
+NEVER_ARTICLE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion "
-    "cookie cookies consent gdpr notice notices alert alerts sidebar aside complementary menu menus "
-    "nav navbar navigation breadcrumb breadcrumbs footer contentinfo masthead header topbar comment "
-    "comments commentlist reply replies respond disqus share sharing social related recommended "
-    "newsletter subscribe subscription signup login popup modal dialog overlay widget toolbar "
-    "pagination pager copyright search form".split()
+    "cookie cookies consent gdpr menu menus nav navbar navigation breadcrumb breadcrumbs footer "
+    "contentinfo comment comments commentlist reply replies respond disqus share sharing social "
+    "related recommended newsletter subscribe subscription signup login pagination pager copyright".split()
 )
-BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog search button select optgroup option fieldset legend label".split())
+#: Words that name a part beside the article, or a frame that may also hold it.
+FRAMES = frozenset(
+    "notice notices alert alerts sidebar aside complementary masthead header topbar popup modal "
+    "dialog overlay widget toolbar search form".split()
+)
+#: A name that begins so tells what an element has or lacks, not what it is.
+TELLING = frozenset("has have no not with without hide hides hidden show shows is js".split())
+#: Names of a heading's frame, which are no boilerplate inside an article.
+HEADS = frozenset(("header", "masthead"))
+BOILERPLATE_TAGS = frozenset("nav footer menu search button select optgroup option fieldset legend label".split())
+FRAME_TAGS = frozenset("aside form dialog".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
@@ -54,6 +62,7 @@ class Block:
     tag: str
     boilerplate: int  # open elements that tell of boilerplate
     article: int  # open article elements
+    frame: int = 0  # the innermost open element that does unless it holds the article
 
 
 @dataclass
@@ -62,6 +71,7 @@ class _Open:
     number: int
     boilerplate: int
     article: int
+    frame: int = 0
 
 
 @dataclass
@@ -74,6 +84,9 @@ class _Reader:
     links: int = 0
     lowest: int = 0  # least depth since the last block
     last_depth: int = 0
+    around: dict[int, int] = field(default_factory=dict)  # of each frame the one around it, or 0
+    holders: set[int] = field(default_factory=set)  # frames with an article inside
+    prose: dict[int, int] = field(default_factory=dict)  # characters of paragraphs in each frame
 
     def text(self, run: str) -> None:
         run = html.unescape(run)
@@ -89,11 +102,29 @@ class _Reader:
             parent = self.stack[max(depth - 1, 0)].number
             top = self.stack[depth]
             self.blocks.append(
-                Block(text, self.link_chars, depth, gap, parent, inner, top.boilerplate, top.article)
+                Block(text, self.link_chars, depth, gap, parent, inner, top.boilerplate, top.article, top.frame)
             )
+            if inner == "p" and not top.boilerplate:
+                self.prose[top.frame] = self.prose.get(top.frame, 0) + len(text)
             self.lowest = self.last_depth = depth
         self.runs, self.link_chars = [], 0
 
+    def frames_beside(self) -> dict[int, int]:
+        """For each frame, how many of it and those around it are beside the article: a frame
+        around the article is the page itself, and so is, on a page that marks no article,
+        one around most of the paragraphs."""
+        prose, holders = dict(self.prose), set(self.holders)
+        for frame in reversed(self.around):  # inner ones first
+            outer = self.around[frame]
+            prose[outer] = prose.get(outer, 0) + prose.get(frame, 0)
+            if frame in holders:
+                holders.add(outer)
+        beside = {0: 0}
+        for frame, outer in self.around.items():
+            is_page = frame in holders or (not holders and 2 * prose.get(frame, 0) > prose.get(0, 0))
+            beside[frame] = beside[outer] + (not is_page)
+        return beside
+
     def _block_element(self) -> tuple[str, int]:
         """Innermost open block element and its depth."""
         depth = len(self.stack) - 1
@@ -115,16 +146,24 @@ class _Reader:
         top = self.stack[-1]
         names = set()
         for match in _ATTRIBUTE.finditer(attributes):
-            value = match[2] or match[3] or match[4] or ""
-            names.update(word.lower() for word in _NAME.findall(value))
-        marked = tag in BOILERPLATE_TAGS or bool(names & BOILERPLATE)
-        marked = marked or (tag == "header" and not top.article) or bool(_HIDDEN.search(attributes))
+            for name in (match[2] or match[3] or match[4] or "").split():
+                words = [word.lower() for word in _NAME.findall(name)]
+                if words and words[0] not in TELLING:
+                    names.update(words)
+        if top.article:
+            names -= HEADS
+        marked = tag in BOILERPLATE_TAGS or bool(names & NEVER_ARTICLE) or bool(_HIDDEN.search(attributes))
+        frame = tag in FRAME_TAGS or bool(names & FRAMES) or (tag == "header" and not top.article)
         if tag in ("body", "html"):
-            marked = False
+            marked = frame = False
         self.elements += 1
-        self.stack.append(
-            _Open(tag, self.elements, top.boilerplate + marked, top.article + (tag in ARTICLE_TAGS))
-        )
+        inner = self.elements if frame else top.frame
+        if frame:
+            self.around[inner] = top.frame
+        if tag in ARTICLE_TAGS and not top.boilerplate:
+            self.holders.add(inner)
+        article = top.article + (tag in ARTICLE_TAGS)
+        self.stack.append(_Open(tag, self.elements, top.boilerplate + marked, article, inner))
         self.links += tag == "a"
 
     def _end(self, tags: set[str] | frozenset[str], scopes: frozenset[str]) -> None:
@@ -176,4 +215,7 @@ def read_blocks(page: str) -> list[Block]:
         else:
             reader.open(tag, match[3] or "")
     reader.flush()
+    beside = reader.frames_beside()
+    for block in reader.blocks:
+        block.boilerplate += beside[block.frame]
     return reader.blocks

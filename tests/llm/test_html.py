@@ -19,6 +19,40 @@ def test_article_without_boilerplate(name):
     assert html_text.main_text(PAGES[name]) == TEXT
 
 
+PARAGRAPHS = [f"Paragraph {k} of an ordinary article, with commas and so on. It has sentences, too." for k in "abcde"]
+BODY = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+SIDE = "<aside class='widget'><p>Most read. See what others like, today.</p></aside><div class='ad'>Buy it. Now.</div>"
+REMARKS = "<section class='comments-area'><ol><li><article class='comment-body'><p>I like it. A lot. Very much so, indeed.</p></article></li></ol></section>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<article class='post with-comments'>{BODY}</article>", PARAGRAPHS),
+        (f"<div class='content has-sidebar'><article>{BODY}</article></div>", PARAGRAPHS),
+        (f"<main class='no-sidebar'><article>{BODY}</article></main>", PARAGRAPHS),
+        (f"<div class='elementor-widget elementor-widget-text-editor'>{BODY}</div>", PARAGRAPHS),
+        (f"<form id='aspnetForm'><input type=hidden><div>{BODY}</div></form>", PARAGRAPHS),
+        (f"<form id='f'><main>{BODY}</main></form>", PARAGRAPHS),
+        (f"<article><div class='entry-header'><h1>The title</h1></div>{BODY}</article>", ["The title", *PARAGRAPHS]),
+        (f"<article><header class='entry-header'><h1>The title</h1></header>{BODY}</article>", ["The title", *PARAGRAPHS]),
+        ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be so. It is one.</p></article>", ["Let x=1 be so. It is one."]),
+    ],
+)
+@pytest.mark.parametrize("around", ["{}", "<body class='single has-sidebar'>{}</body>", "<div class='wrapper search-page'>{}</div>"])
+def test_articles_in_frames_of_any_name(page, text, around):
+    """Whole, and without what is beside them or below."""
+    assert html_text.main_text(around.format(page)) == "\n".join(text)
+    assert html_text.main_text(around.format(page + SIDE + REMARKS)) == "\n".join(text)
+
+
+def test_remarks_longer_than_the_article_stay_out():
+    page = f"<div class='page'><article>{BODY}</article>{REMARKS * 30}</div>"
+    assert html_text.main_text(page) == "\n".join(PARAGRAPHS)
+    page = f"<div class='sidebar'><p>{PARAGRAPHS[0]}</p></div><div class='text'>{BODY}</div>"
+    assert html_text.main_text(page) == "\n".join(PARAGRAPHS)
+
+
 def test_pages_without_an_article():
     long = "This is a paragraph of an ordinary text, with commas and so on. It has sentences."
     page = f"<div class=menu><a href=x>a</a> <a href=y>b</a></div><div><p>{long}</p><p>Short.</p><p>{long}</p></div>"
@@ -67,11 +101,13 @@ def test_smoothness_carries_a_short_block_along():
 def test_deep_and_long_pages():
     page = "<div>" * 30_000 + "x. " * 1000 + "<p>a b. <b>c" * 5_000
     assert len(html_text.main_text(page)) > 30_000
+    framed = "<div class='sidebar'>" * 30_000 + "<p>A text. It is in many frames, all around it.</p>" * 1000
+    assert html_text.main_text(framed).count("A text.") == 1000
 
 
 def test_table(spark):
     rows = [(1, "u", PAGES["tags"]), (1, "u", PAGES["tags"]), (None, None, None), (2, "v", ""), (3, "w", "<nav>x</nav>")]
-    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "'own' AS text", "1 AS n_chars")
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "'own' AS text", "1 AS n_chars", "2 AS frame", "'c' AS content", "'b' AS blocks", "'p' AS part")
     found = html_text.extract(pages)
     assert found.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in found.collect()) == sorted(
