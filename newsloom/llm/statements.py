@@ -83,39 +83,64 @@ placed AS (
 base AS (
     SELECT row_id, kind, b, b + length(m) AS e FROM placed
     WHERE kind IN (1, 2) OR kind = 0 AND length(regexp_extract(m, p, 2)) >= 6),
+encodings(number, fits, alphabet) AS (VALUES
+    (0, '^[0-9a-f]+$', '0123456789abcdef'), (1, '^[0-9A-F]+$', '0123456789ABCDEF'),
+    (2, '^[a-z]+$', 'abcdefghijklmnopqrstuvwxyz'), (3, '^[A-Z]+$', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'),
+    (4, '^[A-Za-z]+$', 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz'),
+    (5, '^[A-Z2-7]+$', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'),
+    (6, '^[0-9a-z]+$', '0123456789abcdefghijklmnopqrstuvwxyz'),
+    (7, '^[0-9A-Z]+$', '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ'),
+    (8, '^[A-Za-z0-9+/]+$', 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/'),
+    (9, '^[A-Za-z0-9_-]+$', 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_')),
+runs AS (SELECT row_id, b, m, regexp_replace(m, '=+$', '') AS bare FROM placed WHERE kind = 3),
+unfit AS (SELECT * FROM runs WHERE NOT EXISTS (SELECT 1 FROM encodings WHERE regexp_matches(bare, fits))),
+part_found AS (
+    SELECT row_id, b, regexp_extract_all(m, p) AS ms, string_split_regex(m, p) AS ps
+    FROM unfit, (VALUES ('[A-Za-z0-9+/]{20,}'), ('[A-Za-z0-9_-]{20,}'), ('[A-Za-z0-9]{20,}')) AS parts(p)
+    WHERE regexp_matches(m, p)),
+part_each AS (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM part_found),
+parts AS (
+    SELECT DISTINCT row_id, (b + list_sum(list_transform(ps[1:k], lambda x: length(x)))
+        + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0))::BIGINT AS b, ms[k] AS m
+    FROM part_each),
+candidates AS (
+    SELECT row_id, b, m, bare, 0 AS more FROM runs
+    UNION ALL SELECT row_id, b, m, regexp_replace(m, '=+$', ''), 10000 FROM parts),
 tokens AS (
-    SELECT row_id, b, b + length(m) AS e, regexp_replace(m, '=+$', '') AS bare,
-        CASE WHEN regexp_matches(bare, '^[0-9a-f]+$') THEN '0123456789abcdef'
-            WHEN regexp_matches(bare, '^[0-9A-F]+$') THEN '0123456789ABCDEF'
-            WHEN regexp_matches(bare, '^[A-Z2-7]+$') THEN 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'
-            WHEN regexp_matches(bare, '^[0-9a-z]+$') THEN '0123456789abcdefghijklmnopqrstuvwxyz'
-            WHEN regexp_matches(bare, '^[0-9A-Z]+$') THEN '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ'
-            WHEN regexp_matches(bare, '^[A-Za-z0-9+/]+$')
-                THEN 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/'
-            WHEN regexp_matches(bare, '^[A-Za-z0-9_-]+$')
-                THEN 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_' END AS alphabet
-    FROM placed WHERE kind = 3 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')),
+    SELECT row_id, b, b + length(m) AS e, bare, more, min(number) AS number, arg_min(alphabet, number) AS alphabet
+    FROM candidates JOIN encodings ON regexp_matches(bare, fits)
+    WHERE regexp_matches(m, '[A-Za-z]') AND length(bare) >= 20 GROUP BY ALL),
 sums AS (
-    SELECT row_id, b, e, length(bare)::DOUBLE AS n, length(alphabet)::DOUBLE AS k,
+    SELECT row_id, b, e, more + 100 * number AS class, length(bare)::DOUBLE AS n, length(alphabet)::DOUBLE AS k,
         list_transform(string_split(bare, ''), lambda c: instr(alphabet, c) - 1) AS v,
         list_sum(list_transform(string_split(alphabet, ''),
-            lambda c: pow(length(bare) - length(replace(bare, c, '')), 2))) AS squares
-    FROM tokens WHERE alphabet IS NOT NULL AND length(bare) >= 20),
+            lambda c: pow(length(bare) - length(replace(bare, c, '')), 2))) AS squares,
+        regexp_replace(bare, '[^A-Za-z0-9]', '', 'g') AS plain, (len(regexp_extract_all(plain, '[a-z]+'))
+            + len(regexp_extract_all(plain, '[A-Z]+')) + len(regexp_extract_all(plain, '[0-9]+')) - 1)::DOUBLE AS changes,
+        (length(plain) - 1)::DOUBLE AS neighbours,
+        CASE WHEN regexp_matches(plain, '[a-z]') AND regexp_matches(plain, '[A-Z]') THEN 0.3 ELSE 0.1 END::DOUBLE AS rate
+    FROM tokens),
 scores AS (
-    SELECT row_id, b, e, n, (k / n * squares - n - (k - 1)) / sqrt(2 * (k - 1) * (n - 1) / n) AS z_chi,
+    SELECT row_id, b, e, class, n, (k / n * squares - n - (k - 1)) / sqrt(2 * (k - 1) * (n - 1) / n) AS z_chi,
         (list_sum(list_transform(range(1, n::BIGINT), lambda i: ((v[i] >= k / 2) <> (v[i + 1] >= k / 2))::INT))
             - (n - 1) / 2) / (sqrt(n - 1) / 2) AS z_runs,
         list_sum(list_transform(range(1, n::BIGINT), lambda i: (v[i] - (k - 1) / 2) * (v[i + 1] - (k - 1) / 2)))
             / ((k * k - 1) / 12 * sqrt(n - 1)) AS z_serial,
-        (squares - n) / 2 AS pairs, greatest(0.06::DOUBLE, 2 / k) * n * (n - 1) / 2 AS expected
+        (squares - n) / 2 AS pairs, greatest(0.06::DOUBLE, 2 / k) * n * (n - 1) / 2 AS expected,
+        changes, neighbours, rate, neighbours - changes AS kept
     FROM sums),
-binned AS (
-    SELECT row_id, b, e, floor(2 * log2(n))::INT AS length_class,
-        CASE WHEN abs(z_chi) <= 3.29 AND abs(z_runs) <= 3.29 AND abs(z_serial) <= 3.29 AND pairs < expected
-            THEN least(floor(-4 * (pairs - expected
-                - CASE WHEN pairs > 0 THEN pairs * ln(pairs / expected) ELSE 0 END)), 400)::INT
-            ELSE 0 END AS bin
+evidences AS (
+    SELECT row_id, b, e, class, n, abs(z_chi) <= 3.29 AND abs(z_runs) <= 3.29 AND abs(z_serial) <= 3.29 AS random,
+        CASE WHEN pairs >= expected THEN 0
+            ELSE expected - pairs + CASE WHEN pairs > 0 THEN pairs * ln(pairs / expected) ELSE 0 END END
+        + CASE WHEN changes <= rate * neighbours THEN 0
+            ELSE changes * ln(changes / (neighbours * rate))
+                + CASE WHEN kept > 0 THEN kept * ln(kept / (neighbours * (1 - rate))) ELSE 0 END END AS evidence
     FROM scores),
+binned AS (
+    SELECT row_id, b, e, (floor(2 * log2(n)) + class)::INT AS length_class,
+        CASE WHEN random THEN least(floor(4 * (evidence - ln(1 + evidence))), 400)::INT ELSE 0 END AS bin
+    FROM evidences),
 ranked AS (
     SELECT length_class, bin, sum(count(*)) OVER (PARTITION BY length_class ORDER BY bin DESC) AS rank,
         sum(count(*)) OVER (PARTITION BY length_class) AS all_of
@@ -123,10 +148,14 @@ ranked AS (
 cuts AS (
     SELECT length_class, min(bin) AS cut FROM ranked
     WHERE bin > 0 AND exp(-bin / 4) <= rank * 0.01 / all_of GROUP BY length_class),
-added AS (
-    SELECT row_id, 3 AS kind, b, e FROM binned JOIN cuts USING (length_class)
+passed AS (
+    SELECT row_id, b, e FROM binned JOIN cuts USING (length_class)
     WHERE bin >= cut AND NOT EXISTS (
         SELECT 1 FROM base WHERE base.row_id = binned.row_id AND base.b < binned.e AND binned.b < base.e)),
+added AS (
+    SELECT row_id, 3 AS kind, b, e FROM passed x WHERE NOT EXISTS (
+        SELECT 1 FROM passed y
+        WHERE y.row_id = x.row_id AND y.b <= x.b AND x.e <= y.e AND y.e - y.b > x.e - x.b)),
 spans AS (
     SELECT *, ['assign', 'access', 'hex', 'random'][kind + 1] || ':' || b || ':' || e AS s
     FROM (FROM base UNION ALL FROM added)),

@@ -159,3 +159,60 @@ def test_odd_tables(no_docs):
 def test_only_native_functions(make_docs):
     plan = secrets.scan(make_docs([(1, "x")]))._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|MapIn|Cartesian", plan)
+
+
+WORDS_OF_NAMES = (
+    "the of international standard config module request handler user account default value index table "
+    "number process state update north river garden"
+).split()
+
+
+def ordinary(rnd, n):
+    """A name or path of words, in several ways of writing, some with numbers."""
+    between, upper, out = rnd.choice(["", "_", "-", "/"]), rnd.random() < 0.3, ""
+    while len(out) < n:
+        word = rnd.choice(WORDS_OF_NAMES)
+        out += (word.capitalize() if upper else word) + (str(rnd.randrange(2030)) if rnd.random() < 0.15 else "") + between
+    return out[:n]
+
+
+def test_tokens_of_every_encoding_and_length(make_docs):
+    """A hundred of each among two thousand ordinary ones of the same length."""
+    rnd = random.Random(5)
+    letters, digits = string.ascii_letters, string.digits
+    least = {  # of 100 tokens of 20, 24, 32, 40 and 64 characters
+        "base62": (letters + digits, (40, 75, 95, 95, 98)), "base36": (digits + string.ascii_lowercase, (30, 50, 80, 90, 98)),
+        "base32": (string.ascii_uppercase + "234567", (10, 20, 60, 85, 98)), "letters": (letters, (5, 20, 90, 93, 98)),
+        "base64": (letters + digits + "+/", (40, 65, 95, 95, 98)), "glued": (letters + digits, (50, 80, 95, 95, 98)),
+    }
+    rows, truth = [], {}
+    for place, n in enumerate((20, 24, 32, 40, 64)):
+        for name, (alphabet, _) in least.items():
+            before = "AWS_ACCESS_ID=" if name == "glued" else "see "
+            for _ in range(100):
+                truth[len(rows)] = (name, place, len(before), len(before) + n)
+                rows.append((len(rows), f"{before}{key(rnd, n, alphabet)} here"))
+        rows += [(len(rows) + k, f"see {ordinary(rnd, n)} here") for k in range(2000)]
+    found, wrong = {}, 0
+    for row in secrets.scan(make_docs(rows)).collect():
+        spans = [tuple(map(int, s.split(":")[1:])) for s in row.spans.split(",") if s]
+        if row.doc_id not in truth:
+            wrong += bool(spans)
+            continue
+        name, place, begin, end = truth[row.doc_id]
+        found[name, place] = found.get((name, place), 0) + any(a <= begin and end <= b for a, b in spans)
+    for name, (_, bounds) in least.items():
+        counts = [found[name, place] for place in range(5)]
+        assert all(c >= b for c, b in zip(counts, bounds)), (name, counts)
+    assert wrong <= 0.02 * sum(found.values())
+
+
+def test_scan_and_redaction_agree_on_parts(make_docs):
+    rnd = random.Random(3)
+    rows = [(k, f"{sentence(k, 5)} AWS_ACCESS_ID={key(rnd, 48, string.ascii_letters + string.digits)} a-b/c {sentence(k, 5)}") for k in range(60)]
+    spans = {r.doc_id: r.spans for r in secrets.scan(make_docs(rows)).collect()}
+    left = {r.doc_id: r.text for r in secrets.redact(make_docs(rows)).collect()}
+    for k, text in rows:
+        (one,) = spans[k].split(",")
+        _, begin, end = one.split(":")
+        assert left[k] == f"{text[: int(begin)]}<secret>{text[int(end) :]}"
