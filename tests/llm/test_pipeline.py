@@ -24,7 +24,11 @@ CONTRACT = {
     8: "doc_id n_bytes n_removed n_spans kept_sha256",
     9: "doc_id n_assign n_access n_hex base_sha256 spans",
     10: "doc_id held_out score predicted",
+    11: "word form root n n_near form_n",
+    12: "doc_id n_email n_ip n_card n_phone base_sha256 spans",
+    13: "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
 }
+LONGS = "n_words n_hit n_items n_tokens n_bytes n_removed n_spans n n_near form_n n_email n_card n_runs start period".split()
 
 
 def test_every_operator_and_the_pipeline_are_registered():
@@ -39,6 +43,10 @@ def test_query_returns_the_columns_of_its_contract(spark, name):
     rows = queries.QUERIES[name](spark, SMALL)
     wanted = CONTRACT[int(name[2:].split("_")[0])].split()
     assert set(wanted) <= set(rows.columns)
+    assert all(kind == "bigint" for column, kind in rows.dtypes if column in LONGS)
+    if "word" in wanted:  # one row for each word
+        assert rows.count() == rows.select("word").distinct().count() > 1000
+        return
     table = "pages" if "html" in name else "documents"
     assert rows.count() == read_table(spark, SMALL, table).count()
 
