@@ -1,4 +1,12 @@
-"""The corpus pipeline: documents through the operators, stage by stage."""
+"""The corpus pipeline: documents through the operators, stage by stage.
+
+Defined results, for every stage: rows without an id are judged like others; repeated rows
+are judged alike, and of equal texts near duplicates keep one row; a NULL or empty text fails
+the quality rules, and would pass the other stages (near duplicates keep one of them);
+texts are taken whole, however long; an empty table gives an empty one, and without labels
+or benchmark items the stages that need them reject nothing by them.  Further columns are
+kept up to the last stage, whatever their names; that one returns its own columns.
+"""
 
 from __future__ import annotations
 
