@@ -7,6 +7,8 @@ has no repeats, and a context met twice repeats whole.  Only where a bucket has
 contexts, one copy of each is fetched, and their suffixes are sorted by ``suffixes``, in
 blocks of ``BLOCK_BYTES`` at most.  A bucket with more than ``CONTEXTS`` of them (a passage
 in many surroundings) is cut into finer ones, down to single windows, and settled likewise.
+Rows of a context that is met very often stay where they are: such contexts are few, and are
+broadcast.
 
 Counting uses 128 bits of hashes for equality of contexts; sorted windows are compared
 byte for byte.  Nothing is collected; the text is shuffled by row for fetching contexts and
@@ -37,6 +39,10 @@ LENGTH = 400
 GROUPS = (128, 16, 2, 1)
 CONTEXTS = 1_024
 BLOCK_BYTES = 1 << 18
+#: Contexts met more than HOT_ROWS times, and more often than one row in HOT_CONTEXTS is, are
+#: broadcast: fewer than HOT_CONTEXTS.
+HOT_ROWS = 4_096
+HOT_CONTEXTS = 10_000
 SEGMENT = 1 << 20
 STEP_BYTES = 1 << 18
 
@@ -99,6 +105,16 @@ def _spans(rows: DataFrame, length: int) -> DataFrame:
     return rows.select(*ROW, F.col("first").alias("begin"), (F.col("last") + length).alias("end"))
 
 
+def _repeated(rows: DataFrame, contexts: DataFrame) -> DataFrame:
+    """The rows whose context is met more than once, by its ``n`` in ``contexts``."""
+    total = contexts.agg(F.sum("n").alias("n")).first().n or 0
+    hot = F.col("n") > max(HOT_ROWS, total // HOT_CONTEXTS)
+    often = F.broadcast(contexts.where(hot).select(*BUCKET))
+    twice = contexts.where((F.col("n") > 1) & ~hot).select(*BUCKET)
+    others = rows.join(often, BUCKET, "left_anti").join(twice, BUCKET, "left_semi")
+    return rows.join(often, BUCKET, "left_semi").unionByName(others)
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(k1, k2, begin, end): bytes of the rows of ``docs`` (keyed) covered by repeats; the
     spans may overlap."""
@@ -113,8 +129,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     contexts = common.stored(
         rows.groupBy(*BUCKET).agg(F.count("*").alias("n"), one), "different-contexts"
     )
-    whole = rows.join(contexts.where("n > 1").select(*BUCKET), BUCKET, "left_semi")
-    spans = _spans(whole, length)
+    spans = _spans(_repeated(rows, contexts), length)
 
     several = contexts.groupBy("core").agg(F.count("*").alias("contexts")).where("contexts > 1")
     several = common.stored(several, "several")
@@ -137,12 +152,15 @@ def _settled(rows: DataFrame, length: int, groups: tuple[int, ...]) -> DataFrame
     if not groups or crowded.isEmpty():
         return spans
     finer = common.stored(_cut(crowded, length, groups[0]), "finer")
-    counts = finer.groupBy(*BUCKET).agg(F.sum("n").alias("all"))
-    several = counts.groupBy("core").agg(F.count("*").alias("contexts"))
-    known = finer.join(counts, BUCKET).join(several, "core")
-    spans = spans.unionByName(_spans(known.where((F.col("all") > 1) & (F.col("n") == 1)), length))
-    rest = known.where("contexts > 1").drop("n").withColumnRenamed("all", "n")
-    rest = common.stored(rest.dropDuplicates(BUCKET).select(*rows.columns), "crowded")
+    one = F.first(F.struct(*ROW, "first", "last", "anchor", "part")).alias("one")
+    contexts = finer.groupBy(*BUCKET).agg(F.sum("n").alias("n"), one)
+    contexts = common.stored(contexts, "finer-contexts")
+    # Rows that stand for several are spans already.
+    spans = spans.unionByName(_spans(_repeated(finer.where("n = 1"), contexts), length))
+    several = contexts.groupBy("core").agg(F.count("*").alias("contexts")).where("contexts > 1")
+    several = common.stored(several, "finer-several")
+    rest = contexts.join(several, "core").select(*BUCKET, "n", "contexts", "one.*")
+    rest = common.stored(rest.select(*rows.columns), "crowded")
     return spans.unionByName(_settled(rest, length, groups[1:]))
 
 

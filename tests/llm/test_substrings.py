@@ -53,6 +53,25 @@ def test_like_all_strings(make_docs, rows, monkeypatch, length, contexts):
     assert found(make_docs(rows, clashing=True), length) == by_hand(rows, length)
 
 
+def test_a_passage_in_very_many_texts(make_docs, monkeypatch):
+    """With the limits as they are, and with most contexts joined as very frequent ones."""
+    passage = sentence(78, 80)[:520]
+    many = substrings.CONTEXTS + 200
+    rows = [(k, f"{sentence(k, 8)} {passage} {sentence(k + many, 8)}") for k in range(many)]
+    rows += [(many + k, rows[k % 2][1]) for k in range(40)]
+    expected = by_hand(rows, substrings.LENGTH)
+    assert found(make_docs(rows), substrings.LENGTH) == expected
+    monkeypatch.setattr(substrings, "HOT_ROWS", 30)
+    assert found(make_docs(rows), substrings.LENGTH) == expected
+
+
+@pytest.mark.parametrize("hot", [1, 2])
+def test_frequent_contexts_are_found_like_others(make_docs, rows, monkeypatch, hot):
+    monkeypatch.setattr(substrings, "CONTEXTS", 2)
+    monkeypatch.setattr(substrings, "HOT_ROWS", hot)
+    assert found(make_docs(rows), 100) == by_hand(rows, 100)
+
+
 def test_long_texts_are_read_in_segments(make_docs, monkeypatch):
     monkeypatch.setattr(substrings, "SEGMENT", 3_000)
     text = sentence(1, 3_000)
