@@ -1,14 +1,15 @@
 """Benchmark decontamination: a prefix-filtered join of benchmark windows with documents.
 
 A window is ``WINDOW`` consecutive words of an item, or all words of a shorter item.  Its
-shingles are put in order of rarity among the documents.  A document that contains the
-window contains every shingle of it, so its necessary prefix is the rarest one: only
-occurrences of that shingle, with room for the window before and behind it, are verified,
-word by word, over the window's whole length.
+shingles are put in order of rarity among the documents, which one pass over them counts.  A
+document that contains the window contains every shingle of it, so its necessary prefix is
+the rarest one: a second pass joins only these with the documents, and where one occurs
+with room for the window before and behind it, the words around it are compared with the
+whole window.
 
-Only DataFrame functions are used.  Every document word meets the benchmark's shingles
-once; what matches is small and holds no text.  The benchmark's tables are broadcast if
-they have at most ``MAX_BROADCAST`` rows, and joined by shuffle if they have more.
+Only DataFrame functions are used.  Nothing but counts and verified windows leaves a task.
+The benchmark's tables are broadcast if they have at most ``MAX_BROADCAST`` rows (with their
+lists of ids), and joined by shuffle if they have more.
 
 Defined results: NULL, empty and wordless texts have no words, hits or items; items
 without words have no windows; repeated items count once by their id, repeated documents
@@ -28,6 +29,8 @@ SHINGLE = 3
 MAX_BROADCAST = 500_000
 #: Files of the tables that follow from the benchmark.
 BENCHMARK_FILES = 16
+#: Words of a document that are taken apart at a time; each block sees the windows around it.
+BLOCK = 1_024
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -48,13 +51,6 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_hash": F.xxhash64("text"), "_check": F.hash("text")})
 
 
-def _shingle_columns(width: int) -> list[Column]:
-    """Hash of a shingle of ``width`` words a, b, c, and the words themselves."""
-    names = ["a", "b", "c"][:width]
-    rest = [F.lit("").alias(n) for n in ["a", "b", "c"][width:]]
-    return [F.xxhash64(F.lit(width), *names).alias("h"), *[F.col(n) for n in names], *rest]
-
-
 def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(window, size, items): the words of each different window and the ids of its items."""
     cut = items.select("item_id", words("text").alias("w")).where(F.size("w") > 0)
@@ -74,49 +70,57 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _window_shingles(windows: DataFrame, shingle: int) -> DataFrame:
-    """(wid, size, items, k, offset, h, a, b, c): the shingles of each window."""
+    """(wid, window, size, items, k, offset, h): the shingles of each window, as hashes."""
     k = F.least("size", F.lit(shingle))
     rows = windows.withColumns({"wid": F.xxhash64("window"), "k": k}).select(
         "wid", "window", "size", "items", "k",
         F.explode(F.sequence(F.lit(0), F.col("size") - F.col("k"))).alias("offset"),
     )
-    rows = rows.withColumns(
-        {n: F.get("window", F.col("offset") + i) for i, n in enumerate(["a", "b", "c"])}
-    )
-    hashed = F.when(F.col("k") == 1, F.xxhash64(F.lit(1), "a"))
-    hashed = hashed.when(F.col("k") == 2, F.xxhash64(F.lit(2), "a", "b"))
-    hashed = hashed.otherwise(F.xxhash64(F.lit(3), "a", "b", "c"))
-    return rows.withColumns(
-        {
-            "h": hashed,
-            "b": F.when(F.col("k") > 1, F.col("b")).otherwise(""),
-            "c": F.when(F.col("k") > 2, F.col("c")).otherwise(""),
-        }
-    )
+    hashed = F.lit(None).cast("long")
+    for width in range(1, shingle + 1):
+        each = [F.get("window", F.col("offset") + i) for i in range(width)]
+        hashed = F.when(F.col("k") == width, F.xxhash64(F.lit(width), *each)).otherwise(hashed)
+    return rows.withColumn("h", hashed)
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MAX_BROADCAST else df
 
 
-def _occurrences(docs: DataFrame, shingles: DataFrame, n: int, widths: list[int]) -> DataFrame:
-    """(key, k, pos, n_words, sid): where shingles of the benchmark are in documents."""
-    found = None
+def _shingles(docs: DataFrame, width: int, window: int) -> DataFrame:
+    """(key, n_words, pos, h, near): the shingles of ``width`` words of all documents, and the
+    words up to a window before and behind; these are only made where they are used."""
     cut = _keyed(docs.select("text")).select(*KEY, words("text").alias("w"))
     n_words = F.size("w")
+    begins = F.sequence(F.lit(0), F.greatest(n_words - 1, F.lit(0)), F.lit(BLOCK))
+    cut = cut.select(*KEY, "w", n_words.alias("n_words"), F.explode(begins).alias("begin"))
+    base = F.greatest(F.col("begin") - (window - 1), F.lit(0))
+    part = F.slice("w", base + 1, F.lit(BLOCK + 2 * (window - 1)))
+    cut = cut.select(*KEY, "n_words", "begin", base.alias("base"), part.alias("part"))
+    names = [f"w{i}" for i in range(width)]
+    inside = F.col("begin") - F.col("base") + 1
+    shifted = [F.slice("part", inside + i, F.lit(BLOCK)).alias(x) for i, x in enumerate(names)]
+    each = cut.select("*", F.posexplode(F.arrays_zip(*shifted)).alias("at", "z"))
+    each = each.where(F.col(f"z.{names[-1]}").isNotNull())
+    pos = F.col("begin") + F.col("at")
+    near = F.slice("part", _near(pos, window) - F.col("base") + 1, F.lit(2 * window - 1))
+    h = F.xxhash64(F.lit(width), *[F.col(f"z.{x}") for x in names])
+    return each.select(*KEY, "n_words", pos.alias("pos"), h.alias("h"), near.alias("near"))
+
+
+def _near(pos: Column, window: int) -> Column:
+    return F.greatest(pos - (window - 1), F.lit(0))
+
+
+def _counts(docs: DataFrame, parts: DataFrame, widths: list[int], window: int) -> DataFrame:
+    """(h, n): how often the shingles of the benchmark occur in the documents."""
+    known = parts.select("k", "h").distinct()
+    n, found = known.count(), None
     for width in widths:
-        names = ["a", "b", "c"][:width]
-        shifted = [F.slice("w", i + 1, F.greatest(n_words, F.lit(1))).alias(x) for i, x in enumerate(names)]
-        each = cut.select(
-            *KEY, n_words.alias("n_words"), F.posexplode(F.arrays_zip(*shifted)).alias("pos", "z")
-        )
-        each = each.select(*KEY, "n_words", "pos", *[F.col(f"z.{x}").alias(x) for x in names])
-        each = each.where(F.col(names[-1]).isNotNull())
-        each = each.select(*KEY, "n_words", "pos", *_shingle_columns(width))
-        known = _small(shingles.where(F.col("k") == width), n)
-        rows = each.join(known, ["h", "a", "b", "c"]).select(*KEY, "k", "pos", "n_words", "sid")
+        mine = _small(known.where(F.col("k") == width).select("h"), n)
+        rows = _shingles(docs, width, window).select("h").join(mine, "h")
         found = rows if found is None else found.unionByName(rows)
-    return found.distinct()
+    return found.groupBy("h").agg(F.count("*").alias("n"))
 
 
 def _hits(docs: DataFrame, items: DataFrame, window: int, shingle: int) -> DataFrame | None:
@@ -124,51 +128,37 @@ def _hits(docs: DataFrame, items: DataFrame, window: int, shingle: int) -> DataF
     # Of the size of the benchmark: few files.
     parts = _window_shingles(benchmark_windows(items, window), shingle)
     parts = stored(parts.coalesce(BENCHMARK_FILES), "windows")
-    # Equal shingles of several windows are one, numbered by its hash and words.
-    sid = F.xxhash64("k", "a", "b", "c")
-    parts = parts.withColumn("sid", sid)
-    shingles = parts.select("k", "h", "a", "b", "c", "sid").distinct()
-    n = shingles.count()
-    widths = sorted(r.k for r in shingles.select("k").distinct().collect())  # at most three
+    widths = sorted(r.k for r in parts.select("k").distinct().collect())  # at most three
     if not widths:
         return None
-    found = stored(_occurrences(docs, shingles, n, widths), "occurrences")
+    counts = stored(_counts(docs, parts, widths, window), "counts")
 
     # The rarest shingle of each window; a window with one that never occurs is gone.
-    counts = found.groupBy("sid").agg(F.count("*").alias("n"))
-    ranked = parts.join(counts, "sid", "left").groupBy("wid", "size", "k", "items", "window").agg(
-        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "sid", "offset")).alias("rarest"),
-        F.sort_array(F.collect_list(F.struct("offset", "sid"))).alias("all"),
+    often = F.coalesce("n", F.lit(0)).alias("n")
+    ranked = parts.join(counts, "h", "left").groupBy("wid", "size", "k", "items", "window").agg(
+        F.min(F.struct(often, "h", "offset")).alias("rarest")
     )
     probes = ranked.where("rarest.n > 0").select(
-        F.col("rarest.sid").alias("sid"),
-        F.struct(
-            F.col("rarest.offset").alias("offset"), "size", "items", F.col("all.sid").alias("sids")
-        ).alias("probe"),
+        "k", "rarest.h", F.struct("rarest.offset", "size", "items", "window").alias("probe")
     )
     # One row a shingle, so that the join multiplies no rows.
-    probes = probes.groupBy("sid").agg(F.collect_list("probe").alias("probes"))
+    probes = probes.groupBy("k", "h").agg(F.collect_list("probe").alias("probes"))
     probes = stored(probes.coalesce(BENCHMARK_FILES), "probes")
-    near = Window.partitionBy(*KEY, "k").orderBy("pos").rangeBetween(-(window - 1), window - 1)
-    around = F.collect_list(F.struct("pos", "sid")).over(near)
-    rows = (
-        found.join(_small(probes, n), "sid", "left")
-        .withColumn("around", around)
-        .where(F.col("probes").isNotNull())
-        .select(*KEY, "pos", "n_words", "around", F.explode("probes").alias("p"))
-        .withColumn("start", F.col("pos") - F.col("p.offset"))
-        # Bounds of place and length: the window must fit into the document.
-        .where((F.col("start") >= 0) & (F.col("start") + F.col("p.size") <= F.col("n_words")))
-    )
-    inside = F.filter(
-        "around",
-        lambda x: (x["pos"] >= F.col("start"))
-        & (x["pos"] < F.col("start") + F.size("p.sids")),
-    )
-    same = F.transform(inside, lambda x: x["sid"]) == F.col("p.sids")
-    return rows.where(same).select(
-        *KEY, "start", F.col("p.size").alias("size"), F.col("p.items").alias("items")
-    )
+    ids = F.aggregate("probes", F.lit(0), lambda n, p: n + F.size(p["items"]))
+    n, found = probes.agg(F.sum(ids).alias("n")).first().n or 0, None
+    for width in widths:
+        mine = _small(probes.where(F.col("k") == width).select("h", "probes"), n)
+        rows = _shingles(docs, width, window).join(mine, "h")
+        rows = rows.select(*KEY, "n_words", "pos", "near", F.explode("probes").alias("p"))
+        found = rows if found is None else found.unionByName(rows)
+    size, start = F.col("p.size"), F.col("pos") - F.col("p.offset")
+    # Bounds of place and length: the window must fit into the document.
+    fits = (start >= 0) & (start + size <= F.col("n_words"))
+    begin = F.greatest(start - _near(F.col("pos"), window), F.lit(0))
+    same = F.slice("near", begin + 1, size) == F.col("p.window")
+    found = found.where(fits & same)
+    # Copies of a text have the same windows.
+    return found.select(*KEY, start.alias("start"), size.alias("size"), "p.items").distinct()
 
 
 def _per_text(hits: DataFrame) -> DataFrame:

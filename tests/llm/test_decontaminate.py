@@ -68,6 +68,29 @@ def test_large_benchmarks_are_joined_by_shuffle(spark, make_docs, cases, monkeyp
     assert sorted(map(str, decontaminate.judge(docs, table).collect())) == expected
 
 
+@pytest.mark.parametrize("block", [1, 7])
+def test_windows_across_blocks(spark, make_docs, cases, monkeypatch, block):
+    rows, items = cases
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    monkeypatch.setattr(decontaminate, "BLOCK", block)
+    got = decontaminate.judge(make_docs(rows), table).collect()
+    found = sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got)
+    assert found == sorted((str(i), *by_hand(t, items)) for i, t in rows)
+
+
+def test_only_the_rarest_shingles_are_joined(spark, make_docs):
+    """A window is looked for by one shingle, the one that documents hold least often."""
+    item = "of the one and of the two and of the"
+    docs = make_docs([(1, item), (2, "of the sea and of the sky"), (3, "and of the end")])
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    parts = decontaminate._window_shingles(decontaminate.benchmark_windows(items), 3)
+    counts = {r.h: r.n for r in decontaminate._counts(docs, parts, [3], 10).collect()}
+    n = {r.offset: counts[r.h] for r in parts.collect()}
+    assert [n[k] for k in range(8)] == [1, 1, 1, 4, 1, 1, 1, 4]
+    (hit,) = decontaminate._hits(docs, items, 10, 3).collect()
+    assert (hit.start, hit.size, hit["items"]) == (0, 10, ["1"])
+
+
 def test_clean_documents_stay(spark, make_docs, cases):
     rows, items = cases
     docs = make_docs(rows, clashing=True)
