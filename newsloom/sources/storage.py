@@ -73,12 +73,21 @@ class Folder:
         return self._fs.getContentSummary(self._path(name)).getLength()
 
     def _names(self, folders: bool) -> list[str]:
-        if not self.exists(""):
-            return []
-        entries = self._fs.listStatus(self._path(""))
+        entries = self._listed()
         names = (e.getPath().getName() for e in entries if e.isDirectory() == folders)
         return sorted(name for name in names if name[0] not in "_.")
 
+    def _listed(self, attempts: int = 5) -> list:
+        """Entries of the folder; none if there is none, or if it goes while it is listed."""
+        try:
+            return list(self._fs.listStatus(self._path("")))
+        except Py4JJavaError:
+            if not self.exists(""):
+                return []
+            if attempts == 1:
+                raise
+        return self._listed(attempts - 1)  # deleted and made again meanwhile
+
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)
 

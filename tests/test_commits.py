@@ -130,6 +130,29 @@ def test_of_two_refreshes_between_check_and_move_one_publishes(spark, either, so
     assert Folder(spark, f"{warehouse.root}/_claims").files() == []
 
 
+def test_folders_are_listed_while_others_delete_them(spark, tmp_path):
+    """A run that sweeps lists the commit logs of tables that failed runs remove."""
+    folder, errors, done = Folder(spark, str(tmp_path / "log")), [], threading.Event()
+
+    def listing():
+        mine = Folder(spark, folder.root)
+        while not done.is_set():
+            try:
+                assert set(mine.files()) <= {"a", "b"}
+            except Exception as error:
+                errors.append(error)
+
+    threads = [threading.Thread(target=listing) for _ in range(2)]
+    [t.start() for t in threads]
+    for _ in range(60):
+        folder.create_text("a", "1")
+        folder.create_text("b", "2")
+        folder.delete("")
+    done.set()
+    [t.join() for t in threads]
+    assert not errors and folder.files() == folder.folders() == []
+
+
 def test_refreshes_at_a_time_write_different_versions(either, source, lexicon):
     warehouse, results = either, []
 
