@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from newsloom.plans import ask
 from newsloom.plans.refresh import RefreshOptions, refresh
+from newsloom.plans.registry import QUERIES
 from newsloom.plans.snapshot import restore_snapshot, take_snapshot
 from newsloom.sources import ledger as ledgers
 from newsloom.sources.catalog import CatalogTexts
@@ -320,6 +321,27 @@ def test_large_parts_are_not_merged(warehouse, source, lexicon, tmp_path):
         warehouse.compact("articles_7")
 
 
+def test_large_parts_are_merged_when_the_whole_table_is(spark, warehouse, source, lexicon, tmp_path):
+    refresh(warehouse, lexicon, RefreshOptions(source, term_tables=True))
+    more = write(tmp_path / "more", "b.json", [line(100 + i) for i in range(10)])
+    follow_files(warehouse, lexicon, more, str(tmp_path / "one")).awaitTermination()
+    rows = sorted(warehouse.scan().collect())
+    least = min(Folder(spark, warehouse.table_path("articles_1")).size(part) for part in warehouse.parts("articles_1"))
+    assert warehouse.compact(small_bytes=least) == []
+    assert len(warehouse.compact(small_bytes=least, whole=True)) == 2
+    assert len(warehouse.parts("articles_1")) == 1 and warehouse.has_terms("articles_1")
+    assert sorted(warehouse.scan().collect()) == rows and len(warehouse.scan().inputFiles()) >= 2
+
+
+def test_merged_queries_do_not_depend_on_the_size_of_parts(spark, tmp_path, monkeypatch):
+    rows = [(i, f"erst the w{i % 3} en\nof in and", "en", f"src{i % 4}", 20) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        str(tmp_path / "documents.parquet")
+    )
+    monkeypatch.setattr(Warehouse.compact, "__defaults__", (None, 2000))  # every part is larger
+    assert QUERIES["merged_search"](spark, str(tmp_path)).count() == 10
+
+
 # -- snapshots ----------------------------------------------------------------------------
 
 
