@@ -367,3 +367,15 @@ def test_summary_as_frame(spark, warehouse, source, lexicon):
     row = refresh(warehouse, lexicon, RefreshOptions(source)).as_frame(spark).first()
     assert (row.total_indexed, row.new_index_name) == (40, "articles_1")
     assert row.elapsed_ms > 0
+
+
+def test_ranges_of_ids_are_cut_when_they_are_large(spark, make_articles, tmp_path, monkeypatch):
+    rows = make_articles(*[{"headline": f"w{i} {i * 7919}"} for i in range(400)]).localCheckpoint()
+    sizes = []
+    for limit, name in ((1 << 27, "articles_1"), (1000, "articles_2")):
+        monkeypatch.setattr("newsloom.sources.warehouse.SMALL_BYTES", limit)
+        warehouse = Warehouse(spark, str(tmp_path / "warehouse"))
+        warehouse.write(rows.repartition(3), name, n_partitions=4)
+        assert sorted(warehouse.read(name).collect()) == sorted(rows.collect())
+        sizes.append(len(warehouse.read(name).inputFiles()))
+    assert sizes[0] == 4 and sizes[1] > 4
