@@ -2,8 +2,9 @@
 
 A word's embedding is the sum of those of its hash and of the hashes of its first bytes,
 so that inflected forms share some of it.  Filters of several widths slide over the whole
-text, the largest response of each filter is kept, and a logistic unit scores those.  It is fitted
-on the driver by AdaGrad on a bounded sample of labelled documents.  ``calibrate`` then
+text, the largest response of each filter is kept, and a logistic unit scores those.  It is begun
+on the driver by AdaGrad on a bounded sample of labelled documents, and goes on over all
+others in ``LEARNERS`` tasks, whose changes are averaged.  A tenth of all labelled documents
 sets a threshold for each language; the language decides on a score, it is no input of one.
 
 Defined results: NULL, empty and wordless texts are one padding word and get the score of
@@ -34,11 +35,17 @@ WIDTHS = (1, 2, 3)
 PREFIXES = (4, 5)
 PARTS = 1 + len(PREFIXES)
 THRESHOLD = 0.3
-#: Bounds of the training sample: documents, and words of all of them together.
+#: Bounds of the sample that training begins with: documents, and words of them together.
 MAX_TRAINING_ROWS = 16_000
 MAX_TRAINING_WORDS = 8_000_000
 #: Documents seen in training, over all epochs (4 to 20 of them).
 VISITS = 64_000
+#: Tasks that learn from the documents outside the sample, at most, and at least how many
+#: documents each has; how many it learns from at a time, and how often in one round.
+LEARNERS, LEARNER_ROWS = 32, 512
+BLOCK_ROWS, PASSES = 256, 4
+#: Scores of documents outside the sample are counted in steps of one part in so many.
+SCORE_STEPS = 10_000
 
 _WORD = o.byte_set([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
 _PAD = max(WIDTHS) - 1
@@ -180,63 +187,77 @@ def _together(net: Network, texts: list[np.ndarray]) -> tuple[np.ndarray, np.nda
     return ids, valid, np.cumsum([len(piece[0]) for piece in pieces]).tolist()
 
 
+def epochs_for(n: int, visits: int = VISITS) -> int:
+    return min(max(-(-visits // max(n, 1)), 4), 20)
+
+
 def train(
     texts: list[np.ndarray], y: np.ndarray, visits: int = VISITS, batch: int = 32, rate: float = 0.1
 ) -> Network:
     """Fits the log-loss; the gradient goes through the place of each filter's maximum."""
-    epochs = min(max(-(-visits // max(len(texts), 1)), 4), 20)
+    epochs = epochs_for(len(texts), visits)
     net = new_network()
     if len(y) == 0 or y.min() == y.max():
         net.weights[:] = 0
         net.bias = 0.0 if len(y) == 0 else float(np.clip(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)), -7, 7))
         return net
     net.bias = float(np.log(y.mean() / (1 - y.mean())))
-    rng = np.random.default_rng(5)
-    seen: dict[str, np.ndarray | float] = {}
-
-    def step(name: str, value, gradient):
-        seen[name] = seen.get(name, 1e-3) + gradient * gradient
-        return value - rate * gradient / np.sqrt(seen[name])
-
-    seen_rows = np.full((BUCKETS, 1), 1e-3, np.float32)
-    for _ in range(epochs):
-        order = rng.permutation(len(texts))
-        for at in range(0, len(order), batch):
-            chosen = order[at : at + batch]
-            ids, valid, ends = _together(net, [texts[i] for i in chosen])
-            places, pooled = [], []
-            spans = list(zip([0, *ends], ends))
-            for z in net.responses(ids, valid):
-                top = np.stack([b + z[b:e].argmax(axis=0) for b, e in spans])
-                places.append(top)
-                pooled.append(np.take_along_axis(z, top, axis=0))
-            h = np.concatenate(pooled, axis=1)
-            active = np.maximum(h, 0)
-            p = 1 / (1 + np.exp(-np.clip(active @ net.weights + net.bias, -30, 30)))
-            error = ((p - y[chosen]) / len(chosen)).astype(np.float32)
-            back = error[:, None] * net.weights * (h > 0)
-            rows_changed, changes = [], []
-            for w, kernel in enumerate(net.filters):
-                g = back[:, w * FILTERS : (w + 1) * FILTERS]
-                gradient = np.empty_like(kernel)
-                for k in range(len(kernel)):
-                    at_words = ids[places[w] + k]
-                    gradient[k] = np.einsum("df,dfe->ef", g, net.embed(at_words))
-                    change = (g[:, :, None] * kernel[k].T[None]).reshape(-1, DIMENSION)
-                    for part in range(PARTS):
-                        rows_changed.append(at_words[..., part].ravel())
-                        changes.append(change)
-                net.filters[w] = step(f"filter{w}", kernel, gradient)
-                net.biases[w] = step(f"bias{w}", net.biases[w], g.sum(axis=0))
-            net.weights = step("weights", net.weights, active.T @ error)
-            net.bias = float(step("bias", net.bias, error.sum()))
-            rows, inverse = np.unique(np.concatenate(rows_changed), return_inverse=True)
-            total = np.zeros((len(rows), DIMENSION), np.float32)
-            np.add.at(total, inverse, np.concatenate(changes))
-            seen_rows[rows] += (total * total).mean(axis=1, keepdims=True)
-            net.embedding[rows] -= rate * total / np.sqrt(seen_rows[rows])
-            net.embedding[0] = 0
-    return net
+    return Trainer(net, batch, rate).learn(texts, y, epochs)
+
+
+class Trainer:
+    """A network under training, with the squares of the gradients it has had."""
+
+    def __init__(self, net: Network, batch: int = 32, rate: float = 0.1):
+        self.net, self.batch, self.rate = net, batch, rate
+        self.rng = np.random.default_rng(5)
+        self.seen: dict[str, np.ndarray | float] = {}
+        self.seen_rows = np.full((BUCKETS, 1), 1e-3, np.float32)
+
+    def _step(self, name: str, value, gradient):
+        self.seen[name] = self.seen.get(name, 1e-3) + gradient * gradient
+        return value - self.rate * gradient / np.sqrt(self.seen[name])
+
+    def learn(self, texts: list[np.ndarray], y: np.ndarray, epochs: int = 1) -> Network:
+        net, batch, rate, step, seen_rows = self.net, self.batch, self.rate, self._step, self.seen_rows
+        for _ in range(epochs):
+            order = self.rng.permutation(len(texts))
+            for at in range(0, len(order), batch):
+                chosen = order[at : at + batch]
+                ids, valid, ends = _together(net, [texts[i] for i in chosen])
+                places, pooled = [], []
+                spans = list(zip([0, *ends], ends))
+                for z in net.responses(ids, valid):
+                    top = np.stack([b + z[b:e].argmax(axis=0) for b, e in spans])
+                    places.append(top)
+                    pooled.append(np.take_along_axis(z, top, axis=0))
+                h = np.concatenate(pooled, axis=1)
+                active = np.maximum(h, 0)
+                p = 1 / (1 + np.exp(-np.clip(active @ net.weights + net.bias, -30, 30)))
+                error = ((p - y[chosen]) / len(chosen)).astype(np.float32)
+                back = error[:, None] * net.weights * (h > 0)
+                rows_changed, changes = [], []
+                for w, kernel in enumerate(net.filters):
+                    g = back[:, w * FILTERS : (w + 1) * FILTERS]
+                    gradient = np.empty_like(kernel)
+                    for k in range(len(kernel)):
+                        at_words = ids[places[w] + k]
+                        gradient[k] = np.einsum("df,dfe->ef", g, net.embed(at_words))
+                        change = (g[:, :, None] * kernel[k].T[None]).reshape(-1, DIMENSION)
+                        for part in range(PARTS):
+                            rows_changed.append(at_words[..., part].ravel())
+                            changes.append(change)
+                    net.filters[w] = step(f"filter{w}", kernel, gradient)
+                    net.biases[w] = step(f"bias{w}", net.biases[w], g.sum(axis=0))
+                net.weights = step("weights", net.weights, active.T @ error)
+                net.bias = float(step("bias", net.bias, error.sum()))
+                rows, inverse = np.unique(np.concatenate(rows_changed), return_inverse=True)
+                total = np.zeros((len(rows), DIMENSION), np.float32)
+                np.add.at(total, inverse, np.concatenate(changes))
+                seen_rows[rows] += (total * total).mean(axis=1, keepdims=True)
+                net.embedding[rows] -= rate * total / np.sqrt(seen_rows[rows])
+                net.embedding[0] = 0
+        return net
 
 
 @dataclass
@@ -251,9 +272,16 @@ def best_threshold(scores: np.ndarray, y: np.ndarray, default: float) -> float:
     only one class."""
     if len(y) == 0 or y.min() == y.max():
         return default
+    return threshold_of_counts(scores, np.ones(len(y)), y, default)
+
+
+def threshold_of_counts(scores: np.ndarray, n: np.ndarray, hits: np.ndarray, default: float) -> float:
+    """The same from the number of documents with each score, and of those with label 1."""
+    if not 0 < hits.sum() < n.sum():
+        return default
     order = np.argsort(-scores, kind="stable")
-    s, hits = scores[order], np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(s) + 1) + y.sum())
+    s, found = scores[order], np.cumsum(hits[order])
+    f1 = 2 * found / (np.cumsum(n[order]) + hits.sum())
     last = np.append(s[1:] != s[:-1], True)
     at = int(np.argmax(np.where(last, f1, -1)))
     below = s[at + 1] if at + 1 < len(s) else 0.0
@@ -267,11 +295,14 @@ def fit(
     max_words: int = MAX_TRAINING_WORDS,
     threshold: float = THRESHOLD,
 ) -> Classifier:
-    """Network and thresholds from ``labels.toxic`` of documents outside the held-out fold: a
-    sample by hash of at most ``max_rows`` of them with ``max_words`` words together (the
-    first one whatever its length).  Texts are learnt from whole."""
-    sample = common.hashed_limit(common.labelled(labels, "toxic"), "doc_id", max_rows)
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(sample), "doc_id")
+    """Network and thresholds from ``labels.toxic`` of all documents outside the held-out fold.
+
+    Training begins with a sample by hash of at most ``max_rows`` of them with ``max_words``
+    words together (the first one whatever its length), and goes on over the others where
+    they are.  Texts are learnt from whole."""
+    # An id and a number for each label: texts stay where they are.
+    known = F.broadcast(common.labelled(labels, "toxic"))
+    rows = docs.select("doc_id", "lang", "text").join(known, "doc_id")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in common.text_steps(batches, "text"):
@@ -289,16 +320,24 @@ def fit(
     order = Window.orderBy(F.xxhash64("doc_id", "content"), "doc_id")
     before = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     kept = by_hash.withColumn("before", before).where((F.col("before") + F.col("n") <= max_words) | (F.col("before") == 0))
-    chosen = found.join(F.broadcast(kept.select("doc_id", "content")), ["doc_id", "content"])
+    in_sample = common.stored(kept.select("doc_id", "content"), "sample")
+    chosen = found.join(F.broadcast(in_sample), ["doc_id", "content"])
+    others = found.join(F.broadcast(in_sample), ["doc_id", "content"], "left_anti")
     # Copies of a row are one, whichever task has read it first.
     table = chosen.dropDuplicates(["doc_id", "content"]).toArrow()
-    found = table.sort_by([("doc_id", "ascending"), ("content", "ascending")]).combine_chunks()
-    texts = [np.asarray(w.values).reshape(-1, PARTS) for w in found.column("words")]
-    y = np.asarray(found.column("label"), float)
-    langs = np.array([lang or "" for lang in found.column("lang").to_pylist()], object)
+    known = table.sort_by([("doc_id", "ascending"), ("content", "ascending")]).combine_chunks()
+    texts = [np.asarray(w.values).reshape(-1, PARTS) for w in known.column("words")]
+    y = np.asarray(known.column("label"), float)
+    langs = np.array([lang or "" for lang in known.column("lang").to_pylist()], object)
     # Every tenth document sets the thresholds and is not learnt from.
     tuning = np.arange(len(y)) % 10 == 0
     network = train([t for t, out in zip(texts, tuning) if not out], y[~tuning])
+    # So does every tenth of the others.
+    is_tuning = F.pmod(F.xxhash64("content", "doc_id"), F.lit(10)) == 0
+    learnt_from = others.where(~is_tuning)
+    n = others.agg(F.count_if(~is_tuning).alias("n")).first().n
+    for _ in range(-(-epochs_for(n) // PASSES) if n else 0):
+        network = learnt_on(network, learnt_from, min(-(-n // LEARNER_ROWS), LEARNERS))
     kept = [t for t, out in zip(texts, tuning) if out]
     # A few at a time: the responses to a word take more room than the word.
     parts = [np.zeros(0)]
@@ -311,13 +350,116 @@ def fit(
         parts.append(network.score(np.concatenate(some), offsets))
         at += len(some)
     scores = np.concatenate(parts)
-    by_lang = {
-        str(lang): best_threshold(scores[langs[tuning] == lang], y[tuning][langs[tuning] == lang], threshold)
-        for lang in set(langs[tuning])
-    }
+    counts = score_counts(network, others.where(is_tuning))
+    if not counts:
+        by_lang = {
+            str(lang): best_threshold(scores[langs[tuning] == lang], y[tuning][langs[tuning] == lang], threshold)
+            for lang in set(langs[tuning])
+        }
+        return Classifier(network, by_lang, threshold)
+    by_lang = {}
+    for lang in {*langs[tuning], *counts}:
+        own = langs[tuning] == lang
+        steps, n, hits = counts.get(lang, np.zeros((3, 0)))
+        by_lang[str(lang)] = threshold_of_counts(
+            np.append(scores[own], steps / SCORE_STEPS), np.append(np.ones(own.sum()), n), np.append(y[tuning][own], hits), threshold
+        )
     return Classifier(network, by_lang, threshold)
 
 
+def _arrays(net: Network) -> list[np.ndarray]:
+    return [net.embedding, *net.filters, *net.biases, net.weights, np.array([net.bias], np.float32)]
+
+
+def _network(arrays: list[np.ndarray]) -> Network:
+    widths = len(WIDTHS)
+    embedding, dense = arrays[0], arrays[1:]
+    return Network(embedding, dense[:widths], dense[widths : 2 * widths], dense[-2], float(dense[-1][0]))
+
+
+def _word_lists(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.asarray(w.values).reshape(-1, PARTS) for w in batch.column("words")]
+
+
+def learnt_on(network: Network, rows: DataFrame, learners: int) -> Network:
+    """``network`` after one round over all of ``rows`` (doc_id, content, label, words).
+
+    So many tasks begin with it, each goes through its share in the order of hashes, a
+    block at a time, and their changes are averaged: those of an embedding over the
+    learners that have met it.  Copies are learnt from once: the order brings them together."""
+    start = _arrays(network)
+
+    def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trainer = Trainer(_network([a.copy() for a in start]))
+        texts: list[np.ndarray] = []
+        y: list[int] = []
+        n, last = 0, None
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "content")))
+            for key, words, label in zip(keys, _word_lists(batch), batch.column("label").to_pylist()):
+                if key == last:
+                    continue
+                last = key
+                texts.append(words)
+                y.append(label)
+                if len(texts) == BLOCK_ROWS:
+                    trainer.learn(texts, np.array(y, float), PASSES)
+                    n, texts, y = n + len(texts), [], []
+        if texts:
+            trainer.learn(texts, np.array(y, float), PASSES)
+            n += len(texts)
+        if n:
+            changes = [b - a for a, b in zip(start, _arrays(trainer.net))]
+            blob = np.concatenate([c.ravel() for c in changes]).astype(np.float32).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([blob], pa.binary())], ["n", "changes"])
+
+    order = F.xxhash64("doc_id", "content")
+    dealt = rows.repartition(learners, order).sortWithinPartitions(order, "doc_id", "content")
+    changed = dealt.select("doc_id", "content", "label", "words").mapInArrow(learnt, "n long, changes binary")
+    # One row of fixed size for each learner.
+    found = sorted(changed.collect(), key=lambda row: (row.n, bytes(row.changes)))
+    if not found:
+        return network
+    sizes = np.cumsum([a.size for a in start])[:-1]
+    each = [np.split(np.frombuffer(row.changes, np.float32), sizes) for row in found]
+    share = np.array([row.n for row in found], float) / sum(row.n for row in found)
+    out = []
+    for k, a in enumerate(start):
+        moves = [parts[k].reshape(a.shape) for parts in each]
+        if k == 0:
+            met = sum((m != 0).any(axis=1, keepdims=True) for m in moves)
+            change = sum(moves) / np.maximum(met, 1)
+        else:
+            change = sum(w * m for w, m in zip(share, moves))
+        out.append((a + change).astype(np.float32))
+    return _network(out)
+
+
+def score_counts(network: Network, rows: DataFrame) -> dict[str, np.ndarray]:
+    """By language: steps of scores, number of ``rows`` with such a score, and those with label 1."""
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            steps = []
+            for words in _word_lists(batch):
+                score = network.score(words, np.array([0, len(words)]))[0]
+                steps.append(int(round(float(score) * SCORE_STEPS)))
+            columns = [batch.column(c) for c in ("doc_id", "content", "lang", "label")]
+            names = ["doc_id", "content", "lang", "label", "step"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(steps, pa.int32())], names)
+
+    kind = dict(rows.dtypes)["doc_id"]
+    schema = f"doc_id {kind}, content long, lang string, label int, step int"
+    steps = rows.select("doc_id", "content", "lang", "label", "words").mapInArrow(scored, schema)
+    counted = steps.dropDuplicates(["doc_id", "content"]).groupBy(F.coalesce("lang", F.lit("")).alias("lang"), "step").agg(
+        F.count("*").alias("n"), F.sum("label").alias("hits")
+    )
+    out: dict[str, list] = {}
+    for row in counted.collect():
+        out.setdefault(row.lang, []).append((row.step, row.n, row.hits))
+    return {lang: np.array(sorted(found), float).T for lang, found in out.items()}
+
+
 def score(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted (by ``threshold``) and toxic (by the threshold of
     the row's language) of every row of ``docs``."""

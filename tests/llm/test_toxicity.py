@@ -116,3 +116,24 @@ def test_long_documents_are_in_the_sample_and_it_is_bounded(make_docs, make_labe
     assert 10_000 <= sum(map(len, learnt[2])) <= 50_000
     toxicity.fit(docs, labels, max_words=1)
     assert len(learnt[3]) == 0  # the one text sets the threshold
+
+
+def test_documents_outside_the_sample_are_learnt_from(make_docs, make_labels):
+    # What tells the classes apart is in all texts, but the sample holds few of them.
+    rows = [(i, sentence(i, 20) + (" vile" + "abcdefgh"[i % 8] if i % 4 == 0 else "")) for i in range(1200)]
+    docs, labels = make_docs(rows), make_labels([(i, 1, int(i % 4 == 0)) for i in range(1200)])
+    model = toxicity.fit(docs, labels, max_rows=40)
+    held = [r for r in toxicity.score(docs, model).collect() if r.held_out]
+    assert np.mean([(r.score >= 0.3) == (r.doc_id % 4 == 0) for r in held]) > 0.95
+    assert np.mean([r.toxic == (r.doc_id % 4 == 0) for r in held]) > 0.95
+    again = toxicity.fit(docs.repartition(5), labels, max_rows=40)
+    assert np.array_equal(again.network.weights, model.network.weights) and again.thresholds == model.thresholds
+
+
+def test_thresholds_of_counts_are_those_of_the_rows():
+    rng = np.random.default_rng(4)
+    scores, y = rng.integers(0, 20, 300) / 20, (rng.random(300) < 0.4).astype(float)
+    steps = np.unique(scores)
+    n = np.array([(scores == s).sum() for s in steps], float)
+    hits = np.array([y[scores == s].sum() for s in steps])
+    assert toxicity.threshold_of_counts(steps, n, hits, 0.3) == toxicity.best_threshold(scores, y, 0.3)
