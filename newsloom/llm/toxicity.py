@@ -4,7 +4,7 @@ A word's embedding is the sum of those of its hash and of the hashes of its firs
 so that inflected forms share some of it.  Filters of several widths slide over the whole
 text, the largest response of each filter is kept, and a logistic unit scores those.  It is begun
 on the driver by AdaGrad on a bounded sample of labelled documents, and goes on over all
-others in ``LEARNERS`` tasks, whose changes are averaged.  A tenth of all labelled documents
+others in ``LEARNERS`` tasks, whose changes other tasks average, a piece of the network each.  A tenth of all labelled documents
 sets a threshold for each language; the language decides on a score, it is no input of one.
 
 Defined results: NULL, empty and wordless texts are one padding word and get the score of
@@ -16,6 +16,7 @@ Texts are taken whole, a step of text at a time.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,6 +45,8 @@ VISITS = 64_000
 #: documents each has; how many it learns from at a time, and how often in one round.
 LEARNERS, LEARNER_ROWS = 32, 512
 BLOCK_ROWS, PASSES = 256, 4
+#: Rows of the embedding whose changes are averaged together.
+PIECE_ROWS = 1024
 #: Scores of documents outside the sample are counted in steps of one part in so many.
 SCORE_STEPS = 10_000
 
@@ -307,12 +310,13 @@ def fit(
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in common.text_steps(batches, "text"):
             words, ends = hashed_words(data, offsets)
-            lists = pa.ListArray.from_arrays(pa.array(PARTS * ends, pa.int32()), pa.array(words.ravel()))
+            flat = pa.array(words.ravel().astype(np.int16))  # below BUCKETS
+            lists = pa.ListArray.from_arrays(pa.array(PARTS * ends, pa.int32()), flat)
             columns = [batch.column(c) for c in ("doc_id", "lang", "label")]
             yield pa.RecordBatch.from_arrays([*columns, lists], ["doc_id", "lang", "label", "words"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    found = rows.mapInArrow(hashed, f"doc_id {kind}, lang string, label int, words array<int>")
+    found = rows.mapInArrow(hashed, f"doc_id {kind}, lang string, label int, words array<smallint>")
     found = common.stored(found.withColumn("content", F.xxhash64("lang", "words")), "hashed-words")
     # Which rows are in the sample is worked out without their words: few numbers of each.
     sizes = found.groupBy("doc_id", "content").agg(F.max(F.size("words") / PARTS).alias("n"))
@@ -325,20 +329,25 @@ def fit(
     others = found.join(F.broadcast(in_sample), ["doc_id", "content"], "left_anti")
     # Copies of a row are one, whichever task has read it first.
     table = chosen.dropDuplicates(["doc_id", "content"]).toArrow()
-    known = table.sort_by([("doc_id", "ascending"), ("content", "ascending")]).combine_chunks()
-    texts = [np.asarray(w.values).reshape(-1, PARTS) for w in known.column("words")]
-    y = np.asarray(known.column("label"), float)
-    langs = np.array([lang or "" for lang in known.column("lang").to_pylist()], object)
+    # The words stay where they came; only the keys are put in order.
+    order = table.select(["doc_id", "content"]).append_column("at", pa.array(np.arange(len(table))))
+    order = np.asarray(order.sort_by([("doc_id", "ascending"), ("content", "ascending")]).column("at"))
+    texts = [words for batch in table.to_batches() for words in _word_lists(batch)]
+    texts = [texts[at] for at in order]
+    y = np.asarray(table.column("label"), float)[order]
+    langs = np.array([lang or "" for lang in table.column("lang").to_pylist()], object)[order]
     # Every tenth document sets the thresholds and is not learnt from.
     tuning = np.arange(len(y)) % 10 == 0
     network = train([t for t, out in zip(texts, tuning) if not out], y[~tuning])
+    # Of the sample, only these are still needed.
+    kept = [t.copy() for t, out in zip(texts, tuning) if out]
+    del table, texts
     # So does every tenth of the others.
     is_tuning = F.pmod(F.xxhash64("content", "doc_id"), F.lit(10)) == 0
     learnt_from = others.where(~is_tuning)
     n = others.agg(F.count_if(~is_tuning).alias("n")).first().n
     for _ in range(-(-epochs_for(n) // PASSES) if n else 0):
         network = learnt_on(network, learnt_from, min(-(-n // LEARNER_ROWS), LEARNERS))
-    kept = [t for t, out in zip(texts, tuning) if out]
     # A few at a time: the responses to a word take more room than the word.
     parts = [np.zeros(0)]
     at = 0
@@ -386,8 +395,12 @@ def learnt_on(network: Network, rows: DataFrame, learners: int) -> Network:
 
     So many tasks begin with it, each goes through its share in the order of hashes, a
     block at a time, and their changes are averaged: those of an embedding over the
-    learners that have met it.  Copies are learnt from once: the order brings them together."""
+    learners that have met it.  Copies are learnt from once: the order brings them together.
+    The changes are averaged in tasks, a piece of them in each; the driver gets their means."""
     start = _arrays(network)
+    # The rows of the embedding in pieces, then all that is not embedding.
+    size, step = start[0].size, PIECE_ROWS * DIMENSION
+    ends = [*range(step, size, step), size, sum(a.size for a in start)]
 
     def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer = Trainer(_network([a.copy() for a in start]))
@@ -410,29 +423,40 @@ def learnt_on(network: Network, rows: DataFrame, learners: int) -> Network:
             n += len(texts)
         if n:
             changes = [b - a for a, b in zip(start, _arrays(trainer.net))]
-            blob = np.concatenate([c.ravel() for c in changes]).astype(np.float32).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([blob], pa.binary())], ["n", "changes"])
+            flat = np.concatenate([c.ravel() for c in changes]).astype(np.float32)
+            name = hashlib.sha256(flat.tobytes()).hexdigest()
+            pieces = [flat[a:b].tobytes() for a, b in zip([0, *ends], ends)]
+            columns = [pa.array(range(len(ends)), pa.int32()), pa.array([n] * len(ends), pa.int64())]
+            columns += [pa.array([name] * len(ends)), pa.array(pieces, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["piece", "n", "learner", "changes"])
+
+    def averaged(group: pa.Table) -> pa.Table:
+        """One piece of all learners: at most ``LEARNERS`` times its size."""
+        group = group.sort_by([("n", "ascending"), ("learner", "ascending")])
+        moves = [np.frombuffer(blob.as_py(), np.float32) for blob in group.column("changes")]
+        n = np.asarray(group.column("n"), float)
+        piece = group.column("piece")[0].as_py()
+        if piece < len(ends) - 1:
+            moves = [m.reshape(-1, DIMENSION) for m in moves]
+            met = sum((m != 0).any(axis=1, keepdims=True) for m in moves)
+            change = sum(moves) / np.maximum(met, 1)
+        else:
+            change = sum(w * m for w, m in zip(n / n.sum(), moves))
+        blob = np.asarray(change, float).tobytes()
+        return pa.table({"piece": pa.array([piece], pa.int32()), "change": pa.array([blob], pa.binary())})
 
     order = F.xxhash64("doc_id", "content")
     dealt = rows.repartition(learners, order).sortWithinPartitions(order, "doc_id", "content")
-    changed = dealt.select("doc_id", "content", "label", "words").mapInArrow(learnt, "n long, changes binary")
-    # One row of fixed size for each learner.
-    found = sorted(changed.collect(), key=lambda row: (row.n, bytes(row.changes)))
+    changed = dealt.select("doc_id", "content", "label", "words").mapInArrow(
+        learnt, "piece int, n long, learner string, changes binary"
+    )
+    # The size of the network, however many learners there are.
+    found = changed.groupBy("piece").applyInArrow(averaged, "piece int, change binary").collect()
     if not found:
         return network
-    sizes = np.cumsum([a.size for a in start])[:-1]
-    each = [np.split(np.frombuffer(row.changes, np.float32), sizes) for row in found]
-    share = np.array([row.n for row in found], float) / sum(row.n for row in found)
-    out = []
-    for k, a in enumerate(start):
-        moves = [parts[k].reshape(a.shape) for parts in each]
-        if k == 0:
-            met = sum((m != 0).any(axis=1, keepdims=True) for m in moves)
-            change = sum(moves) / np.maximum(met, 1)
-        else:
-            change = sum(w * m for w, m in zip(share, moves))
-        out.append((a + change).astype(np.float32))
-    return _network(out)
+    change = np.concatenate([np.frombuffer(row.change) for row in sorted(found, key=lambda row: row.piece)])
+    moves = np.split(change, np.cumsum([a.size for a in start])[:-1])
+    return _network([(a + move.reshape(a.shape)).astype(np.float32) for a, move in zip(start, moves)])
 
 
 def score_counts(network: Network, rows: DataFrame) -> dict[str, np.ndarray]:

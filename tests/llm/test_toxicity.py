@@ -137,3 +137,28 @@ def test_thresholds_of_counts_are_those_of_the_rows():
     n = np.array([(scores == s).sum() for s in steps], float)
     hits = np.array([y[scores == s].sum() for s in steps])
     assert toxicity.threshold_of_counts(steps, n, hits, 0.3) == toxicity.best_threshold(scores, y, 0.3)
+
+
+def test_the_driver_gets_no_more_of_more_learners(spark, make_docs, make_labels, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, i, i % 2, rng.integers(1, toxicity.BUCKETS, 60).tolist()) for i in range(64)]
+    learnt_from = spark.createDataFrame(rows, "doc_id long, content long, label int, words array<smallint>")
+    collect, sizes = type(learnt_from).collect, []
+
+    def measured(df):
+        found = collect(df)
+        sizes.append(sum(len(value) for row in found for value in row if isinstance(value, (bytes, bytearray))))
+        return found
+
+    monkeypatch.setattr(type(learnt_from), "collect", measured)
+    start = toxicity.new_network()
+    one, many = (toxicity.learnt_on(start, learnt_from, learners) for learners in (1, 8))
+    assert sizes[0] == sizes[1] > 0
+    again = toxicity.learnt_on(start, learnt_from.repartition(3), 8)
+    assert np.array_equal(again.embedding, many.embedding) and not np.array_equal(one.embedding, many.embedding)
+    # One learner's mean is its own change.
+    trainer = toxicity.Trainer(toxicity.new_network())
+    order = [row.doc_id for row in collect(learnt_from.selectExpr("doc_id", "xxhash64(doc_id, content) AS h").orderBy("h"))]
+    texts = [np.array(rows[i][3]).reshape(-1, toxicity.PARTS) for i in order]
+    own = trainer.learn(texts, np.array([rows[i][2] for i in order], float), toxicity.PASSES)
+    assert np.allclose(one.embedding, own.embedding, atol=1e-6) and np.allclose(one.weights, own.weights, atol=1e-6)
