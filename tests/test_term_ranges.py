@@ -146,3 +146,23 @@ def test_ranges_are_bounded_and_hold_everything(spark):
     assert frame.where(in_ranges(F.col("doc_id"), spread)).count() == 3000
     assert frame.where(in_ranges(F.col("doc_id"), spread[:200])).count() == 200
     assert frame.where(in_ranges(F.col("doc_id"), [])).count() == 0
+
+
+def test_peaks_are_counted_without_moving_postings(spark, make_articles, rows, small_ranges, monkeypatch, tmp_path):
+    seen = []
+    made = term_tables.peaks
+    monkeypatch.setattr(term_tables, "peaks", lambda entries, *keys: seen.append(entries) or made(entries, *keys))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the frequencies were large
+    try:
+        term_tables.write_term_tables(make_articles(*rows), str(tmp_path))
+        (entries,) = seen
+        assert "hashpartitioning" not in entries._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    tables = TermTables(spark, str(tmp_path))
+    postings, found = tables.read(term_tables.POSTINGS), tables.read(term_tables.PEAKS)
+    n = {(r.field, r.term): r["count"] for r in postings.groupBy("field", "term").count().collect()}
+    frequent = {key: count for key, count in n.items() if count >= 20}
+    of_peaks = {(r.field, r.term): r.n for r in found.groupBy("field", "term").agg(F.sum("n").alias("n")).collect()}
+    assert frequent and of_peaks == frequent
