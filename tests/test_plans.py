@@ -13,9 +13,11 @@ from newsloom.operators import significant
 from newsloom.operators.match import match
 from newsloom.operators.sentiment import enrich
 from newsloom.operators.terms import category_stats, sentiment_stats
+from newsloom.plans import fixtures
 from newsloom.plans.refresh import publishable
 from newsloom.schema import SEARCH_BOOSTS
 from newsloom.sources.ndjson import read_articles
+from newsloom.sources.storage import Folder
 from newsloom.sources.warehouse import Warehouse
 
 # A tokenised column mentions the pattern twice, in the usual and the long-word case.
@@ -143,3 +145,19 @@ def test_bucket_of_a_frequent_word_is_split(spark, tmp_path):
     assert hot.select(F.input_file_name()).distinct().count() > 1
     frequencies = term_tables.read_term_table(spark, str(tmp_path), term_tables.TERM_DF)
     assert frequencies.where("term = 'hot'").first().df == 40_000
+
+
+def test_one_file_is_joined_from_ranges_of_ids(spark, monkeypatch):
+    monkeypatch.setattr(fixtures, "PART_BYTES", 500)
+    texts = [(i, f"line {i} é" if i % 7 else "") for i in range(300)] + [(299, "line 299 é"), (None, "none")]
+    lines = spark.createDataFrame(texts, "doc_id bigint, value string").repartition(5)
+    joined, join = [], fixtures.join_files
+    monkeypatch.setattr(fixtures, "join_files", lambda *where: (joined.append(where[1]), join(*where)))
+    folder = Folder(spark, fixtures.write_file(lines, "one"))
+    (name,) = folder.files()
+    first = sorted(texts, key=lambda row: -1 if row[0] is None else row[0])
+    with open(folder.local_path(name), encoding="utf-8") as file:
+        assert file.read() == "".join(f"{value}\n" for _, value in first)
+    sizes = Folder(spark, joined[0]).file_sizes()
+    assert len(sizes) > 4 and max(sizes.values()) < 2000
+    assert fixtures.write_file(lines.limit(0), "none")
