@@ -2,15 +2,18 @@
 
 import json
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.plans import ask
+from newsloom.operators import postings as term_tables
+from newsloom.plans import ask, fixtures
 from newsloom.plans.refresh import RefreshOptions, refresh
 from newsloom.plans.registry import QUERIES
 from newsloom.plans.snapshot import restore_snapshot, take_snapshot
 from newsloom.sources import ledger as ledgers
+from newsloom.sources import warehouse as warehouses
 from newsloom.sources.catalog import CatalogTexts
 from newsloom.sources.ledger import Ledger
 from newsloom.sources.storage import Folder
@@ -342,6 +345,128 @@ def test_merged_queries_do_not_depend_on_the_size_of_parts(spark, tmp_path, monk
     assert QUERIES["merged_search"](spark, str(tmp_path)).count() == 10
 
 
+def parts_below(folder):
+    return {p.name.removeprefix("part=") for p in folder.iterdir() if p.is_dir() and p.name[0] != "_"} if folder.exists() else set()
+
+
+def three_parts(warehouse, lexicon, tmp_path):
+    rows = [line(i, short_description=f"walrus w{i % 5} the") for i in range(30)]
+    refresh(warehouse, lexicon, RefreshOptions(write(tmp_path / "first", "a.json", rows), term_tables=True))
+    for k in (1, 2):
+        more = [line(100 * k + i, short_description=f"walrus w{i % 5} of") for i in range(20)]
+        follow_files(warehouse, lexicon, write(tmp_path / f"m{k}", "b.json", more), str(tmp_path / f"c{k}")).awaitTermination()
+    return warehouse.parts("articles_1")
+
+
+@pytest.mark.parametrize("retain_ms", [None, 0])
+def test_a_merge_that_sweeps_has_one_kind_of_table_twice(warehouse, lexicon, tmp_path, monkeypatch, retain_ms):
+    old = set(three_parts(warehouse, lexicon, tmp_path))
+    rows, terms = tmp_path / "warehouse" / "articles_1", tmp_path / "warehouse" / "_terms" / "articles_1"
+    merge, steps = warehouses.merge_term_tables, []
+
+    def answers():
+        hits = [(r.doc_id, round(r.score, 9)) for r in ask.fulltext_search(warehouse, "walrus w2", size=100).collect()]
+        assert warehouse.has_terms("articles_1") and warehouse.follows_terms("articles_1")
+        return sorted(warehouse.scan().collect()), hits, ask.significant_words(warehouse, "w2").collect()
+
+    def left():
+        return [len(old & parts_below(folder)) for folder in (rows, terms / "row_terms", terms / "postings", terms / "corpus")]
+
+    def watched(parts, merged, on_written):
+        steps.append((left(), answers()))
+
+        def written(tables):
+            on_written(tables)
+            steps.append((left(), answers()))
+
+        merge(parts, merged, written)
+
+    before = answers()
+    monkeypatch.setattr(warehouses, "merge_term_tables", watched)
+    assert set(warehouse.compact(whole=True, retain_ms=retain_ms)) == old
+    found, seen = zip(*steps, strict=True)
+    if retain_ms is None:
+        assert list(found) == [[3, 3, 3, 3]] * 3
+    else:
+        assert list(found) == [[0, 3, 3, 3], [0, 0, 3, 3], [0, 0, 0, 0]]
+    assert all(after == before for after in seen) and before[2] != []
+    warehouse.sweep(retain_ms=0)
+    assert left() == [0, 0, 0, 0] and warehouse.state("articles_1").retired == {}
+    assert answers() == before and not [*(terms / "merging").glob("merged-*")]
+
+
+def test_term_tables_follow_appends_between_the_steps_of_a_merge(warehouse, lexicon, tmp_path, monkeypatch):
+    three_parts(warehouse, lexicon, tmp_path)
+    merge, more = warehouses.merge_term_tables, [line(900 + i, short_description="walrus late") for i in range(4)]
+
+    def interrupted(*args):
+        source = write(tmp_path / "late", "z.json", more)
+        follow_files(warehouse, lexicon, source, str(tmp_path / "late-checkpoint")).awaitTermination()
+        assert warehouse.has_terms("articles_1") and ask.matching(warehouse, "late").count() == 4
+        merge(*args)
+
+    monkeypatch.setattr(warehouses, "merge_term_tables", interrupted)
+    assert len(warehouse.compact(whole=True, retain_ms=0)) == 3
+    assert len(warehouse.parts("articles_1")) == 2 and warehouse.has_terms("articles_1")
+    assert ask.matching(warehouse, "walrus").count() == 74
+
+
+def test_a_merge_that_fails_between_its_steps_leaves_answers(warehouse, lexicon, tmp_path, monkeypatch):
+    three_parts(warehouse, lexicon, tmp_path)
+
+    def failing(parts, merged, on_written):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(warehouses, "merge_term_tables", failing)
+        with pytest.raises(RuntimeError, match="lost"):
+            warehouse.compact(whole=True, retain_ms=0)
+    warehouse.sweep(retain_ms=0)
+    assert warehouse.has_terms("articles_1") and ask.matching(warehouse, "walrus").count() == 70
+    more = [line(900 + i, short_description="walrus late") for i in range(4)]
+    follow_files(warehouse, lexicon, write(tmp_path / "late", "z.json", more), str(tmp_path / "c")).awaitTermination()
+    assert len(warehouse.compact(whole=True, retain_ms=0)) == 2 and len(warehouse.parts("articles_1")) == 1
+    assert warehouse.has_terms("articles_1") and ask.matching(warehouse, "walrus").count() == 74
+    assert warehouse.state("articles_1").retired == {}
+    (part,) = warehouse.parts("articles_1")
+    assert parts_below(tmp_path / "warehouse" / "_terms" / "articles_1" / "postings") == {part}
+
+
+def test_nothing_shuffled_is_left_by_writes_and_merges(spark, warehouse, lexicon, tmp_path, monkeypatch):
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for name in files.mkString(" ").split() if "shuffle_" in name and name.endswith(".data")}
+
+    three_parts(warehouse, lexicon, tmp_path)
+    monkeypatch.setattr(term_tables, "SLICE_BYTES", 1)
+    rows, folder = warehouse.read("articles_1"), str(tmp_path / "terms")
+    before = shuffled()
+    warehouse.write_part(rows.repartitionByRange(4, "doc_id"), "articles_1", "again")
+    for part in ("a", "b"):
+        term_tables.write_term_tables(rows, folder, part=part)
+    term_tables.merge_term_tables(term_tables.TermTables(spark, folder, ("a", "b")), "both")
+    end = time.monotonic() + 20
+    while time.monotonic() < end and shuffled() - before:
+        time.sleep(0.2)
+    assert shuffled() - before == set()
+
+
+def test_merged_queries_leave_no_lines(spark, tmp_path, monkeypatch):
+    rows = [(i, f"erst the w{i % 3} en\nof in and", "en", f"src{i % 4}", 20) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        str(tmp_path / "documents.parquet")
+    )
+    write_lines, made = fixtures.write_lines, []
+
+    def recorded(*args):
+        made.append(write_lines(*args))
+        return made[-1]
+
+    monkeypatch.setattr(fixtures, "write_lines", recorded)
+    assert QUERIES["merged_table_scan"](spark, str(tmp_path)).count() == 60
+    assert len(made) == 5 and not any(Folder(spark, folder).exists("") for folder in made)
+
+
 # -- snapshots ----------------------------------------------------------------------------
 
 
