@@ -56,6 +56,38 @@ def test_hits_are_those_of_the_scan(spark, make_articles, rows, small_ranges, tm
         assert [(r.doc_id, round(r.score, 6)) for r in found.collect()] == expected, (query, field, size)
 
 
+@pytest.mark.parametrize("slice_bytes", [1 << 25, 1])
+def test_merged_tables_give_the_same_hits_in_slices(spark, make_articles, rows, small_ranges, tmp_path, monkeypatch, slice_bytes):
+    monkeypatch.setattr(term_tables, "SLICE_BYTES", slice_bytes)
+    test_merged_tables_give_the_same_hits(spark, make_articles, rows, None, tmp_path)
+    whole = TermTables(spark, f"{tmp_path}/whole", ("all",))
+    term_tables.write_term_tables(make_articles(*rows), whole.folder, n_buckets=4, part="all")
+    merged = TermTables(spark, str(tmp_path), ("all",))
+    for table in (term_tables.ROW_TERMS, term_tables.POSTINGS, term_tables.TERM_DF, term_tables.PEAKS, term_tables.CORPUS):
+        assert sorted(merged.read(table).collect()) == sorted(whole.read(table).collect()), table
+    texts = [path for path in merged.read(term_tables.ROW_TERMS).inputFiles() if "field=short_description" in path]
+    assert len(texts) >= (8 if slice_bytes == 1 else 1)
+
+
+def test_slices_have_every_row_once(spark):
+    ids = spark.createDataFrame([(i,) for i in [None, None, *range(50), *[7] * 30, 1 << 40]], "doc_id long")
+    for n in (0, 1, 3, 8):
+        parts = [ids.where(within) for within in term_tables.slices_of_ids(ids, n)]
+        assert 1 <= len(parts) <= max(n, 1)
+        found = [row.doc_id for part in parts for row in part.collect()]
+        assert sorted(found, key=str) == sorted((r.doc_id for r in ids.collect()), key=str)
+    assert len(term_tables.slices_of_ids(ids.where("doc_id IS NULL"), 8)) == 1
+    assert len(term_tables.slices_of_ids(spark.range(1000).toDF("doc_id"), 8)) == 8
+
+
+def test_words_of_matching_rows_are_not_shuffled(make_articles, rows, tmp_path):
+    articles = make_articles(*rows)
+    term_tables.write_term_tables(articles, str(tmp_path), n_buckets=4)
+    found = significant_words_from_terms(articles, str(tmp_path), "w1 w28")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and found.collect() == significant_words(articles, "w1 w28").collect() != []
+
+
 def test_merged_tables_give_the_same_hits(spark, make_articles, rows, small_ranges, tmp_path):
     articles = make_articles(*rows)
     for k in range(3):
